@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,47 +70,49 @@ class Encoder:
             base += len(ids)
         return np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32), np.append(np.concatenate(start), base)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        words = [w for ws in split if ws is not None for w in ws[1:]]
+    def __call__(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        n = len(texts)
+        if not n:
+            return []
+        split = pa.compute.split_pattern(texts, " ")
+        bound = np.asarray(split.offsets, dtype=np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        word, words = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
         at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(at < 0)
         flat, start = self.flat, self.start
-        if len(missing):
-            new = dict.fromkeys(words[i] for i in missing.tolist())
-            good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-            ids, begin = self.pieces(good)
-            if len(begin) != len(good) + 1:
+        used = np.zeros(len(words), dtype=bool)
+        head = np.zeros(len(word), dtype=bool)
+        head[bound[:-1]] = True
+        used[word[~head]] = True
+        new = [i for i in np.flatnonzero(used & (at < 0)).tolist() if (w := words[i]) and not w[0].isspace() and not w[-1].isspace()]
+        if new:
+            ids, begin = self.pieces([words[i] for i in new])
+            if len(begin) != len(new) + 1:
                 raise AssertionError("pieces and their first tokens differ in number")
-            base = len(start) - 1
-            new = {w: base + i for i, w in enumerate(good)}
+            at[new] = np.arange(len(new)) + len(start) - 1
             flat, start = np.concatenate([flat, ids]), np.concatenate([start, begin[1:] + start[-1]])
-            at[missing] = [new.get(words[i], -1) for i in missing.tolist()]
             room = max(0, PIECES - len(self.known))
             if room:
-                self.known.update(itertools.islice(new.items(), room))
+                self.known.update((words[i], int(at[i])) for i in new[:room])
                 kept = len(self.known)
                 self.flat, self.start = flat[: start[kept]], start[: kept + 1]
-        size = np.diff(start)[at] if len(at) else np.zeros(0, dtype=np.int64)
-        bad = at < 0
-        size[bad] = 0
-        first = self.raw([ws[0] if ws else "" for ws in split])
-        out: list[np.ndarray] = []
-        whole: list[int] = []
-        p = 0
+        entry = at[word]
+        entry[head] = -1
+        size = np.where(entry >= 0, np.diff(start)[entry] if len(start) > 1 else 0, 0)
         ends = np.concatenate([[0], np.cumsum(size)])
-        index = np.repeat(start[at] - ends[:-1], size) + np.arange(int(ends[-1])) if len(at) else np.zeros(0, dtype=np.int64)
-        ids = flat[index]
-        for i, ws in enumerate(split):
-            q = p + (len(ws) - 1 if ws is not None else 0)
-            head = ws[0] if ws is not None else ""
-            if ws is None or bad[p:q].any() or len(ws) > 1 and (not head or head[-1].isspace()):
-                whole.append(i)
-                out.append(ids[:0])
-            else:
-                out.append(np.concatenate([np.array(first[i], dtype=np.int32), ids[ends[p] : ends[q]]]))
-            p = q
-        for i, x in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
+        ids = flat[np.repeat(start[np.maximum(entry, 0)] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        firsts = [words[i] for i in word[bound[:-1]].tolist()]
+        # Whole texts: those with an added token, and those with a piece that has white space or nothing at an end.
+        odd = np.add.reduceat(((entry < 0) & ~head).astype(np.int64), bound[:-1]) > 0
+        for a in self.added:
+            odd |= np.asarray(pa.compute.match_substring(texts, a))
+        many = np.diff(bound) > 1
+        odd |= many & np.array([not f or f[-1].isspace() for f in firsts])
+        begin_ids = self.raw(firsts)
+        out = [np.concatenate([np.array(f, dtype=np.int32), ids[ends[p] : ends[q]]]) for f, p, q in zip(begin_ids, bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        whole = np.flatnonzero(odd).tolist()
+        for i, x in zip(whole, self.raw([texts[i].as_py() for i in whole]), strict=True):
             out[i] = np.array(x, dtype=np.int32)
         return out
 
@@ -130,34 +133,51 @@ def _packed(ids: np.ndarray) -> bytes:
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u2" if b[0] == 2 else "<u4", offset=1).astype(np.int64)
+    return np.frombuffer(b, "<u2" if b[0] == 2 else "<u4", offset=1)
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are not UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
+
+
+_TOKENS = "doc_id bigint, ids binary, counts binary"
 
 
 def _tokenize(path: str, end_id: int):
+    """Documents' ids, and in a last row of its own the counts of a task's ids."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for batch in rows_of(batches, 1 << 21):
-            texts = [x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            packed = [_packed(np.append(ids, end_id)) for ids in encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+        total = np.zeros(0, dtype=np.int64)
+        names = ["doc_id", "ids", "counts"]
+        for batch in rows_of(batches, 12 << 20):
+            if not batch.num_rows:
+                continue
+            ids = [np.append(x, end_id) for x in encode(_texts(batch.column(1)))]
+            c = np.bincount(np.concatenate(ids), minlength=len(total))
+            c[: len(total)] += total
+            total = c
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_packed, ids), pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     return kernel
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (packed, with the end id) of every row; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(_tokenize(path, end_id), "doc_id bigint, ids binary")
+    """doc_id and ids (packed, with the end id) of every row, and rows with counts alone; a null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(_tokenize(path, end_id), _TOKENS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for b in batch.column(0).to_pylist():
-            c = np.bincount(_unpacked(b), minlength=len(total))
-            c[: len(total)] += total
-            total = c
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+            total = np.frombuffer(b, np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LENGTH_LIMIT) -> np.ndarray:
@@ -219,21 +239,25 @@ class Code:
         self.symbol[: int(span.sum())] = np.repeat(ids[o], span)
         self.size[: int(span.sum())] = np.repeat(lengths[o], span)
 
-    def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
-        """The bit string (most significant bit first, padded to bytes) and the bit offset of every block."""
-        size = self.length_of[ids]
-        end = np.cumsum(size)
-        start = end - size
-        total = int(end[-1]) if len(end) else 0
-        buf = np.zeros(total // 8 + 9, dtype=np.uint8)
+    def encode(self, ids: list[np.ndarray], block: int = BLOCK) -> list[tuple[bytes, np.ndarray]]:
+        """For each sequence its bit string (most significant bit first, padded to bytes) and the bit offset of every block."""
+        n = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.concatenate(ids)
+        size = self.length_of[flat]
+        end = np.concatenate([[0], np.cumsum(size)])
+        cut = np.concatenate([[0], np.cumsum(n)])
+        bits = end[cut[1:]] - end[cut[:-1]]
+        base = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
+        within = end[:-1] - np.repeat(end[cut[:-1]], n)
+        start = within + np.repeat(8 * base[:-1], n)
+        buf = np.zeros(int(base[-1]) + 8, dtype=np.uint8)
         # A word of up to 24 bits at any bit offset touches four bytes at most.
-        shifted = self.word_of[ids] << (32 - size - (start & 7))
+        shifted = self.word_of[flat] << (32 - size - (start & 7))
         at = start >> 3
         for k in range(4):
-            part = (shifted >> (24 - 8 * k)) & 255
             # Words don't overlap, so adding their bytes sets their bits.
-            np.add.at(buf, at + k, part.astype(np.uint8))
-        return buf[: (total + 7) // 8].tobytes(), start[::block]
+            np.add.at(buf, at + k, ((shifted >> (24 - 8 * k)) & 255).astype(np.uint8))
+        return [(buf[base[i] : base[i + 1]].tobytes(), within[cut[i] : cut[i + 1] : block]) for i in range(len(ids))]
 
     def decode(self, data: list[bytes], offsets: list[np.ndarray], n: list[int], block: int = BLOCK) -> list[np.ndarray]:
         """The ids of bit strings of n ids each: the blocks of all of them step together, each from its own offset."""
@@ -266,7 +290,7 @@ class Code:
 
 
 def fit_code(ids: DataFrame, limit: int = LENGTH_LIMIT) -> Code:
-    counts = ids.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
+    counts = ids.select("counts").where("counts is not null").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
     counts.sort()
     at = np.array([r["id"] for r in counts], dtype=np.int64)
     return Code(at, code_lengths(np.array([r["n"] for r in counts], dtype=np.int64), limit))
@@ -275,11 +299,10 @@ def fit_code(ids: DataFrame, limit: int = LENGTH_LIMIT) -> Code:
 def _encode(shared, block: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: Code = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for part in rows_of(batches, 1 << 21):
+            if part.num_rows:
                 ids = [_unpacked(b) for b in part.column(1).to_pylist()]
-                done = [code.encode(x, block) for x in ids]
+                done = code.encode(ids, block)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([d for d, _ in done], pa.binary()), pa.array([o.tolist() for _, o in done], pa.list_(pa.int64()))],
                     ["doc_id", "n_tokens", "bits", "offsets"],
@@ -298,7 +321,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
     code = fit_code(ids, limit)
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(code.ids, code.lengths, strict=True)], "id bigint, length int").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(code)  # a table of 2**limit entries
-    records = ids.mapInArrow(_encode(shared, block), _RECORD)
+    records = ids.where("ids is not null").select("doc_id", "ids").mapInArrow(_encode(shared, block), _RECORD)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A hash of the id's record breaks ties among repeated ids, so that one id's rows may still lie in several files.
     ranged = records.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.xxhash64("bits")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("bits"))
