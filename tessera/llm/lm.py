@@ -236,46 +236,43 @@ def _scores(block: int, doc: np.ndarray, value: np.ndarray, parts: int) -> dict:
     return {"part": block % parts, "kind": 2, "block": block, "docs": used.astype("<u2").tobytes(), "sizes": total.astype("<i8").tobytes()}
 
 
-_SUMS = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.int64())])
-
-
-def _backed_off(words: int):
-    """Positions that come down meet the unigram table; the sums of a block's documents are added up."""
+def _backed_off(words: int, parts: int):
+    """Positions that come down meet the unigram table; a partition's sums for a block's documents leave as one row."""
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(right.column("w")), kind="stable")
         w, n = np.asarray(right.column("w")).astype(np.uint64)[order], np.asarray(right.column("n"))[order]
-        out = [_SUMS.empty_table()]
-        sums: dict[int, np.ndarray] = {}
-
-        def add(block: int, doc: np.ndarray, value: np.ndarray) -> None:
-            if block not in sums:
-                sums[block] = np.zeros(BLOCK_DOCS, dtype=np.int64)
-            np.add.at(sums[block], doc, value)
-
+        out: list[dict] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = left.sort_by("block").to_pylist()
         for i, r in enumerate(rows):
             if r["kind"] == 0:
-                ids = np.frombuffer(r["docs"], np.int64)
-                known = np.frombuffer(r["runs"], bool)
-                k = len(ids)
-                out.append(pa.table([pa.array(np.full(k, r["block"])), pa.array(np.arange(k, dtype=np.int32)), pa.array(ids, mask=~known), pa.array(np.frombuffer(r["sizes"], np.int64)), pa.array(np.zeros(k, dtype=np.int64))], schema=_SUMS))
+                out.append(r)
             elif r["kind"] == 2:
-                add(r["block"], np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["sizes"], np.int64))
+                held.append((np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["sizes"], np.int64)))
             else:
                 value = micro(n[np.searchsorted(w, _whole(r["w"]))]) - int(micro(max(1, words)))
-                run = np.frombuffer(r["runs"], "<u4").astype(np.int64)
-                add(r["block"], np.frombuffer(r["docs"], "<u2").astype(np.int64), np.repeat(value, run))
-            if i + 1 == len(rows) or rows[i + 1]["block"] != r["block"]:
-                if (total := sums.pop(r["block"], None)) is not None:
-                    at = np.flatnonzero(total)
-                    none = pa.nulls(len(at), pa.int64())
-                    out.append(pa.table([pa.array(np.full(len(at), r["block"])), pa.array(at.astype(np.int32)), none, pa.array(np.zeros(len(at), dtype=np.int64)), pa.array(total[at])], schema=_SUMS))
-        return pa.concat_tables(out)
+                held.append((np.frombuffer(r["docs"], "<u2").astype(np.int64), np.repeat(value, np.frombuffer(r["runs"], "<u4").astype(np.int64))))
+            if held and (i + 1 == len(rows) or rows[i + 1]["block"] != r["block"]):
+                out.append(_scores(r["block"], np.concatenate([d for d, _ in held]), np.concatenate([v for _, v in held]), parts))
+                held = []
+        return pa.Table.from_pylist(out, _SCHEMA)
 
     return kernel
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """A block's documents with the sums of all partitions."""
+    rows = table.to_pylist()
+    names = next(r for r in rows if r["kind"] == 0)
+    ids, known, sizes = np.frombuffer(names["docs"], np.int64), np.frombuffer(names["runs"], bool), np.frombuffer(names["sizes"], np.int64)
+    total = np.zeros(len(ids), dtype=np.int64)
+    for r in rows:
+        if r["kind"] == 2:
+            total[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sizes"], np.int64)
+    return pa.table({"doc_id": pa.array(ids, mask=~known), "n_words": pa.array(sizes), "score": pa.array(total)})
+
+
 def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words and score (micro-nats, a sum over the words) for every row of docs.
 
@@ -293,8 +290,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT)
     rows = slim.mapInArrow(_explode(parts, hot), _ROW).groupBy("part").applyInArrow(_bigrams(parts, min_count, backoff, words, hot), _ROW)
     # The partition of a word in the unigram table is that of the positions that come down to it.
     table = one.mapInArrow(_placed(parts), "part int, w bigint, n bigint")
-    sums = rows.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_backed_off(words), "block bigint, doc int, doc_id bigint, n_words bigint, score bigint")
-    return sums.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("score").alias("score")).select("doc_id", "n_words", "score")
+    sums = rows.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_backed_off(words, parts), _ROW)
+    return sums.groupBy("block").applyInArrow(_summed, "doc_id bigint, n_words bigint, score bigint")
 
 
 def _placed(parts: int):
