@@ -296,7 +296,9 @@ def fit_code(ids: DataFrame, limit: int = LENGTH_LIMIT) -> Code:
     return Code(at, code_lengths(np.array([r["n"] for r in counts], dtype=np.int64), limit))
 
 
-def _encode(shared, block: int):
+def _encode(shared, block: int, bounds: list[float]):
+    edges = np.array(bounds)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: Code = shared.value
         for part in rows_of(batches, 1 << 21):
@@ -304,28 +306,35 @@ def _encode(shared, block: int):
                 ids = [_unpacked(b) for b in part.column(1).to_pylist()]
                 done = code.encode(ids, block)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([d for d, _ in done], pa.binary()), pa.array([o.tolist() for _, o in done], pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "bits", "offsets"],
+                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([d for d, _ in done], pa.binary()), pa.array([o.tolist() for _, o in done], pa.list_(pa.int64())), pa.array(_file_of(part.column(0), edges))],
+                    ["doc_id", "n_tokens", "bits", "offsets", "file"],
                 )
 
     return kernel
 
 
-_RECORD = "doc_id bigint, n_tokens bigint, bits binary, offsets array<bigint>"
+_RECORD = "doc_id bigint, n_tokens bigint, bits binary, offsets array<bigint>, file int"
+
+
+def _file_of(doc_id: pa.Array, edges: np.ndarray) -> np.ndarray:
+    """The file of each id: null ids are in the first, an id in the one after all edges below it."""
+    k = np.searchsorted(edges, np.asarray(doc_id.fill_null(0), dtype=np.int64), side="left")
+    return np.where(np.asarray(doc_id.is_valid()), k, 0).astype(np.int32)
 
 
 def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, limit: int = LENGTH_LIMIT, block: int = BLOCK, files: int | None = None) -> None:
-    """Writes docs to `path`: code/ (id, length), records/ (files in ascending doc_id order, a number in each row's file) and starts/ (ids before each file)."""
+    """Writes docs to `path`: code/ (id, length), records/ (a file for each range of doc_id, in ascending order) and starts/ (ids before each file)."""
     spark = docs.sparkSession
     ids = stored(tokenize(docs, vocabulary_path, end_id), "ids")
     code = fit_code(ids, limit)
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(code.ids, code.lengths, strict=True)], "id bigint, length int").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(code)  # a table of 2**limit entries
-    records = ids.where("ids is not null").select("doc_id", "ids").mapInArrow(_encode(shared, block), _RECORD)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A hash of the id's record breaks ties among repeated ids, so that one id's rows may still lie in several files.
-    ranged = records.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.xxhash64("bits")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("bits"))
-    ranged.withColumn("file", F.spark_partition_id()).write.parquet(f"{path}/records")
+    # Edges from the ids alone: a range exchange would run the encoding a second time to sample it.
+    edges = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    records = ids.where("ids is not null").select("doc_id", "ids").mapInArrow(_encode(shared, block, edges), _RECORD)
+    # Rows that share an id follow each other by a hash of their bits.
+    records.repartitionById(n, F.col("file")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("bits")).write.parquet(f"{path}/records")
     for f in ids.inputFiles()[:1]:
         dropped(spark, f.rsplit("/", 1)[0])
     sums = spark.read.parquet(f"{path}/records").groupBy("file").agg(F.sum("n_tokens").alias("n")).orderBy("file").collect()  # one row a file
