@@ -1,4 +1,4 @@
-"""Ships this package to the executors of a session."""
+"""What a session needs: this package on the executors, and the folder that they and the driver share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,17 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
     return spark
+
+
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+    spark.sparkContext.setCheckpointDir(_own_dir[0])
+    return _own_dir[0]
