@@ -14,6 +14,8 @@ from ..plans.predicates import TokenView
 
 
 def texts_of(text: str, tokens: list[Mapping]) -> list[str]:
+    if text.isascii():
+        return [text[t["start"] : t["end"]] for t in tokens]
     raw = text.encode()
     return [raw[t["start"] : t["end"]].decode() for t in tokens]
 

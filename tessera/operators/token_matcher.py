@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import PatternError
 from ..functions.lexical import FLAGS, Lexicon
 from ..plans.patterns import ONE, STAR, Pattern
-from ..plans.predicates import all_of, check_document, columns_of
+from ..plans.predicates import TokenView, all_of, check_document, columns_of
 from .kernels import per_document, views
 
 GREEDY = (None, "first", "longest")
@@ -97,8 +97,9 @@ class Search:
         for k, (_, p) in enumerate(self.patterns):
             if not p.nodes:
                 continue
-            if first := p.first_value():
-                self.index.setdefault(first[0], {}).setdefault(first[1], []).append(k)
+            if first := p.first_values():
+                for v in first[1]:
+                    self.index.setdefault(first[0], {}).setdefault(v, []).append(k)
             else:
                 self.anywhere.append(k)
 
@@ -108,13 +109,20 @@ class Search:
         return (lambda t: not inner(t)) if negated else inner
 
     def starts(self, token: Mapping) -> list[int]:
-        out = list(self.anywhere)
+        out = self.anywhere
         for attribute, by_value in self.index.items():
-            out += by_value.get(token[attribute], ())
-        return sorted(out) if self.index else out
+            if more := by_value.get(token[attribute]):
+                out = out + more
+        return sorted(out) if len(out) > len(self.anywhere) else out
 
     def __call__(self, doc: Mapping) -> list[tuple[str, int, int]]:
-        tokens = views(doc, self.lexicon)
+        return self.over(views(doc, self.lexicon))
+
+    def words(self, words: Sequence[str]) -> list[tuple[str, int, int]]:
+        """Matches over bare words, without annotations."""
+        return self.over([TokenView(w, {}, self.lexicon) for w in words])
+
+    def over(self, tokens: Sequence[TokenView]) -> list[tuple[str, int, int]]:
         check_document(self.constraints, tokens)
         found: list[tuple[str, int, int]] = []
         seen: set[tuple[str, int, int]] = set()
@@ -127,9 +135,12 @@ class Search:
 
         states: list[tuple[int, int, int]] = []  # pattern, node, start
         for i, token in enumerate(tokens):
+            starts = self.starts(token)
+            if not states and not starts:
+                continue
             holds: dict[int, bool] = {}
             kept: dict[tuple[int, int, int], None] = {}
-            queue = states + [(k, 0, i) for k in self.starts(token)]
+            queue = states + [(k, 0, i) for k in starts]
             done: set[tuple[int, int, int]] = set()
             at = 0
             while at < len(queue):

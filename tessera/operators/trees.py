@@ -129,14 +129,16 @@ RELATION_NAMES = {
 }
 
 
-def with_graph(docs: DataFrame) -> DataFrame:
-    """doc_id, i, head, root, lo, hi, entry, exit, depth, degree for every token, computed in one kernel pass."""
+def with_graph(docs: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
+    """doc_id, i, head, root, lo, hi, entry, exit, depth, degree for every token, computed in one kernel pass, with the string
+    `fields` of the tokens, so that no join is needed to get them back."""
 
     def run(d: dict) -> list[dict]:
-        heads = [t["head"] for t in d["tokens"] or []]
-        return [{"doc_id": d["doc_id"], "i": i, "head": heads[i], **g} for i, g in enumerate(graph(heads))]
+        tokens = d["tokens"] or []
+        return [{"doc_id": d["doc_id"], "i": i, "head": t["head"], **g, **{f: t[f] for f in fields}} for i, (t, g) in enumerate(zip(tokens, graph([t["head"] for t in tokens]), strict=True))]
 
-    return per_document(docs.select("doc_id", "tokens"), run, "doc_id bigint, i int, head int, root int, lo int, hi int, entry int, exit int, depth int, degree int")
+    more = "".join(f", {f} string" for f in fields)
+    return per_document(docs.select("doc_id", "tokens"), run, "doc_id bigint, i int, head int, root int, lo int, hi int, entry int, exit int, depth int, degree int" + more)
 
 
 def join_relation(left: DataFrame, right: DataFrame, relation: str) -> DataFrame:

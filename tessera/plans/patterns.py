@@ -73,10 +73,10 @@ class Pattern:
     def constraints(self) -> list[Constraint]:
         return [c for i in self.items for c in i.constraints]
 
-    def first_value(self) -> tuple[str, str] | None:
-        """(attribute, value) that a match's first token must have exactly, for text, lower and norm."""
+    def first_values(self) -> tuple[str, tuple[str, ...]] | None:
+        """(attribute, values) of which a match's first token must have one, for text, lower and norm."""
         if self.nodes and self.nodes[0][1] == ONE and self.items[self.nodes[0][0]].repetition != "negated":
             for c in self.items[self.nodes[0][0]].constraints:
-                if c.kind == "equals" and c.attribute in ("text", "lower", "norm"):
-                    return c.attribute, str(c.value)
+                if c.attribute in ("text", "lower", "norm") and c.kind in ("equals", "in", "is_subset", "intersects"):
+                    return c.attribute, (c.value,) if c.kind == "equals" else tuple(dict.fromkeys(c.value))
         return None

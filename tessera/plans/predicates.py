@@ -140,8 +140,7 @@ class TokenView(dict):
     """A token's attributes; lower, length and flags are worked out when first asked for."""
 
     def __init__(self, text: str, token: Mapping, lexicon: Lexicon | None) -> None:
-        super().__init__(token)
-        self["text"] = text
+        super().__init__(token, text=text)
         self.lexicon = lexicon
 
     def __missing__(self, key: str):

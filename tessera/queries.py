@@ -42,7 +42,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    """Ids and texts; a scan with fewer partitions than cores is dealt out, a larger one is left as it is."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def tok(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +213,7 @@ def _search(spark, d, matcher: token_matcher.TokenMatcher) -> DataFrame:
     search = matcher.compiled()
 
     def run(row: dict) -> list[dict]:
-        return [{"doc_id": row["doc_id"], "rule": r, "start": a, "end": b} for r, a, b in search(_as_doc(row["words"] or []))]
+        return [{"doc_id": row["doc_id"], "rule": r, "start": a, "end": b} for r, a, b in search.words(row["words"] or [])]
 
     return per_document(_docs_for_search(spark, d), run, "doc_id bigint, rule string, start int, end int")
 
@@ -312,8 +315,7 @@ def heap_docs(spark, d):
 
 def heap_tokens(spark, d):
     """The token table with heads and graph columns."""
-    docs = heap_docs(spark, d)
-    return tok(spark, d).join(trees.with_graph(docs), ["doc_id", "i"])
+    return trees.with_graph(heap_docs(spark, d), ("text",))
 
 
 _HEAP = (
