@@ -254,8 +254,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     other than the named ones are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    names = [f.simpleString().replace(":", " ", 1) for f in docs.select(*keep).schema.fields]
-    schema = ", ".join("`" + n.split(" ", 1)[0] + "` " + n.split(" ", 1)[1] for n in names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     schema += f", n_words bigint, spans {_SPANS}, items array<string>"
     base = docs.select(*keep, as_bytes(text_col).alias("__bytes"))
     blocks = list(_blocks_phrases(benchmark, window, sc))
@@ -293,8 +292,8 @@ def _blocks_phrases(benchmark: DataFrame, window: int, sc):
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows that hold any test window, with all their columns."""
-    keep = tuple(docs.columns)
-    return find_overlaps(docs, benchmark, window, keep=keep).where(F.size("spans") == 0).select(*keep)
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return find_overlaps(whole, benchmark, window, keep=("__row",)).where(F.size("spans") == 0).select("__row.*")
 
 
 def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

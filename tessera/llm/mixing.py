@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 CAP = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 TOLERANCE = 1e-9
 
 

@@ -108,7 +108,8 @@ def shard(docs: DataFrame, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id"
     bytes and null ids count as empty in the key; copies of a row (same id and text) that fill more than one shard are on
     pages of it; no documents give no rows. The added columns replace columns of the same names.
     """
-    base = docs.select(*keep, key_column().alias("key"), size_column().alias("bytes"))
+    # The kept columns travel as one, so that their names can't clash with those of the directory.
+    base = docs.select(F.struct(*keep).alias("row"), key_column().alias("key"), size_column().alias("bytes"))
     rows = stored(docs.select(key_column().alias("key"), size_column().alias("bytes")), "keys")
     buckets = directory(rows, limit)
     placed = _placed(base, buckets)
@@ -116,7 +117,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id"
     out = _with_pages(placed, limit) if crowded else placed.withColumn("page", F.lit(0).cast("long"))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(F.call_function("shiftrightunsigned", F.col("lo"), F.lit(BITS) - F.col("depth"))), F.col("depth"), F.lit("0")))
     added = {"shard": bits, "depth": F.col("depth").cast("int"), "shard_bytes": F.col("shard_bytes"), "shard_docs": F.col("shard_docs"), "page": F.col("page")}
-    return out.select(*[c for c in keep if c not in added], *[v.alias(k) for k, v in added.items()])
+    return out.select(*[F.col("row")[c].alias(c) for c in keep if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

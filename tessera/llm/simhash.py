@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import ASCII_LOWER, as_bytes, documents, rows_of, stored
 
@@ -48,11 +49,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, name: str = "fp"):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             fp = np.array([fingerprint(x, shingle) for x in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], name])
 
     return kernel
 
@@ -223,11 +224,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     doubled = with_id.groupBy("doc_id").count().where("count > 1")
     if doubled.isEmpty():
         return with_id
-    schema = docs.schema.add("fp", "long")
-    marked = with_id.select(*names, as_bytes("text").alias("__bytes")).mapInArrow(_fingerprints(shingle), schema)
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    marked = with_id.select(*names, as_bytes("text").alias("__bytes")).mapInArrow(_fingerprints(shingle, "__fp"), schema)
     right = chosen.withColumnsRenamed({"doc_id": "__d", "fp": "__f"})
-    picked = marked.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("fp") == F.col("__f")), "left_semi")
-    return picked.dropDuplicates(["doc_id", "fp"]).select(*names)
+    picked = marked.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f")), "left_semi")
+    return picked.dropDuplicates(["doc_id", "__fp"]).select(*names)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
