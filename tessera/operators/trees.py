@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,29 +90,41 @@ def left_edges(heads: Sequence[int]) -> list[int]:
     return least
 
 
-def graph(heads: Sequence[int]) -> list[dict]:
-    """For each token its root, the bounds [lo, hi) of its tree, entry and exit of a depth-first walk, depth and degree."""
+GRAPH = ("root", "lo", "hi", "entry", "exit", "depth", "degree")
+
+
+def graph_columns(heads: Sequence[int | None]) -> dict[str, list[int]]:
+    """By name, for each token: its root, the bounds [lo, hi) of its tree, entry and exit of a depth-first walk, depth, degree."""
     check_heads(heads)
     children = children_of(heads)
     n = len(heads)
-    out = [{} for _ in range(n)]
+    root, lo, hi, entry, leave, depth = ([0] * n for _ in range(6))
     clock = 0
-    for root in (i for i in range(n) if heads[i] == i):
-        members, stack = [], [(root, 0, False)]
+    for r in range(n):
+        if heads[r] != r:
+            continue
+        members, stack = [], [r]
         while stack:
-            t, depth, leaving = stack.pop()
-            if leaving:
-                out[t]["exit"] = clock
+            t = stack.pop()
+            if t < 0:
+                leave[~t] = clock
                 continue
-            out[t] |= {"root": root, "entry": clock, "depth": depth, "degree": len(children[t])}
-            members.append(t)
+            root[t], entry[t] = r, clock
+            depth[t] = depth[heads[t]] + 1 if t != r else 0
             clock += 1
-            stack.append((t, depth, True))
-            stack += [(c, depth + 1, False) for c in reversed(children[t])]
-        lo, hi = min(members), max(members) + 1
+            members.append(t)
+            stack.append(~t)
+            if children[t]:
+                stack += children[t][::-1]
+        a, b = min(members), max(members) + 1
         for t in members:
-            out[t] |= {"lo": lo, "hi": hi}
-    return out
+            lo[t], hi[t] = a, b
+    return dict(zip(GRAPH, (root, lo, hi, entry, leave, depth, list(map(len, children))), strict=True))
+
+
+def graph(heads: Sequence[int | None]) -> list[dict]:
+    columns = graph_columns(heads)
+    return [dict(zip(GRAPH, row, strict=True)) for row in zip(*columns.values(), strict=True)]
 
 
 #: Join predicates of the twenty relations between a bound token L and a new one R of the same tree.
@@ -133,12 +148,28 @@ def with_graph(docs: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
     """doc_id, i, head, root, lo, hi, entry, exit, depth, degree for every token, computed in one kernel pass, with the string
     `fields` of the tokens, so that no join is needed to get them back."""
 
-    def run(d: dict) -> list[dict]:
-        tokens = d["tokens"] or []
-        return [{"doc_id": d["doc_id"], "i": i, "head": t["head"], **g, **{f: t[f] for f in fields}} for i, (t, g) in enumerate(zip(tokens, graph([t["head"] for t in tokens]), strict=True))]
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "i", "head", *GRAPH, *fields]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, lists = part.column(0), part.column(1)
+                sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0), dtype=np.int64)
+                tokens = lists.flatten()
+                heads = tokens.field("head").to_pylist()
+                columns: dict[str, list[int]] = {g: [] for g in GRAPH}
+                ends = np.cumsum(sizes)
+                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                    for g, values in graph_columns(heads[a:b]).items():
+                        columns[g] += values
+                where = np.repeat(np.arange(len(sizes)), sizes)
+                i = np.arange(len(where)) - np.repeat(ends - sizes, sizes)
+                ints = [pa.array(i, pa.int32()), tokens.field("head").cast(pa.int32()), *(pa.array(columns[g], pa.int32()) for g in GRAPH)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *ints, *(tokens.field(f) for f in fields)], names)
 
     more = "".join(f", {f} string" for f in fields)
-    return per_document(docs.select("doc_id", "tokens"), run, "doc_id bigint, i int, head int, root int, lo int, hi int, entry int, exit int, depth int, degree int" + more)
+    ddl = "doc_id bigint, i int, head int, " + ", ".join(f"{g} int" for g in GRAPH) + more
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(kernel, ddl)
 
 
 def join_relation(left: DataFrame, right: DataFrame, relation: str) -> DataFrame:
