@@ -19,7 +19,8 @@ def thousand_rules(spark, d):
     t = engine.tok(spark, d)
     words = [r[0] for r in t.groupBy("text").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text").limit(200).collect()]
     rules = spark.createDataFrame([(f"r{i}", [words[i % 200], words[(7 * i + i // 200) % 200]]) for i in range(1000)], "rule string, keys array<string>")
-    return find_by_join(t.withColumn("key", F.col("text")), rules, "key").groupBy("rule").agg(F.count("*").alias("n"))
+    ahead = engine.tok_ahead(spark, d, 1)
+    return find_by_join(ahead.withColumn("key", F.col("text")), rules, "key", ahead=["next1"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def main() -> None:

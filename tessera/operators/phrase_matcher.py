@@ -149,18 +149,24 @@ class PhraseMatcher:
         return per_document(docs.select("doc_id", "text", "tokens"), run, "doc_id bigint, ord int, rule string, start int, end int" + (", error string, message string" if errors else ""), errors)
 
 
-def find_by_join(tokens: DataFrame, phrases: DataFrame, key: str, max_length: int = 8, small: int = 8 << 20) -> DataFrame:
-    """doc_id, rule, start, end: phrases (rule, keys) joined to the token table by the keys of each length in use. The phrase
-    side is broadcast only when Catalyst's estimate of its size is below `small` bytes."""
+def find_by_join(tokens: DataFrame, phrases: DataFrame, key: str, max_length: int = 8, small: int = 8 << 20, ahead: Sequence[str] = ()) -> DataFrame:
+    """doc_id, rule, start, end: phrases (rule, keys) joined to the token table by the keys of each length in use. `ahead` names
+    the columns that hold the keys of the next tokens, null past a document's end; without them a window looks ahead. The
+    phrase side is broadcast only when Catalyst's estimate of its size is below `small` bytes."""
     lengths = [r[0] for r in phrases.select(F.size("keys").alias("n")).distinct().collect() if 0 < r[0] <= max_length]  # at most max_length numbers
-    w = Window.partitionBy("doc_id").orderBy("i")
-    out = None
-    for n in sorted(lengths):
-        gram = F.array(F.col(key), *[F.lead(key, k).over(w) for k in range(1, n)])
-        grams = tokens.select("doc_id", F.col("i").alias("start"), gram.alias("keys"), (F.lit(True) if n == 1 else F.lead("i", n - 1).over(w).isNotNull()).alias("whole")).where("whole").drop("whole")
-        side = phrases.where(F.size("keys") == n).select("rule", "keys").distinct()
-        if int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= small:
-            side = F.broadcast(side)
-        one = grams.join(side, "keys").select("doc_id", "rule", "start", (F.col("start") + n).alias("end"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else tokens.select("doc_id", F.lit(None).cast("string").alias("rule"), F.col("i").alias("start"), F.col("i").alias("end")).limit(0)
+    if not lengths:
+        return tokens.select("doc_id", F.lit(None).cast("string").alias("rule"), F.col("i").alias("start"), F.col("i").alias("end")).limit(0)
+    longest = max(lengths)
+    if len(ahead) < longest - 1:
+        w = Window.partitionBy("doc_id").orderBy("i")
+        tokens = tokens.withColumns({f"__next{k}": F.lead(key, k).over(w) for k in range(1, longest)})
+        ahead = [f"__next{k}" for k in range(1, longest)]
+    keys = [key, *ahead]
+    side = phrases.where((F.size("keys") > 0) & (F.size("keys") <= max_length)).select("rule", "keys").distinct()
+    first = side.select(F.col("keys")[0].alias(key)).distinct()
+    if int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= small:
+        side, first = F.broadcast(side), F.broadcast(first)
+    # Tokens that start no phrase go first; the others make one gram for each length in use.
+    grams = F.array(*[F.when(F.col(keys[n - 1]).isNotNull(), F.array(*keys[:n])) for n in sorted(lengths)])
+    started = tokens.join(first, key, "left_semi").select("doc_id", F.col("i").alias("start"), F.explode(F.array_compact(grams)).alias("keys"))
+    return started.join(side, "keys").select("doc_id", "rule", "start", (F.col("start") + F.size("keys")).alias("end"))

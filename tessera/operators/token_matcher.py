@@ -223,4 +223,21 @@ def find_fixed(tokens: DataFrame, name: str, patterns: Sequence, lexicon: Lexico
     return out.distinct() if len(patterns) > 1 else out
 
 
-__all__ = ["Rule", "Search", "TokenMatcher", "find_fixed", "keep_greedy"]
+def find_fixed_ahead(tokens: DataFrame, name: str, patterns: Sequence, lexicon: Lexicon = Lexicon(), order: str = "i", key: str = "doc_id") -> DataFrame:  # noqa: B008
+    """find_fixed for patterns over token texts alone, on a table that already has each token's followers (next1, ...): a
+    filter, with no exchange at all."""
+    out = None
+    for p in (x if isinstance(x, Pattern) else Pattern.of(x) for x in patterns):
+        if not p.fixed or any(c.attribute not in ("text", "lower", "length", *FLAGS) for c in p.constraints()):
+            raise PatternError("this plan is for patterns of fixed length over texts")
+        hit = F.lit(True)
+        for k, i in enumerate(p.items):
+            text = f"next{k}" if k else "text"
+            test = columns_of(i.constraints, text=text, lexicon=lexicon)
+            hit = hit & F.coalesce((~test if i.repetition == "negated" else test) & F.col(text).isNotNull(), F.lit(False))
+        one = tokens.where(hit).select(key, F.lit(name).alias("rule"), F.col(order).alias("start"), (F.col(order) + len(p.items)).alias("end"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct() if len(patterns) > 1 else out
+
+
+__all__ = ["Rule", "Search", "TokenMatcher", "find_fixed", "find_fixed_ahead", "keep_greedy"]

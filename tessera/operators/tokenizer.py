@@ -28,6 +28,14 @@ def tokenize_regex(docs: DataFrame, pattern: str = REGEX) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words).alias("i", "text"))
 
 
+def tokenize_regex_ahead(docs: DataFrame, ahead: int, pattern: str = REGEX) -> DataFrame:
+    """doc_id, i, text, next1 .. of tokenize_regex, where next<k> is the token k places on, null past the end. The tokens
+    ahead come from the document's own array, so looking ahead needs neither a shuffle nor a sort."""
+    words = docs.select("doc_id", F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)).alias("w"))
+    rest = [F.slice("w", F.lit(1 + k), F.greatest(F.size("w") - k, F.lit(0))).alias(f"next{k}") for k in range(1, ahead + 1)]
+    return words.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("text"), *rest)).alias("i", "t")).select("doc_id", "i", "t.*")
+
+
 def tokenize_regex_docs(docs: DataFrame, pattern: str = r"[^\W\d_]+|\d+|[^\s\w]|_") -> DataFrame:
     """Documents of the model tokenized by a regular expression; white space that is not one blank after a token is a token."""
 

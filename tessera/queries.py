@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexical, vectors
 from .operators import annotators, dependency_matcher, entities, phrase_matcher, rulers, token_matcher, trees
-from .operators.tokenizer import REGEX, TokenizerRules, tokenize, tokenize_regex, tokenize_regex_docs
+from .operators.tokenizer import REGEX, TokenizerRules, tokenize, tokenize_regex, tokenize_regex_ahead, tokenize_regex_docs
 from .plans.predicates import Constraint, column_of
 from .schema import DOC, assemble_docs, explode_tokens
 from .session import shared_dir
@@ -52,6 +52,18 @@ def tok(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_regex(docs_of(spark, d))
 
 
+def tok_ahead(spark: SparkSession, d: str, ahead: int) -> DataFrame:
+    return tokenize_regex_ahead(docs_of(spark, d), ahead)
+
+
+def keyed(spark: SparkSession, d: str, key: Callable[[F.Column], F.Column], ahead: int) -> tuple[DataFrame, list[str]]:
+    """The token table with a key for each token and for those ahead of it, and the names of the latter."""
+    t = tok_ahead(spark, d, ahead)
+    names = [f"key{k}" for k in range(1, ahead + 1)]
+    after = [F.when(F.col(f"next{k}").isNotNull(), key(F.col(f"next{k}"))).alias(n) for k, n in enumerate(names, 1)]
+    return t.select("doc_id", "i", key(F.col("text")).alias("key"), *after), names
+
+
 def with_tok(body: str, more: str = "") -> str:
     return f"WITH {TOK}{', ' + more if more else ''} {body}"
 
@@ -182,7 +194,7 @@ _TITLE_SQL = "regexp_full_match({}, '\\P{{L}}*(\\p{{Lu}}\\p{{Ll}}*\\P{{L}}*)+')"
 
 def _fixed(name: str, items: list, sql: str) -> None:
     def run(spark, d):
-        return token_matcher.find_fixed(tok(spark, d), name, [items]).select("doc_id", "start", "end")
+        return token_matcher.find_fixed_ahead(tok_ahead(spark, d, len(items) - 1), name, [items]).select("doc_id", "start", "end")
 
     query(name, sql)(run)
 
@@ -228,6 +240,12 @@ def _as_doc(words: list[str]) -> dict:
     return {"text": "".join(words), "tokens": tokens}
 
 
+@query("tm_fixed2_window", SQL["tm_fixed2"])
+def tm_fixed2_window(spark, d):
+    """The same pattern as tm_fixed2 by the window plan, which also serves annotations."""
+    return token_matcher.find_fixed(tok(spark, d), "r", [[_item("lower", "in", FUNCTION), _item("is_title", "flag", True)]]).select("doc_id", "start", "end")
+
+
 _LOWER_FUNCTION = _item("lower", "in", FUNCTION, "one_or_more")
 _RUNS = f"f AS (SELECT doc_id, i, lower(text) IN ({_IN(FUNCTION)}) AS hit FROM tok), g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f WHERE hit), runs AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY doc_id, island)"
 _SPANS = 'SELECT doc_id, {}::INTEGER AS start, {}::INTEGER AS "end" FROM '
@@ -267,7 +285,8 @@ def _phrases(spark, d, key: Callable[[F.Column], F.Column]) -> DataFrame:
 
 def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str) -> None:
     def run(spark, d):
-        return phrase_matcher.find_by_join(tok(spark, d).withColumn("key", key(F.col("text"))), _phrases(spark, d, key), "key").select("doc_id", "rule", "start", "end")
+        t, ahead = keyed(spark, d, key, 3)
+        return phrase_matcher.find_by_join(t, _phrases(spark, d, key), "key", ahead=ahead).select("doc_id", "rule", "start", "end")
 
     grams = ", ".join(f"lead(k, {j}) OVER w AS k{j}" for j in (1, 2, 3))
     sql = (
@@ -285,13 +304,15 @@ _phrase_query("pm_lower", F.lower, "lower(text)")
 @query("pm_length", with_tok("SELECT doc_id, i::INTEGER AS start, (i + 3)::INTEGER AS \"end\" FROM nx WHERE length(text) = 9 AND length(t1) = 1 AND length(t2) = 9", _NEXT))
 def pm_length(spark, d):
     phrases = spark.createDataFrame([("r", ["9", "1", "9"])], "rule string, keys array<string>")
-    return phrase_matcher.find_by_join(tok(spark, d).withColumn("key", F.length("text").cast("string")), phrases, "key").select("doc_id", "start", "end")
+    t, ahead = keyed(spark, d, lambda x: F.length(x).cast("string"), 2)
+    return phrase_matcher.find_by_join(t, phrases, "key", ahead=ahead).select("doc_id", "start", "end")
 
 
 @query("pm_flag", with_tok("SELECT doc_id, i::INTEGER AS start, (i + 2)::INTEGER AS \"end\" FROM nx WHERE regexp_full_match(text, '\\p{Nd}+') AND regexp_full_match(t1, '\\p{Nd}+') = false", _NEXT))
 def pm_flag(spark, d):
     phrases = spark.createDataFrame([("r", ["true", "false"])], "rule string, keys array<string>")
-    return phrase_matcher.find_by_join(tok(spark, d).withColumn("key", lexical.flag_col("is_digit", F.col("text")).cast("string")), phrases, "key").select("doc_id", "start", "end")
+    t, ahead = keyed(spark, d, lambda x: lexical.flag_col("is_digit", x).cast("string"), 1)
+    return phrase_matcher.find_by_join(t, phrases, "key", ahead=ahead).select("doc_id", "start", "end")
 
 
 @query("pm_overlap", with_tok("SELECT doc_id, 'a' AS rule, i::INTEGER AS start, (i + 2)::INTEGER AS \"end\" FROM nx WHERE lower(text) = 'of' AND lower(t1) = 'the' UNION ALL SELECT doc_id, 'b', i::INTEGER, (i + 1)::INTEGER FROM nx WHERE lower(text) = 'the'", _NEXT))
@@ -657,9 +678,8 @@ def stream_annotate(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Function word and capitalised word, counted by pair: tokens, a fixed pattern as a window plan, an aggregate."""
-    t = tok(spark, d)
-    hits = token_matcher.find_fixed(t, "r", [[_item("lower", "in", FUNCTION), _item("is_title", "flag", True)]])
+    """Function word and capitalised word, counted by pair: tokens, a fixed pattern as a filter, an aggregate."""
+    hits = token_matcher.find_fixed_ahead(tok_ahead(spark, d, 1), "r", [[_item("lower", "in", FUNCTION), _item("is_title", "flag", True)]])
     return hits.groupBy("doc_id").agg(F.count("*").alias("matches"), F.min("start").alias("first"))
 
 
