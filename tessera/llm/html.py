@@ -6,7 +6,8 @@ Gaussian and split in two by a clustered threshold; the lines above it mark the
 deepest one that holds most of the marked text, and an article or main element where one does. All lines of that element
 that are not furniture are the text, however short they are.
 
-Scale: one pass, no shuffle; a page is the only state.
+Scale: one pass, no shuffle; a page is the only state. An element is a number with its parent's, a line names the deepest one it
+is in, and an open element carries what its ancestors are, so memory is linear in the page however deep it nests.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,25 +35,41 @@ FURNITURE_WORDS = frozenset(
     " comment comments commentlist disqus replies respond related recommended widget widgets login signin signup register search pagination pager form paywall disclaimer skip".split()
 )
 CONTAINERS = frozenset("article main body".split())
+#: Elements that hold one block of text and are no region.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+class _Open(NamedTuple):
+    """An open element. The last three are true of it or of an ancestor."""
+
+    tag: str
+    number: int
+    furniture: bool
+    article: bool
+    link: bool
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, link characters, furniture, path of element numbers) for every block of a page."""
+    """Collects (text, tags, link characters, furniture, deepest element's number) for every block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, furniture
+        self.open: list[_Open] = []
         self.kind: list[str] = []  # tag by number
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.parent: list[int] = []  # parent by number, -1 for none; parents have smaller numbers
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
 
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else _Open("", -1, False, False, False)
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, bool(self.open and self.open[-1][2]), tuple(n for _, n, _ in self.open)))
+            self.lines.append((text, self.tags, self.linked, self.top().furniture, self.top().number))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -63,34 +81,36 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.flush()
             self.implied(tag)
-        furniture = bool(self.open and self.open[-1][2]) or self.is_furniture(tag, attrs)
         if tag in VOID:
             return
-        if tag in INLINE and furniture and not (self.open and self.open[-1][2]):
+        up = self.top()
+        furniture = up.furniture or self.is_furniture(tag, attrs)
+        if tag in INLINE and furniture and not up.furniture:
             self.flush()
-        self.open.append((tag, len(self.kind), furniture))
+        self.open.append(_Open(tag, len(self.kind), furniture, up.article or tag in ("article", "main"), up.link or tag == "a"))
         self.kind.append(tag)
+        self.parent.append(up.number)
 
     def implied(self, tag: str) -> None:
         """Ends the elements that the start of another one ends without an end tag."""
         if tag in CLOSES:
             for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in SCOPES[tag]:
+                if self.open[i].tag in SCOPES[tag]:
                     break
-                if self.open[i][0] in CLOSES[tag]:
+                if self.open[i].tag in CLOSES[tag]:
                     del self.open[i:]
                     break
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == "p":
+            if self.open[i].tag == "p":
                 del self.open[i:]
                 break
-            if self.open[i][0] not in INLINE:
+            if self.open[i].tag not in INLINE:
                 break
 
     def is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in FURNITURE:
             return True
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = self.top().article
         if tag == "header":
             return not inside
         if tag in CONTAINERS or tag == "html":
@@ -115,19 +135,19 @@ class _Lines(HTMLParser):
             self.text.append(" ")
             return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag not in INLINE or self.open[i][2] and not (i and self.open[i - 1][2]):
+            if self.open[i].tag == tag:
+                if tag not in INLINE or self.open[i].furniture and not (i and self.open[i - 1].furniture):
                     self.flush()
                 del self.open[i:]
                 return
-            if tag in INLINE and self.open[i][0] not in INLINE:
+            if tag in INLINE and self.open[i].tag not in INLINE:
                 return
         if tag not in INLINE:
             self.flush()
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
-        if any(t == "a" for t, _, _ in self.open):
+        if self.top().link:
             self.linked += len(data.strip())
 
 
@@ -175,21 +195,29 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     ratio = [0.0 if furniture else len(text) * (1 - min(1.0, linked / len(text))) / max(1, tags) for text, tags, linked, furniture, _ in p.lines]
     smooth = smoothed(ratio, sigma)
     bound = threshold(smooth)
-    mass: dict[int, int] = {}
+    mass = [0] * len(p.kind)
     total = 0
-    for (text, _, _, furniture, path), s in zip(p.lines, smooth, strict=True):
+    for (text, _, _, furniture, at), s in zip(p.lines, smooth, strict=True):
         if not furniture and s >= bound:
             total += len(text)
-            for n in path:
-                mass[n] = mass.get(n, 0) + len(text)
-    named = [n for n, m in mass.items() if p.kind[n] in ("article", "main") and m >= 0.5 * total]
-    wide = [n for n, m in mass.items() if p.kind[n] not in INLINE and p.kind[n] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and m >= 0.8 * total]
+            if at >= 0:
+                mass[at] += len(text)
+    for n in range(len(mass) - 1, -1, -1):
+        if p.parent[n] >= 0:
+            mass[p.parent[n]] += mass[n]
+    held = [n for n, m in enumerate(mass) if m]
+    named = [n for n in held if p.kind[n] in ("article", "main") and mass[n] >= 0.5 * total]
+    wide = [n for n in held if p.kind[n] not in INLINE and p.kind[n] not in TEXT_BLOCKS and mass[n] >= 0.8 * total]
     region = max(named) if named else max(wide, default=None)
+    inside, listed = [], []
+    for n, (kind, up) in enumerate(zip(p.kind, p.parent, strict=True)):
+        inside.append(n == region or up >= 0 and inside[up])
+        listed.append(kind in ("li", "ul", "ol", "td") or up >= 0 and listed[up])
     out = []
-    for text, _, linked, furniture, path in p.lines:
-        if furniture or region is not None and region not in path:
+    for text, _, linked, furniture, at in p.lines:
+        if furniture or region is not None and not (at >= 0 and inside[at]):
             continue
-        if not named and linked > 0.8 * len(text) and any(p.kind[n] in ("li", "ul", "ol", "td") for n in path):
+        if not named and linked > 0.8 * len(text) and at >= 0 and listed[at]:
             continue
         out.append(text)
     return "\n".join(out)
