@@ -55,8 +55,3 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = 1 << 22) -> Iterator[
             end = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, used to check what may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -16,12 +16,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored, table_bytes
+from .common import documents, stored
 
 LIMIT = 1 << 20
 BITS = 60
 SPARE_BITS = 3
-DIRECTORY_BYTES = 16 << 20
+#: A directory of more buckets is not broadcast; one of this many takes about 13 MB.
+DIRECTORY_ROWS = 100_000
 
 
 def key_column(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
@@ -47,18 +48,26 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         depth = min(BITS, start + step)
         cells = stored(rows.groupBy(prefix_column("key", depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs")), "cells")
         levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(depth)))).withColumn("prefix", F.call_function("shiftrightunsigned", F.col("cell"), F.lit(depth) - F.col("depth")))
-        sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("b"), F.sum("docs").alias("n"))
-        fits = (F.col("b") <= limit) | (F.col("n") <= 1) | ((F.col("depth") == BITS) if depth == BITS else F.lit(False))
-        leaf = levels.join(sums.where(fits), ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "b", "n")).alias("l"))
+        # Both halves of a node are summed in one row, so that a node and its parent are seen together without a join.
+        odd = F.col("prefix") % 2 == 1
+        halves = levels.groupBy("depth", F.shiftrightunsigned("prefix", 1).alias("parent")).agg(
+            *[F.sum(F.when(side, F.col(c)).otherwise(0)).alias(f"{c}{i}") for i, side in enumerate((~odd, odd)) for c in ("bytes", "docs")]
+        )
+        # The parents of the first depth are known to be too large, or there is none.
+        fits = lambda size, n: (size <= limit) | (n <= 1)
+        halves = halves.where((F.col("depth") == start) | ~fits(F.col("bytes0") + F.col("bytes1"), F.col("docs0") + F.col("docs1")))
+        nodes = halves.select("depth", "parent", F.explode(F.array(*[F.struct(F.lit(i).alias("bit"), F.col(f"bytes{i}").alias("bytes"), F.col(f"docs{i}").alias("docs")) for i in (0, 1)])).alias("half"))
+        nodes = nodes.select("depth", (F.col("parent") * 2 + F.col("half.bit")).alias("prefix"), "half.bytes", "half.docs").where("docs > 0")
+        nodes = nodes.withColumn("fits", fits(F.col("bytes"), F.col("docs")) | (F.col("depth") == BITS)).where(F.col("fits") | (F.col("depth") == depth))
+        nodes = stored(nodes, "nodes")
         width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(BITS) - F.col("depth"))
-        found = leaf.select("l.*").distinct().select((F.col("prefix") * width).alias("lo"), (F.col("prefix") * width + width - 1).alias("hi"), "depth", F.col("b").alias("bytes"), F.col("n").alias("docs"))
-        found = stored(found, "buckets")
+        found = nodes.where("fits").select((F.col("prefix") * width).alias("lo"), (F.col("prefix") * width + width - 1).alias("hi"), "depth", "bytes", "docs")
         done = found if done is None else done.unionByName(found)
-        large = cells.join(leaf.select("cell"), "cell", "left_anti").select("cell")
+        large = nodes.where("not fits").select(F.col("prefix").alias("cell"))
         if depth == BITS or large.isEmpty():
             return done
         rows = stored(rows.withColumn("cell", prefix_column("key", depth)).join(large, "cell", "left_semi").drop("cell"), "oversized")
-        # The parents of what is left are known to be too large; splitting goes on below this depth.
+        # Splitting of what is left goes on below this depth.
         start = depth + 1
 
 
@@ -68,7 +77,7 @@ def _placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     if not depths:
         return rows.withColumns({"lo": F.lit(0).cast("long"), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long"), "shard_docs": F.lit(0).cast("long")})
     named = buckets.select(F.concat_ws(":", "depth", "lo").alias("bucket"), "lo", "depth", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
-    small = table_bytes(named) <= DIRECTORY_BYTES
+    small = buckets.count() <= DIRECTORY_ROWS
     if small:
         named = F.broadcast(named)
     shortest, longest = min(depths), max(depths)

@@ -409,6 +409,18 @@ def test_sharding(spark, folder):
     assert max(pages.values()) <= 3 and sum(pages.values()) == 51
 
 
+def test_sharding_joins_a_large_directory_by_key(spark, folder, monkeypatch):
+    rows = lambda: sorted(map(repr, sharding.shard(spark.read.parquet(f"{folder}/documents.parquet"), 60).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(sharding, "DIRECTORY_ROWS", 0)
+    assert rows() == broadcast
+
+
+def test_html_nested_deep_is_linear():
+    text = html.main_text("<article>" + "<div>some text here " * 20_000)
+    assert text == "\n".join(["some text here"] * 20_000)
+
+
 def test_slices_hold_about_so_many_bytes():
     import pyarrow as pa
 
