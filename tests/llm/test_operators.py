@@ -410,7 +410,8 @@ def test_sharding(spark, folder):
 
 
 def test_sharding_joins_a_large_directory_by_key(spark, folder, monkeypatch):
-    rows = lambda: sorted(map(repr, sharding.shard(spark.read.parquet(f"{folder}/documents.parquet"), 60).collect()))
+    # Which of a row's copies gets which page is open.
+    rows = lambda: sorted(map(repr, sharding.shard(spark.read.parquet(f"{folder}/documents.parquet"), 60).drop("page").collect()))
     broadcast = rows()
     monkeypatch.setattr(sharding, "DIRECTORY_ROWS", 0)
     assert rows() == broadcast
