@@ -40,9 +40,10 @@ def vocabulary() -> str:
 class Encoder:
     """Ids of texts, equal to the tokenizer's own for the whole text.
 
-    The tokenizer splits a text before its merges, and always in front of a single space between two characters that are
-    not white space. Pieces between such places are looked up in a dictionary; texts in which a piece starts or ends with
-    other white space, or that hold one of the tokenizer's own added tokens, are encoded whole.
+    The tokenizer splits a text before its merges, and always in front of a single space, and on both sides of a single line
+    feed, between two characters that are not white space. Pieces between such places, a line feed kept with what follows,
+    are looked up in a dictionary; texts in which a piece starts or ends with other white space, or that hold one of the
+    tokenizer's own added tokens, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,48 +54,58 @@ class Encoder:
         vocab = self.t.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids whose token starts with the space
         self.leads[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True
-        self.known: dict[str, int] = {}
+        self.feed = vocab["\u010a"]  # the line feed's own token
+        self.known = pa.array([], pa.string())
         self.flat = np.zeros(0, dtype=np.int32)
         self.start = np.zeros(1, dtype=np.int64)
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of " " + word for every word, one after another, and where each begins; the words hold no space."""
-        flat, start, base = [], [np.zeros(0, dtype=np.int64)], 0
-        for at in range(0, len(words), 5_000):
-            ids = np.array(self.raw([" " + " ".join(words[at : at + 5_000])])[0], dtype=np.int32)
+    def pieces(self, words: pa.Array, sep: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sep + word for every word, one after another, and where each begins; sep is a space or nothing. The
+        words hold no space, and a line feed only at their start, where all of them have one if sep is nothing."""
+        flat, start, base = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], 0
+        cut = pa.array([*range(0, len(words), 5_000), len(words)], pa.int32())
+        for joined in pa.compute.binary_join(pa.ListArray.from_arrays(cut, words), sep).to_pylist() if len(words) else ():
+            ids = np.array(self.raw([sep + joined])[0], dtype=np.int32)
             flat.append(ids)
-            start.append(np.flatnonzero(self.leads[ids]) + base)
+            start.append(np.flatnonzero(self.leads[ids] if sep else ids == self.feed) + base)
             base += len(ids)
-        return np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32), np.append(np.concatenate(start), base)
+        return np.concatenate(flat), np.append(np.concatenate(start), base)
 
     def __call__(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         n = len(texts)
         if not n:
             return []
-        split = pa.compute.split_pattern(texts, " ")
+        split = pa.compute.split_pattern(pa.compute.replace_substring(texts, "\n", " \n"), " ")
         bound = np.asarray(split.offsets, dtype=np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        word, words = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
-        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+        word, words = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+        at = np.asarray(pa.compute.index_in(words, value_set=self.known).fill_null(-1), dtype=np.int64).copy()
         flat, start = self.flat, self.start
         used = np.zeros(len(words), dtype=bool)
         head = np.zeros(len(word), dtype=bool)
         head[bound[:-1]] = True
         used[word[~head]] = True
-        new = [i for i in np.flatnonzero(used & (at < 0)).tolist() if (w := words[i]) and not w[0].isspace() and not w[-1].isspace()]
-        if new:
-            ids, begin = self.pieces([words[i] for i in new])
+        new = np.flatnonzero(used & (at < 0))
+        strings = words.take(pa.array(new))
+        spaced = _plain(strings)
+        fed = np.asarray(pa.compute.starts_with(strings, "\n"), dtype=bool)
+        fed[fed] = _plain(pa.compute.utf8_slice_codeunits(strings.filter(pa.array(fed)), 1))
+        new = np.concatenate([new[spaced], new[fed]])
+        if len(new):
+            (ids, begin), (more, after) = self.pieces(strings.filter(pa.array(spaced)), " "), self.pieces(strings.filter(pa.array(fed)), "")
+            ids, begin = np.concatenate([ids, more]), np.concatenate([begin, after[1:] + begin[-1]])
             if len(begin) != len(new) + 1:
                 raise AssertionError("pieces and their first tokens differ in number")
             at[new] = np.arange(len(new)) + len(start) - 1
             flat, start = np.concatenate([flat, ids]), np.concatenate([start, begin[1:] + start[-1]])
             room = max(0, PIECES - len(self.known))
             if room:
-                self.known.update((words[i], int(at[i])) for i in new[:room])
+                # Entries are numbered as they come, so a word's place among the known ones is its entry.
+                self.known = pa.concat_arrays([self.known, words.take(pa.array(new[:room]))])
                 kept = len(self.known)
                 self.flat, self.start = flat[: start[kept]], start[: kept + 1]
         entry = at[word]
@@ -102,7 +113,7 @@ class Encoder:
         size = np.where(entry >= 0, np.diff(start)[entry] if len(start) > 1 else 0, 0)
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(start[np.maximum(entry, 0)] - ends[:-1], size) + np.arange(int(ends[-1]))]
-        firsts = [words[i] for i in word[bound[:-1]].tolist()]
+        firsts = words.take(pa.array(word[bound[:-1]])).to_pylist()
         # Whole texts: those with an added token, and those with a piece that has white space or nothing at an end.
         odd = np.add.reduceat(((entry < 0) & ~head).astype(np.int64), bound[:-1]) > 0
         for a in self.added:
@@ -117,6 +128,12 @@ class Encoder:
         return out
 
 
+def _plain(words: pa.Array) -> np.ndarray:
+    """Which words have a character, and no white space at an end."""
+    same = pa.compute.equal(pa.compute.utf8_trim_whitespace(words), words)
+    return np.asarray(pa.compute.and_(same, pa.compute.not_equal(words, "")), dtype=bool)
+
+
 def _encoder(path: str) -> Encoder:
     if path not in _loaded:
         import os

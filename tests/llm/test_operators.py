@@ -409,6 +409,17 @@ def test_sharding(spark, folder):
     assert max(pages.values()) <= 3 and sum(pages.values()) == 51
 
 
+def test_encoder_splits_where_the_tokenizer_does(monkeypatch):
+    monkeypatch.setattr(tokenids, "PIECES", 50)
+    encoder, r = tokenids.Encoder(tokenids.vocabulary()), np.random.default_rng(5)
+    parts = ["a", "The", "x9", "é", "日本", ".", "'s", "b\nc", "d\ne", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "<|endoftext|>", ""]
+    for _ in range(100):
+        texts = ["".join(r.choice(parts, r.integers(0, 30))) for _ in range(20)]
+        assert [x.tolist() for x in encoder(texts)] == encoder.raw(texts)
+    spaces = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.isspace()]
+    assert not tokenids._plain(tokenids.pa.array([*spaces, *("x" + c for c in spaces), ""])).any()
+
+
 def test_sharding_joins_a_large_directory_by_key(spark, folder, monkeypatch):
     # Which of a row's copies gets which page is open.
     rows = lambda: sorted(map(repr, sharding.shard(spark.read.parquet(f"{folder}/documents.parquet"), 60).drop("page").collect()))
