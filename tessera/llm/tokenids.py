@@ -25,6 +25,8 @@ from .common import as_bytes, documents, dropped, rows_of, stored
 
 LENGTH_LIMIT = 18
 BLOCK = 512
+#: Ids that a file holds at most, about, where there are more files than shuffle partitions.
+FILE_IDS = 1 << 28
 END_ID = 2
 #: Entries kept by a worker's dictionary of pieces, which bounds its memory.
 PIECES = 500_000
@@ -306,11 +308,14 @@ class Code:
         return np.split(ids, np.cumsum(n)[:-1])
 
 
-def fit_code(ids: DataFrame, limit: int = LENGTH_LIMIT) -> Code:
-    counts = ids.select("counts").where("counts is not null").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
-    counts.sort()
-    at = np.array([r["id"] for r in counts], dtype=np.int64)
-    return Code(at, code_lengths(np.array([r["n"] for r in counts], dtype=np.int64), limit))
+def id_counts(ids: DataFrame) -> list[tuple[int, int]]:
+    """Every id of the documents and how often it occurs, in ascending order: one row an id of the vocabulary."""
+    rows = ids.select("counts").where("counts is not null").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    return sorted((r["id"], r["n"]) for r in rows)
+
+
+def fit_code(counts: list[tuple[int, int]], limit: int = LENGTH_LIMIT) -> Code:
+    return Code(np.array([i for i, _ in counts], dtype=np.int64), code_lengths(np.array([n for _, n in counts], dtype=np.int64), limit))
 
 
 def _encode(shared, block: int, bounds: list[float]):
@@ -343,10 +348,11 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
     """Writes docs to `path`: code/ (id, length), records/ (a file for each range of doc_id, in ascending order) and starts/ (ids before each file)."""
     spark = docs.sparkSession
     ids = stored(tokenize(docs, vocabulary_path, end_id), "ids")
-    code = fit_code(ids, limit)
+    counts = id_counts(ids)
+    code = fit_code(counts, limit)
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(code.ids, code.lengths, strict=True)], "id bigint, length int").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(code)  # a table of 2**limit entries
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(c for _, c in counts) // FILE_IDS))
     # Edges from the ids alone: a range exchange would run the encoding a second time to sample it.
     edges = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     records = ids.where("ids is not null").select("doc_id", "ids").mapInArrow(_encode(shared, block, edges), _RECORD)
@@ -434,4 +440,4 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir))
 
 
-__all__ = ["Code", "Encoder", "canonical", "code_lengths", "encode_documents", "fit_code", "read_ids", "tokenize", "write"]
+__all__ = ["Code", "Encoder", "canonical", "code_lengths", "encode_documents", "fit_code", "id_counts", "read_ids", "tokenize", "write"]
