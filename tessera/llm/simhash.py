@@ -8,11 +8,13 @@ nodes that share a cell. In a cell the Manhattan bound comes first and the exact
 Scale: cells hold distinct fingerprints only. A cell of more than BLOCK nodes is dealt into pairs of blocks, so no task gets
 a whole hot cell. A block pair returns a spanning forest of its links and never its pairs, so the output is linear in the
 nodes. Components come from rounds of alternating star contractions over that forest, each round stored.
+
+near_duplicates and keep_one, which the pipeline uses, link by five-word shingle sets (shingles.py) and not by fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import shingles
 from .common import ASCII_LOWER, as_bytes, documents, rows_of, stored
 
 SHINGLE = 3
@@ -49,10 +52,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(shingle: int, name: str = "fp"):
+def _named(name: str, value: Callable[[bytes], int]):
+    """Replaces the last column, a text, by its value."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            fp = np.array([fingerprint(x, shingle) for x in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fp = np.array([value(x) for x in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], name])
 
     return kernel
@@ -60,7 +65,7 @@ def _fingerprints(shingle: int, name: str = "fp"):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(_named("fp", lambda x: fingerprint(x, shingle)), "doc_id bigint, fp bigint")
 
 
 def _groups(parts: int) -> list[tuple[int, int]]:
@@ -194,16 +199,10 @@ def components(edges: DataFrame) -> DataFrame:
     return new.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, group (a fingerprint that names the component) and component_id for every row of docs.
-
-    Fingerprints link at `distance` or fewer differing bits; component_id is the smallest doc_id that links reach, null if
-    all of them are null. Null, empty and blank texts have fingerprint 0 and link like any other; texts shorter than a
-    shingle are one shingle; repeated rows stay; no documents give no rows; other columns are ignored.
-    """
-    fps = stored(fingerprints(docs, shingle), "fingerprints")
+def _classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, group, component_id of every row of fps (doc_id, fp), whose fps are linked by edges."""
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), distance))
+    roots = components(edges)
     # Only nodes that have links can differ from their own root.
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
     named = stored(named, "named")
@@ -212,20 +211,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return fps.join(classes, "fp").select("doc_id", "fp", "group", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def fingerprint_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp, group (a fingerprint that names the component) and component_id for every row of docs.
+
+    Fingerprints link at `distance` or fewer differing bits; component_id is the smallest doc_id that links reach, null if
+    all of them are null. Null, empty and blank texts have fingerprint 0 and link like any other; texts shorter than a
+    shingle are one shingle; repeated rows stay; no documents give no rows; other columns are ignored.
+    """
+    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    return _classes(fps, links(fps.select("fp").distinct(), distance))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (names the set of shingles), group (an fp that names the component) and component_id for every row of docs.
+
+    Texts link where the Jaccard similarity of their sets of five-word shingles is 0.8 or more, checked exactly; component_id
+    and odd rows are as in fingerprint_components.
+    """
+    ids = stored(shingles.identities(docs), "shingles")
+    nodes = ids.select("fp", "n", "bands").dropDuplicates(["fp"])
+    coarse = stored(components(shingles.candidates(nodes)), "candidates")
+    return _classes(ids.select("doc_id", "fp"), shingles.exact_links(docs, nodes, coarse))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
     A document without an id stands for its group only if no member has one."""
-    chosen = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "group").distinct()
+    chosen = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "group").distinct()
     chosen = stored(chosen.groupBy("group").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select("s.*"), "chosen")
     names = docs.columns
-    # Rows that share the chosen id are told apart by their own fingerprint; of equal ones any may stay.
+    # Rows that share the chosen id are told apart by their own set; of equal ones any may stay.
     own = docs.select(*names, F.col("doc_id").cast("long").alias("__id"))
     with_id = own.join(chosen, F.col("__id").eqNullSafe(chosen["doc_id"]), "left_semi").select(*names)
     doubled = with_id.groupBy("doc_id").count().where("count > 1")
     if doubled.isEmpty():
         return with_id
     schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    marked = with_id.select(*names, as_bytes("text").alias("__bytes")).mapInArrow(_fingerprints(shingle, "__fp"), schema)
+    marked = with_id.select(*names, as_bytes("text").alias("__bytes")).mapInArrow(_named("__fp", lambda x: shingles.set_id(shingles.shingle_set(x))), schema)
     right = chosen.withColumnsRenamed({"doc_id": "__d", "fp": "__f"})
     picked = marked.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f")), "left_semi")
     return picked.dropDuplicates(["doc_id", "__fp"]).select(*names)
@@ -233,5 +255,5 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and component of every document."""
-    found = near_duplicates(documents(spark, sf_dir))
+    found = fingerprint_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
