@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,38 @@ def token_vectors(tokens: DataFrame, table: DataFrame) -> DataFrame:
 def span_vector(tokens: DataFrame, table: DataFrame, width: int) -> DataFrame:
     """doc_id, dim, value: the mean over all tokens of each document; those without a vector count as zeros."""
     return mean_vectors(token_vectors(tokens, table), "doc_id", "vector", width)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """q, vec_id, score: for every query (vec_id, embedding) the best k of each task's rows by rounded cosine, then vec_id,
+    without the query's own id. Blocks of queries meet batches of rows; the queries are broadcast."""
+    table = queries.where("embedding is not null").orderBy("vec_id").toArrow()
+
+    def matrix(column) -> np.ndarray:
+        x = np.array(column.to_pylist(), dtype=np.float64)
+        norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+    shared = rows.sparkSession.sparkContext.broadcast((np.asarray(table.column("vec_id")), matrix(table.column("embedding")) if table.num_rows else None))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, e = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q]
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            ids, x = np.asarray(batch.column(0)), matrix(batch.column(1))
+            for at in range(0, len(q), block):
+                scores = np.rint(e[at : at + block] @ x.T * 1e6) / 1e6
+                scores[q[at : at + block, None] == ids] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
+                for i in range(len(scores)):
+                    near = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > -np.inf))
+                    v, s = np.append(best[at + i][0], ids[near]), np.append(best[at + i][1], scores[i][near])
+                    order = np.lexsort((v, -s))[:k]
+                    best[at + i] = v[order], s[order]
+        n = [len(v) for v, _ in best]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(np.concatenate([v for v, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["q", "vec_id", "score"])
+
+    return rows.where("embedding is not null").mapInArrow(kernel, "q bigint, vec_id bigint, score double")

@@ -1,0 +1,11 @@
+"""Queries that give whole results beside those whose SQL keeps a part."""
+
+from conftest import SF
+
+from tessera import queries as engine
+
+
+def test_topk_queries_are_every_fiftieth_id(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    found = engine.QUERIES["vec_cosine_topk_every_50"](spark, SF).groupBy("q").count().collect()
+    assert {r.q for r in found} == {i for i in ids if i % 50 == 0} and {r["count"] for r in found} == {5}
