@@ -360,8 +360,21 @@ def _relation(name: str, relation: str) -> None:
     query(f"dep_rel_{name}", with_tok(f"SELECT L.doc_id, count(*) AS n, sum(L.i * 3 + R.i)::BIGINT AS digest FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND {condition} WHERE {_PICK} GROUP BY L.doc_id", _HEAP))(run)
 
 
+def _relation_of_all(name: str, relation: str) -> None:
+    """The relation's pairs with every token on the left, counted per document."""
+
+    def run(spark, d):
+        t = heap_tokens(spark, d).select("doc_id", "i", "head", "root", "entry", "exit")
+        pairs = trees.join_relation(t, t.select(*t.columns), relation)
+        return pairs.groupBy(F.col("L.doc_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.col("L.i").cast("long") * 3 + F.col("R.i")).alias("digest"))
+
+    condition = {"<<": f"R.i <> L.i AND {_UP}", ">>": f"R.i <> L.i AND {_DOWN}"}.get(relation, trees.RELATIONS[relation])
+    query(f"dep_rel_{name}_all", with_tok(f"SELECT L.doc_id, count(*) AS n, sum(L.i * 3 + R.i)::BIGINT AS digest FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND {condition} GROUP BY L.doc_id", _HEAP))(run)
+
+
 for _name, _op in trees.RELATION_NAMES.items():
     _relation(_name, _op)
+    _relation_of_all(_name, _op)
 
 
 def _dep(name: str, nodes: list, sql: str) -> None:
@@ -406,6 +419,11 @@ def trav_ancestors(spark, d):
     return _traversal(spark, d).where("i % 5 = 0").select("doc_id", "i", F.explode("ancestors").alias("ancestor"))
 
 
+@query("trav_ancestors_all", with_tok("SELECT doc_id, i::INTEGER AS i, a::INTEGER AS ancestor FROM (SELECT doc_id, i, unnest([a1, a2, a3, a4]) AS a FROM t) WHERE a IS NOT NULL", _HEAP))
+def trav_ancestors_all(spark, d):
+    return _traversal(spark, d).select("doc_id", "i", F.explode("ancestors").alias("ancestor"))
+
+
 @query("trav_subtree_set", with_tok(f"SELECT L.doc_id, L.i::INTEGER AS i, count(*) AS n, sum(R.i)::BIGINT AS members FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND (L.i = R.i OR {_DOWN}) GROUP BY L.doc_id, L.i", _HEAP))
 def trav_subtree_set(spark, d):
     return _traversal(spark, d).select("doc_id", "i", F.size("subtree").cast("long").alias("n"), F.aggregate("subtree", F.lit(0).cast("long"), lambda s, x: s + x).alias("members"))

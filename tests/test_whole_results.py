@@ -9,3 +9,16 @@ def test_topk_queries_are_every_fiftieth_id(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     found = engine.QUERIES["vec_cosine_topk_every_50"](spark, SF).groupBy("q").count().collect()
     assert {r.q for r in found} == {i for i in ids if i % 50 == 0} and {r["count"] for r in found} == {5}
+
+
+def test_ancestors_of_all_tokens(spark):
+    found = engine.QUERIES["trav_ancestors_all"](spark, SF)
+    assert {r.k for r in found.selectExpr("i % 5 AS k").distinct().collect()} == set(range(5))
+    assert set(engine.SQL) >= {f"dep_rel_{n}_all" for n in engine.trees.RELATION_NAMES}
+
+
+def test_relations_of_all_tokens(spark):
+    """Every token but a tree's root has one head."""
+    tokens = engine.heap_tokens(spark, SF).where("i <> head").count()
+    name = next(n for n, r in engine.trees.RELATION_NAMES.items() if r == "<")
+    assert engine.QUERIES[f"dep_rel_{name}_all"](spark, SF).groupBy().sum("n").first()[0] == tokens
