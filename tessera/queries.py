@@ -502,6 +502,37 @@ def ent_blocked_missing(spark, d):
     return _set(spark, d, {"blocked": [{"start": 0, "end": 2}], "missing": [{"start": 2, "end": 4}], "default": "outside"})
 
 
+def _set_counts(spark, d, update: dict):
+    """doc_id, iob, kind, n, places: the count and the sum of positions of every tag over all tokens of a document."""
+    from .operators.kernels import per_document
+
+    def run(row: dict) -> list[dict]:
+        n = row["n"]
+        held = {k: [s for s in v if s["end"] <= n] for k, v in update.items() if k != "default"}
+        found: dict = {}
+        for i, (iob, kind, _) in enumerate(entities.set_entities([("O", None, None)] * n, held | {"default": update["default"]})):
+            count, places = found.get((iob or "", kind or ""), (0, 0))
+            found[iob or "", kind or ""] = (count + 1, places + i)
+        return [{"doc_id": row["doc_id"], "iob": iob, "kind": kind, "n": c, "places": p} for (iob, kind), (c, p) in found.items()]
+
+    n = F.size(F.regexp_extract_all(F.col("text"), F.lit(REGEX), F.lit(0))).alias("n")
+    return per_document(docs_of(spark, d).select("doc_id", n), run, "doc_id bigint, iob string, kind string, n bigint, places bigint")
+
+
+_ALL = "s AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n FROM tok)"
+_COUNTED = "SELECT doc_id, iob, kind, count(*) AS n, sum(i)::BIGINT AS places FROM ({}) GROUP BY doc_id, iob, kind"
+
+
+@query("ent_set_all", with_tok(_COUNTED.format("SELECT doc_id, i, CASE WHEN n >= 3 AND i = 1 THEN 'B' WHEN n >= 3 AND i = 2 THEN 'I' ELSE 'O' END AS iob, CASE WHEN n >= 3 AND i IN (1, 2) THEN 'ORG' ELSE '' END AS kind FROM s"), _ALL))
+def ent_set_all(spark, d):
+    return _set_counts(spark, d, {"entities": [{"start": 1, "end": 3, "label": "ORG", "id": None}], "default": "outside"})
+
+
+@query("ent_blocked_missing_all", with_tok(_COUNTED.format("SELECT doc_id, i, CASE WHEN n >= 2 AND i < 2 THEN 'B' WHEN n >= 4 AND i IN (2, 3) THEN '' ELSE 'O' END AS iob, '' AS kind FROM s"), _ALL))
+def ent_blocked_missing_all(spark, d):
+    return _set_counts(spark, d, {"blocked": [{"start": 0, "end": 2}], "missing": [{"start": 2, "end": 4}], "default": "outside"})
+
+
 def _spans(spark, d):
     """Three spans a document, by its id."""
     k = F.col("doc_id") % 5

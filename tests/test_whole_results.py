@@ -22,3 +22,9 @@ def test_relations_of_all_tokens(spark):
     tokens = engine.heap_tokens(spark, SF).where("i <> head").count()
     name = next(n for n, r in engine.trees.RELATION_NAMES.items() if r == "<")
     assert engine.QUERIES[f"dep_rel_{name}_all"](spark, SF).groupBy().sum("n").first()[0] == tokens
+
+
+def test_tags_of_all_tokens(spark):
+    tokens = engine.tok(spark, SF).count()
+    for name in ("ent_set_all", "ent_blocked_missing_all"):
+        assert engine.QUERIES[name](spark, SF).groupBy().sum("n").first()[0] == tokens
