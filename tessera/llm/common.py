@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -17,11 +18,20 @@ from ..session import shared_dir
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: Tables written by the operators that are running, innermost last.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors. The table goes
+    when the application ends, and before that when a tidy operator no longer needs it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -32,6 +42,39 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that, when its plan is ready, removes the tables it has stored but for those that the plan reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        _written.append([])
+        try:
+            out = operator(*args, **options)
+        finally:
+            mine = _written.pop()
+        used = {f.rsplit("/", 2)[-2] for f in out.inputFiles()} if mine else set()
+        for path in mine:
+            if path.rsplit("/", 1)[-1] not in used:
+                dropped(out.sparkSession, path)
+            elif _written:
+                _written[-1].append(path)
+        return out
+
+    return run
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with each row's number, from 0, among the rows of equal keys (none null): a task numbers its own rows and adds the
+    counts of the tasks before it, so a hot key is spread over all tasks that have it. Rows of one key are told apart by
+    place alone, which df's stored copy fixes."""
+    held = stored(df.withColumn("__task", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy(*keys, "__task").agg(F.count("*").alias("__n"))
+    counts = counts.select(*keys, "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = held.withColumn("__own", F.row_number().over(Window.partitionBy(*keys, "__task").orderBy("__task")) - 1)
+    return own.join(counts, [*keys, "__task"]).withColumn(name, F.col("__base") + F.col("__own")).drop("__task", "__own", "__base")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
