@@ -5,8 +5,10 @@ each kept as postings: term -> (row, weight). A block of queries meets a block o
 query's terms scatter weighted postings into one dense score array, from which the k best are selected by partition.
 The partial lists, k rows a query and candidate block, are merged by a window over the query.
 
-Scale: every pair of blocks is one row of an equi-join on the query block's number (the query set is stated, so all
-pairs of blocks have to be scored), no block grows with the data, and only k rows leave each pair.
+Scale: the query set is stated, so all pairs of blocks have to be scored. Query blocks of SMALL bytes or fewer in all are
+broadcast and the candidates stay where they are. Beyond that both sides are dealt out to a grid: a candidate block moves
+once for each stripe of WIDE query blocks, a query block once for each column, and the key is stripe and column. No block
+grows with the data, and only k rows leave each pair.
 """
 
 from __future__ import annotations
@@ -19,11 +21,17 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import stored, tidy
+
 SCALE = 256
+SMALL = 32 << 20
+WIDE = 64
 _PACKED = "block int, ids binary, lens binary, terms binary"
 
 
 def _pack(block_rows: int):
+    """Blocks of usable rows (id, vec): their ids, lengths and scaled components."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         lens: list[np.ndarray] = []
@@ -39,24 +47,10 @@ def _pack(block_rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, block_rows):
                 piece = batch.slice(at, block_rows)
-                vec = piece.column(1)
-                good = [i for i in range(len(vec)) if vec[i].is_valid]
-                flat = vec.flatten()
-                size = np.asarray(pa.compute.list_value_length(vec).fill_null(0), dtype=np.int64)
-                whole = np.asarray(flat.is_null(), dtype=bool)
-                x = np.asarray(flat.fill_null(0), dtype=np.float64)
-                bad = whole | ~np.isfinite(x)
-                row = np.repeat(np.arange(len(size)), size)
-                keep = np.zeros(len(size), dtype=bool)
-                keep[good] = True
-                keep[row[bad]] = False
-                key = piece.column(0)
-                keep &= np.asarray(key.is_valid())
-                q = np.floor(SCALE * x[keep[row]])
-                ids.append(np.asarray(key.fill_null(0), dtype=np.int64)[keep])
-                lens.append(size[keep])
-                parts.append(q)
-                held += int(keep.sum())
+                ids.append(np.asarray(piece.column(0), dtype=np.int64))
+                lens.append(np.asarray(pa.compute.list_value_length(piece.column(1)), dtype=np.int64))
+                parts.append(np.floor(SCALE * np.asarray(piece.column(1).flatten(), dtype=np.float64)))
+                held += piece.num_rows
                 if held >= block_rows:
                     yield out()
                     ids, lens, parts, held = [], [], [], 0
@@ -116,29 +110,39 @@ def _score(k: int):
     return kernel
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id and vec of the rows whose id and vector are there, with finite components only."""
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return slim.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: F.coalesce(finite(x), F.lit(False))))
+
+
+@tidy
+def top_k(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 8192, query_rows: int = 1024, small: int = SMALL, wide: int = WIDE
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k candidates with the highest integer inner product for each query row.
 
     Components are floor(256 * x). A query never returns its own id; ties go to the smaller id; all candidates if fewer
     than k. Rows whose id or vector is null, or whose vector holds a null or a non-finite component, take no part; an empty
-    vector scores 0 with all. Repeated query rows are one query; a repeated candidate row counts each time. Vectors of
-    different lengths are compared on their common terms. Scores past a long's range are held to it. Other columns are
-    ignored, so clashing names do no harm.
+    vector scores 0 with all. Query rows of one id are one query, the least of their usable vectors; a repeated candidate
+    row counts each time. Vectors of different lengths are compared on their common terms. Scores past a long's range are
+    held to it. Other columns are ignored, so clashing names do no harm.
     """
-    slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    cand = slim(vectors).mapInArrow(_pack(block_rows), _PACKED)
-    asked = slim(queries).dropDuplicates(["id"]).mapInArrow(_pack(query_rows), _PACKED)
-    # The numbers of the query blocks are a range, so each candidate block is replicated to them by a generated list.
-    asked = asked.withColumn("block", F.monotonically_increasing_id())
-    asked = asked.select(F.col("block").alias("q_block"), *(F.col(c).alias("q_" + c) for c in ("ids", "lens", "terms")))
-    from .common import stored
-
-    asked = stored(asked, "queries")
-    blocks = stored(asked.select("q_block"), "query-blocks")
-    numbers = blocks.agg(F.sort_array(F.collect_set("q_block")).alias("n")).first()["n"] or []  # one number a block of 1,024 queries
-    pairs = cand.drop("block").withColumn("q_block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.lit(None).cast("array<bigint>")))
-    pairs = pairs.join(asked, "q_block").select("q_ids", "q_lens", "q_terms", "ids", "lens", "terms")
-    part = pairs.mapInArrow(_score(k), "query_id bigint, vec_id bigint, score bigint")
+    cand = usable(vectors, id_col, vec_col).mapInArrow(_pack(block_rows), _PACKED).drop("block")
+    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(_pack(query_rows), _PACKED)
+    asked = stored(asked.select(*(F.col(c).alias("q_" + c) for c in ("ids", "lens", "terms"))), "queries")
+    blocks, held = asked.agg(F.count("*"), F.sum(F.octet_length("q_ids") + F.octet_length("q_lens") + F.octet_length("q_terms"))).first()
+    # A grid: a stripe has up to `wide` query blocks, and each of its columns a share of the candidate blocks.
+    few = (held or 0) <= small
+    stripes = 1 if few else -(-blocks // wide)
+    columns = 1 if few else max(1, -(-2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // stripes))
+    deal = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = cand.withColumn("col", deal(columns, "ids")).withColumn("stripe", every(stripes))
+    right = asked.withColumn("stripe", deal(stripes, "q_ids")).withColumn("col", every(columns))
+    pairs = left.join(F.broadcast(right) if few else right, ["stripe", "col"])
+    part = pairs.select("q_ids", "q_lens", "q_terms", "ids", "lens", "terms").mapInArrow(_score(k), "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
