@@ -2,7 +2,7 @@
 
 A row's key is a 60-bit hash of its id and text. The directory starts with one bucket of no bits; a bucket over the byte
 limit splits on one more bit, until it fits or holds one row. Rows alike in all 60 bits (copies of one row) that are still
-too many go to overflow pages of one bucket.
+too many fill one overflow page of their bucket after another.
 
 Scale: the split decisions need only sums over hash prefixes. Rows are summed once by a prefix a few bits longer than an even
 split needs; the sums of all shorter prefixes come from those. Prefixes still too large go round again with more bits, over
@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, numbered, stored, tidy
 
 LIMIT = 1 << 20
 BITS = 60
@@ -99,23 +99,23 @@ def prefix_start(depth: F.Column) -> F.Column:
 
 
 def _with_pages(placed: DataFrame, limit: int) -> DataFrame:
-    """Splits buckets of copies that are alike in all bits into pages that fit the limit; all other rows have page 0."""
+    """Splits buckets of copies that are alike in all bits into pages that fit the limit, with their own bytes and rows; all
+    other rows have page 0. Every page but a bucket's last is full, so which copy is where doesn't change the rows."""
     over = (F.col("depth") == BITS) & (F.col("shard_docs") > 1) & (F.col("shard_bytes") > limit)
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
     rest = placed.where(~over).withColumn("page", F.lit(0).cast("long"))
-    copies = placed.where(over)
-    # Copies of one row are interchangeable: each task numbers its own, in runs of whole pages kept apart by the task's number.
-    copies = copies.withColumn("task", F.spark_partition_id())
-    copies = copies.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("key", "task").orderBy("key")) - 1) / room) * F.lit(1 << 20) + F.col("task")).drop("task")
-    return rest.unionByName(copies.withColumn("page", F.col("page") + 1))
+    copies = numbered(placed.where(over), ["key"], "n").withColumn("page", F.floor(F.col("n") / room).cast("long")).drop("n")
+    docs = F.least(room, F.col("shard_docs") - F.col("page") * room)
+    return rest.unionByName(copies.withColumns({"shard_docs": docs, "shard_bytes": docs * F.col("bytes")}))
 
 
+@tidy
 def shard(docs: DataFrame, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns of every row of docs with shard (its bucket's bits), depth, shard_bytes, shard_docs and page.
+    """The `keep` columns of every row of docs with shard (its bucket's bits), depth, page, and the page's shard_bytes and shard_docs.
 
-    A shard's texts, as UTF-8, have `limit` bytes or fewer unless it is one row that has more by itself. Null texts have no
-    bytes and null ids count as empty in the key; copies of a row (same id and text) that fill more than one shard are on
-    pages of it; no documents give no rows. The added columns replace columns of the same names.
+    A page's texts, as UTF-8, have `limit` bytes or fewer unless it is one row that has more by itself; a shard has one page, 0,
+    but where copies of a row (same id and text) are too many for one. Null texts have no bytes and null ids count as empty in
+    the key; no documents give no rows. The added columns replace columns of the same names.
     """
     # The kept columns travel as one, so that their names can't clash with those of the directory.
     base = docs.select(F.struct(*keep).alias("row"), key_column().alias("key"), size_column().alias("bytes"))
@@ -130,17 +130,23 @@ def shard(docs: DataFrame, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id"
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document, at a limit of 1 MiB."""
-    return shard(documents(spark, sf_dir)).select("doc_id", "shard", "depth", "shard_bytes", "shard_docs")
+    """The shard and page of every document, at a limit of 1 MiB."""
+    return shard(documents(spark, sf_dir)).select("doc_id", "shard", "depth", "page", "shard_bytes", "shard_docs")
 
 
 OP10_SQL = f"""
 WITH d AS (
-  SELECT doc_id, lpad(bin(('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 15))::BIGINT), 60, '0') AS bits,
+  SELECT row_number() OVER () AS r, doc_id, lpad(bin(('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 15))::BIGINT), 60, '0') AS bits,
     coalesce(strlen(text), 0) AS bytes FROM documents),
-p AS (SELECT doc_id, bytes, k AS depth, left(bits, k) AS shard FROM d, generate_series(0, 60) AS g(k)),
+p AS (SELECT r, doc_id, bytes, k AS depth, left(bits, k) AS shard FROM d, generate_series(0, 60) AS g(k)),
 s AS (SELECT depth, shard, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY ALL),
 ok AS (SELECT * FROM s WHERE shard_bytes <= {LIMIT} OR shard_docs = 1 OR depth = 60),
-m AS (SELECT p.doc_id, ok.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS r FROM p JOIN ok USING (depth, shard))
-SELECT doc_id, shard, depth::INTEGER AS depth, shard_bytes, shard_docs FROM m WHERE r = 1
+m AS (SELECT p.r, p.doc_id, p.bytes, ok.*, row_number() OVER (PARTITION BY p.r ORDER BY p.depth) AS first FROM p JOIN ok USING (depth, shard)),
+n AS (SELECT *, shard_bytes > {LIMIT} AND shard_docs > 1 AS over, greatest(1, {LIMIT} // greatest(bytes, 1)) AS room,
+    row_number() OVER (PARTITION BY shard, depth) - 1 AS k FROM m WHERE first = 1),
+q AS (SELECT *, CASE WHEN over THEN k // room ELSE 0 END AS page FROM n)
+SELECT doc_id, shard, depth::INTEGER AS depth, page::BIGINT AS page,
+  (CASE WHEN over THEN least(room, shard_docs - page * room) * bytes ELSE shard_bytes END)::BIGINT AS shard_bytes,
+  (CASE WHEN over THEN least(room, shard_docs - page * room) ELSE shard_docs END)::BIGINT AS shard_docs
+FROM q
 """
