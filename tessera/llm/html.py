@@ -1,18 +1,25 @@
 """Main-text extraction from HTML (operator 2).
 
 A streaming standard-library parser turns a page into lines, one per block. Each line has a text-to-tag ratio: its
-characters over the tags met since the line before, nought where it stands in page furniture. The ratios are smoothed by a
-Gaussian and split in two by a clustered threshold; the lines above it mark the content region. The region's element is the
-deepest one that holds most of the marked text, and an article or main element where one does. All lines of that element
-that are not furniture are the text, however short they are.
+characters outside links over the tags met since the line before, on a logarithmic scale, and nought in page furniture. The
+ratios are smoothed by a Gaussian and split in two by a clustered threshold; lines above it are marked. Regions come from the
+marks: the article and main elements of a page where they hold most of the marked text, else every container whose own text
+is mostly marked, with the headings between such containers. All lines of a region that are not furniture are the text,
+however short they are.
+
+Furniture is what its element or role says it is. A class or id counts only if all its words are those of furniture or say
+where something stands ("sidebar-left", not "layout with-sidebar"), never for an element that holds an article or main, and
+for ambiguous words only where the ratios and links agree.
 
 Scale: one pass, no shuffle; a page is the only state. An element is a number with its parent's, a line names the deepest one it
-is in, and an open element carries what its ancestors are, so memory is linear in the page however deep it nests.
+is in, and an open element carries what its ancestors are, so memory is linear in the page however deep it nests. What can't
+be markup any more (an unclosed tag at a page's end) is cut before parsing, which keeps the time linear as well.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -30,13 +37,24 @@ FURNITURE = frozenset("script style noscript template head nav footer aside form
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words of a class or id that name page furniture.
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars aside menu menus nav navbar navigation"
-    " breadcrumb breadcrumbs footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription social share sharing"
-    " comment comments commentlist disqus replies respond related recommended widget widgets login signin signup register search pagination pager form paywall disclaimer skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars aside nav navbar navigation"
+    " breadcrumb breadcrumbs footer foot masthead topbar cookie cookies consent gdpr popup modal newsletter social share sharing comment comments commentlist disqus replies respond paywall".split()
+)
+#: Words that name furniture only where little of the element's text is marked, or much of it is linked.
+AMBIGUOUS_WORDS = frozenset(
+    "menu menus header toolbar notice notices alert overlay subscribe subscription related recommended widget widgets login signin signup register search pagination pager form disclaimer skip reply".split()
+)
+#: Words that say where something stands or what it is made of.
+PLACE_WORDS = frozenset(
+    "site main page post posts article articles blog global primary secondary top bottom left right side inner outer wrap wrapper container box block list item items section area bar content group user reader"
+    " readers the a of and to in on for new latest more links link".split()
 )
 CONTAINERS = frozenset("article main body".split())
-#: Elements that hold one block of text and are no region.
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that belong to the text of what they stand in and are no region of their own.
+TEXT_BLOCKS = HEADINGS | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption details summary hgroup address center".split())
+#: Lines of so many characters a tag are prose, whatever the other lines are.
+PROSE = 40
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -52,14 +70,16 @@ class _Open(NamedTuple):
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, link characters, furniture, deepest element's number) for every block of a page."""
+    """Collects (text, tags, link characters, deepest element's number) for every block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[_Open] = []
         self.kind: list[str] = []  # tag by number
         self.parent: list[int] = []  # parent by number, -1 for none; parents have smaller numbers
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.certain: list[bool] = []  # furniture by number
+        self.named: list[int] = []  # by number: 2 if its class or id names furniture, 1 if by an ambiguous word
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
 
@@ -69,7 +89,7 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.top().furniture, self.top().number))
+            self.lines.append((text, self.tags, self.linked, self.top().number))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -84,12 +104,15 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         up = self.top()
-        furniture = up.furniture or self.is_furniture(tag, attrs)
-        if tag in INLINE and furniture and not up.furniture:
+        certain, named = self.is_furniture(tag, attrs), self.names_furniture(tag, attrs)
+        apart = certain or named == 2
+        if tag in INLINE and apart and not up.furniture:
             self.flush()
-        self.open.append(_Open(tag, len(self.kind), furniture, up.article or tag in ("article", "main"), up.link or tag == "a"))
+        self.open.append(_Open(tag, len(self.kind), up.furniture or apart, up.article or tag in ("article", "main"), up.link or tag == "a"))
         self.kind.append(tag)
         self.parent.append(up.number)
+        self.certain.append(certain)
+        self.named.append(named)
 
     def implied(self, tag: str) -> None:
         """Ends the elements that the start of another one ends without an end tag."""
@@ -108,26 +131,31 @@ class _Lines(HTMLParser):
                 break
 
     def is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether element, role or visibility make it furniture."""
         if tag in FURNITURE:
             return True
-        inside = self.top().article
         if tag == "header":
-            return not inside
+            return not self.top().article
         if tag in CONTAINERS or tag == "html":
-            named = [v for k, v in attrs if k in ("class", "id") and v]
-            return tag == "article" and inside and bool(self.words(named) & {"comment", "comments", "reply"})
+            return False
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and (v or "").lower() in FURNITURE_ROLES:
                 return True
             if k == "style" and "display:none" in (v or "").replace(" ", "").lower():
                 return True
-            if k in ("class", "id") and v and self.words([v]) & FURNITURE_WORDS and not (tag in ("h1", "h2", "h3") and inside):
-                return True
         return False
 
-    @staticmethod
-    def words(values: list[str]) -> set[str]:
-        return {w for v in values for w in "".join(c if c.isalnum() else " " for c in v.lower()).split()}
+    def names_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        inside, out = self.top().article, 0
+        if tag in ("html", "body", "main") or tag in HEADINGS and inside or tag == "article" and not inside:
+            return 0
+        for k, v in attrs:
+            if k in ("class", "id") and v:
+                for one in v.split():
+                    words = set(_WORD.findall(_HUMP.sub(" ", one).lower()))
+                    if words <= FURNITURE_WORDS | AMBIGUOUS_WORDS | PLACE_WORDS:
+                        out = max(out, 2 if words & FURNITURE_WORDS else 1 if words & AMBIGUOUS_WORDS else 0)
+        return out
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -151,7 +179,21 @@ class _Lines(HTMLParser):
             self.linked += len(data.strip())
 
 
+_WORD, _HUMP = re.compile(r"[^\W\d_]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+_COMMENT, _OPENS = re.compile(r"<!--.*?(?:-->|\Z)", re.S), re.compile(r"<[A-Za-z/!?]")
+
+
+def _closed(html: str) -> str:
+    """The page without comments and without a last tag that never ends."""
+    if "<!--" in html:
+        html = _COMMENT.sub("", html)
+    if m := _OPENS.search(html, html.rfind(">") + 1):
+        html = html[: m.start()]
+    return html
+
+
 def _parsed(html: str) -> _Lines:
+    html = _closed(html)
     for text in (html, html.replace("<![", "&lt;![")):
         p = _Lines()
         try:
@@ -185,41 +227,79 @@ def threshold(x: list[float]) -> float:
     return (lo + hi) / 2
 
 
+def _furniture(p: _Lines, named: list[int], least: int) -> list[bool]:
+    """By element: whether it or an ancestor is furniture for certain or is named so at `least`."""
+    out: list[bool] = []
+    for n, up in enumerate(p.parent):
+        out.append(up >= 0 and out[up] or p.certain[n] or named[n] >= least)
+    return out
+
+
+def marked(lines: list[tuple[int, int, int]], sigma: float = 1.0) -> list[bool]:
+    """Which lines (characters, tags, linked characters; no characters for furniture) are above the clustered threshold."""
+    smooth = smoothed([math.log1p(max(0, size - linked) / max(1, tags)) for size, tags, linked in lines], sigma)
+    bound = min(threshold(smooth), math.log1p(PROSE))
+    return [s >= bound and size > 0 for s, (size, _, _) in zip(smooth, lines, strict=True)]
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page: its blocks in page order, joined by a newline; empty for null, empty or textless pages."""
     if not html:
         return ""
     p = _parsed(html)
-    if not any(not line[3] for line in p.lines):
+    count = len(p.kind)
+    parts = list(zip(p.kind, p.parent, strict=True))
+    holds = [k in ("article", "main") for k in p.kind]
+    for n in range(count - 1, -1, -1):
+        if p.parent[n] >= 0:
+            holds[p.parent[n]] |= holds[n]
+    named = [0 if h and k != "article" else c for h, k, c in zip(holds, p.kind, p.named, strict=True)]
+    off = _furniture(p, named, 2)
+    is_off = lambda at: at >= 0 and off[at]
+    if all(is_off(at) for *_, at in p.lines):
         return ""
-    ratio = [0.0 if furniture else len(text) * (1 - min(1.0, linked / len(text))) / max(1, tags) for text, tags, linked, furniture, _ in p.lines]
-    smooth = smoothed(ratio, sigma)
-    bound = threshold(smooth)
-    mass = [0] * len(p.kind)
-    total = 0
-    for (text, _, _, furniture, at), s in zip(p.lines, smooth, strict=True):
-        if not furniture and s >= bound:
-            total += len(text)
-            if at >= 0:
-                mass[at] += len(text)
-    for n in range(len(mass) - 1, -1, -1):
+    above = marked([(0 if is_off(at) else len(text), tags, linked) for text, tags, linked, at in p.lines], sigma)
+    size, mass, links = [0] * count, [0] * count, [0] * count
+    for (text, _, linked, at), m in zip(p.lines, above, strict=True):
+        if at >= 0 and not off[at]:
+            size[at], mass[at], links[at] = size[at] + len(text), mass[at] + m * len(text), links[at] + linked
+    own_size, own_mass = [0] * (count + 1), [0] * (count + 1)
+    region: list[int] = []  # the nearest container, by element
+    for n, (kind, up) in enumerate(parts):
+        region.append(n if kind not in INLINE and kind not in TEXT_BLOCKS else region[up] if up >= 0 else -1)
+        own_size[region[n]] += size[n]
+        own_mass[region[n]] += mass[n]
+    for n in range(count - 1, -1, -1):
+        if (up := p.parent[n]) >= 0:
+            size[up], mass[up], links[up] = size[up] + size[n], mass[up] + mass[n], links[up] + links[n]
+    # Ambiguous names count where the ratios or the links agree with them.
+    named = [2 if c == 1 and (2 * mass[n] < size[n] or 10 * links[n] > 3 * size[n]) else c for n, c in enumerate(named)]
+    off = _furniture(p, named, 2)
+    total = sum(len(text) for (text, *_, at), m in zip(p.lines, above, strict=True) if m and not is_off(at))
+    outer = [False] * count
+    within, listed = [False] * count, [False] * count
+    for n, (kind, up) in enumerate(parts):
+        outer[n] = kind in ("article", "main") and not off[n] and not (up >= 0 and within[up])
+        within[n] = outer[n] or up >= 0 and within[up]
+        listed[n] = kind in ("li", "ul", "ol", "td") or up >= 0 and listed[up]
+    if any(outer) and 2 * sum(mass[n] for n in range(count) if outer[n]) >= total:
+        return "\n".join(text for text, *_, at in p.lines if at >= 0 and within[at] and not off[at])
+    content = [own_mass[n] > 0 and 2 * own_mass[n] >= own_size[n] for n in range(count)]
+    # Between the containers of content stand those that hold several of them; of these the headings belong to the text.
+    branches = [int(c) for c in content]
+    for n in range(count - 1, -1, -1):
         if p.parent[n] >= 0:
-            mass[p.parent[n]] += mass[n]
-    held = [n for n, m in enumerate(mass) if m]
-    named = [n for n in held if p.kind[n] in ("article", "main") and mass[n] >= 0.5 * total]
-    wide = [n for n in held if p.kind[n] not in INLINE and p.kind[n] not in TEXT_BLOCKS and mass[n] >= 0.8 * total]
-    region = max(named) if named else max(wide, default=None)
-    inside, listed = [], []
-    for n, (kind, up) in enumerate(zip(p.kind, p.parent, strict=True)):
-        inside.append(n == region or up >= 0 and inside[up])
-        listed.append(kind in ("li", "ul", "ol", "td") or up >= 0 and listed[up])
+            branches[p.parent[n]] += branches[n] > 0
     out = []
-    for text, _, linked, furniture, at in p.lines:
-        if furniture or region is not None and not (at >= 0 and inside[at]):
+    for (text, _, linked, at), m in zip(p.lines, above, strict=True):
+        if is_off(at):
             continue
-        if not named and linked > 0.8 * len(text) and at >= 0 and listed[at]:
+        r = region[at] if at >= 0 else -1
+        if not m and linked > 0.8 * len(text) and at >= 0 and listed[at]:
             continue
-        out.append(text)
+        heading = at >= 0 and r >= 0 and branches[r] > 0 and p.kind[at] in HEADINGS
+        if m and r < 0 or r >= 0 and content[r] or heading or r < 0 and not any(content):
+            out.append(text)
     return "\n".join(out)
 
 
@@ -231,7 +311,8 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row. A null or empty page has an empty text; ids and urls pass unchanged, null
-    or repeated; malformed markup is read as far as the parser goes; other columns are ignored."""
+    or repeated; malformed markup is read as far as the parser goes, and a last tag that never ends is dropped; no pages give
+    no rows; other columns are ignored."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").cast("binary").alias("html"))
     return slim.mapInArrow(_kernel, "page_id bigint, url string, text string, n_chars bigint")
 
