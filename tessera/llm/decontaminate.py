@@ -6,7 +6,8 @@ backwards, all at once, through ranks of a wavelet matrix over the Burrows-Wheel
 walking to sampled suffix positions; overlapping occurrences merge into removal spans.
 
 Scale: shards are built inside the scan's tasks, so nothing is shuffled and memory depends on SHARD_WORDS alone. The test
-set is read in blocks of at most BLOCK_BYTES, each broadcast; beyond one block every further block is another pass.
+set is read in blocks of at most BLOCK_BYTES, and the driver holds one at a time. Executors get the blocks as files; of more
+than one a worker loads one at a time, for HELD_BYTES of documents, so its memory doesn't grow with the test set.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import as_bytes, documents, rows_of
 WINDOW = 10
 SHARD_WORDS = 400_000
 BLOCK_BYTES = 32 << 20
+#: Bytes of documents that a further block of the test set is loaded for.
+HELD_BYTES = 32 << 20
 SAMPLE = 8
 #: Runs longer than this are cut, with an overlap of a window less one word, which bounds the depth of the suffix sort.
 PIECE = 256
@@ -219,15 +222,42 @@ def _shard(texts: list[bytes], phrases: Phrases, window: int) -> list[tuple[int,
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _search(shared, window: int, shard_words: int):
+def _merged(spans: list[list[int]]) -> list[dict]:
+    out: list[list[int]] = []
+    for a, e in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([a, e])
+    return [{"start": a, "end": e} for a, e in out]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int, alone: bool) -> Iterator[tuple[pa.RecordBatch, list[pa.RecordBatch]]]:
+    """Batches with their shards; with more than one block, a batch is all that a block is loaded for."""
+    for batch in rows_of(batches, most if alone else HELD_BYTES):
+        yield batch, [batch] if alone else list(rows_of([batch], most))
+
+
+def _search(blocks: list, window: int, shard_words: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = shared.value
-        for batch in rows_of(batches, shard_words * 6):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            rows = _shard(texts, phrases, window)
-            spans = [[{"start": a, "end": b} for a, b in s.tolist()] for _, s, _ in rows]
-            ids = [sorted(x for k in it if (x := phrases.ids[k]) is not None) for _, _, it in rows]
-            extra = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))]
+        for batch, shards in _pieces(batches, shard_words * 6, len(blocks) == 1):
+            texts = [s.column(s.num_columns - 1).to_pylist() for s in shards]
+            sizes = [0] * batch.num_rows
+            spans: list[list[list[int]]] = [[] for _ in sizes]
+            found: list[set[str]] = [set() for _ in sizes]
+            for b in blocks:
+                phrases: Phrases = b.value
+                at = 0
+                for part in texts:
+                    for n, s, items in _shard(part, phrases, window):
+                        sizes[at] = n
+                        spans[at] += s.tolist()
+                        found[at].update(x for k in items if (x := phrases.ids[k]) is not None)
+                        at += 1
+                del phrases
+                if len(blocks) > 1 and getattr(b, "_path", None) is not None:
+                    del b._value  # a worker holds one block; it reads the next use of this one from its file
+            extra = [pa.array(sizes, pa.int64()), pa.array([_merged(s) for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*batch.schema.names[:-1], "n_words", "spans", "items"])
 
     return kernel
@@ -257,32 +287,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     schema += f", n_words bigint, spans {_SPANS}, items array<string>"
     base = docs.select(*keep, as_bytes(text_col).alias("__bytes"))
-    blocks = list(_blocks_phrases(benchmark, window, sc))
-    if len(blocks) == 1:
-        return base.mapInArrow(_search(blocks[0], window, shard_words), schema)
-
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, shard_words * 6):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            total: list = [None] * len(texts)
-            for b in blocks:
-                for i, (n, s, it) in enumerate(_shard(texts, b.value, window)):
-                    ids = {x for k in it if (x := b.value.ids[k]) is not None}
-                    old = total[i]
-                    total[i] = (n, [*old[1], *s.tolist()], old[2] | ids) if old else (n, s.tolist(), ids)
-            merged = []
-            for n, s, it in total:
-                m: list[list[int]] = []
-                for a, e in sorted(s):
-                    if m and a <= m[-1][1]:
-                        m[-1][1] = max(m[-1][1], e)
-                    else:
-                        m.append([a, e])
-                merged.append((n, [{"start": a, "end": e} for a, e in m], sorted(it)))
-            extra = [pa.array([x[0] for x in merged], pa.int64()), pa.array([x[1] for x in merged], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([x[2] for x in merged], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*batch.schema.names[:-1], "n_words", "spans", "items"])
-
-    return base.mapInArrow(chained, schema)
+    return base.mapInArrow(_search(list(_blocks_phrases(benchmark, window, sc)), window, shard_words), schema)
 
 
 def _blocks_phrases(benchmark: DataFrame, window: int, sc):
@@ -291,7 +296,8 @@ def _blocks_phrases(benchmark: DataFrame, window: int, sc):
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold any test window, with all their columns."""
+    """docs without the rows that hold any test window, with all their columns. Rows are judged one by one: repeated rows all stay
+    or all go, null and empty texts stay, ids may be null; no test set removes nothing; no documents give no rows."""
     whole = docs.select(F.struct(*docs.columns).alias("__row"), "text")
     return find_overlaps(whole, benchmark, window, keep=("__row",)).where(F.size("spans") == 0).select("__row.*")
 
