@@ -1,22 +1,26 @@
-"""Language-model scores by stupid backoff over bigrams (operator 5).
-
-A word scores log(count(previous, word) / count(previous, any)) where the bigram occurs at least MIN_COUNT times in all
-documents, else log(BACKOFF) + log(count(word) / words); a document's first word scores log(count(word) / words). Each log
-is a whole number of micro-nats, so a sum doesn't depend on the order of addition.
-
-All positions are exploded and partitioned by a hash of their context; a partition counts its bigrams and contexts and joins
-the counts back to its positions. Positions whose bigram is too rare go on to the partition of their word's hash, where they
-meet the unigram table. Scores are summed per document.
-
-Scale: exchanges carry packed rows, one for each block of documents and partition: distinct bigrams as 48-bit hashes, and
-the documents of their occurrences. Words that make up more than HOT of all words are at most 1 / HOT in number; their counts
-alone are broadcast, and their bigrams are dealt out by the whole bigram, so no partition gets a whole hot context or word.
-The number of partitions follows the number of words.
+"""Language-model scores by stupid backoff (operator 5), over trigrams unless told otherwise.
+
+A word scores log(count(context, word) / count(context, any)) under the longest context whose n-gram occurs at least MIN_COUNT
+times in all documents, plus log(BACKOFF) for every longer context that the document has there; without such a context it
+scores log(count(word) / words). Contexts don't reach over a document's start. Each log is a whole number of micro-nats, so a
+document's sum doesn't depend on the order of addition.
+
+All n-grams are exploded and partitioned by the hash of the word before the last, so a partition has the whole count tables of
+the n-grams and contexts of all orders that end so, and joins them to its n-grams. Those without a frequent n-gram go on to
+the partition of their word, where they meet the unigram table. Scores are summed per document.
+
+Scale: words are compared as they are; hashes only say where they go. Exchanges carry packed rows, one for each block of
+documents and partition: its distinct words, its distinct n-grams as numbers of these, and the documents they are in. A
+word that would fill more than a part of a partition is hot. The n-grams after a hot word go to two partitions, dealt by the
+two words before the last, which scores those with a frequent trigram, and by the last two words, which scores the others;
+either has all counts that it needs but those of hot words alone. These, at most 1 / FREQUENT, are broadcast. The number of
+partitions follows the number of words. Beyond about 10**12 words a packed row has few n-grams, and the exchange costs what
+a row for each n-gram would.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,32 +29,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, as_bytes, documents, stored
+from .common import ASCII_LOWER, as_bytes, documents, stored, tidy
 
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
-HOT = 1e-4
+#: Counts of words that make up more than this of all words are broadcast.
+FREQUENT = 1e-4
+#: A word that fills this much of a partition is hot.
+HOT = 0.25
 BLOCK_WORDS = 2_500_000
 BLOCK_DOCS = 1 << 16
-PART_WORDS = 2_000_000
+PART_WORDS = 1_000_000
 MICRO = 1_000_000
-#: Stands for "no word before"; word hashes are below it.
-START = np.uint64((1 << 48) - 1)
+CODEC = "zstd"
 
 
 def micro(x: float | np.ndarray) -> np.ndarray:
     return np.rint(np.log(x) * MICRO).astype(np.int64)
 
 
-def hashes(text: bytes) -> np.ndarray:
-    """48-bit hashes of a text's words."""
-    words = text.translate(ASCII_LOWER).split()
-    h64, top = xxhash.xxh64_intdigest, (1 << 48) - 1
-    table = {w: h64(w) % top for w in set(words)}
-    return np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words))
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(ASCII_LOWER).split()
+
 
+def _hashes(words: Sequence[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
-def _spread(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+
+def _spread(a: np.ndarray, b: np.ndarray | int, parts: int) -> np.ndarray:
     """A partition for each pair of hashes."""
     x = a * np.uint64(0x9E3779B97F4A7C15) ^ b  # two fixed odd multipliers
     x ^= x >> np.uint64(31)
@@ -59,21 +66,55 @@ def _spread(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
     return (x % np.uint64(parts)).astype(np.int64)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """48-bit numbers as six planes of bytes, which compress better than whole numbers."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+# ---- packed rows ---------------------------------------------------------------------------------------------------
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0, each in as few bytes a number as its largest takes, compressed together."""
+    parts = [np.array([len(arrays)], "<i8").tobytes()]
+    for a in arrays:
+        kind = "<u1" if not len(a) or a.max() < 1 << 8 else "<u2" if a.max() < 1 << 16 else "<u4" if a.max() < 1 << 32 else "<u8"
+        parts += [np.array([len(a), int(kind[2])], "<i8").tobytes(), a.astype(kind).tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, CODEC, asbytes=True)
+
+
+def _loosened(b: bytes) -> list[np.ndarray]:
+    raw = memoryview(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), CODEC, asbytes=True))
+    out, at = [], 8
+    for _ in range(int(np.frombuffer(raw, "<i8", 1)[0])):
+        n, width = (int(x) for x in np.frombuffer(raw, "<i8", 2, at))
+        out.append(np.frombuffer(raw, f"<u{width}", n, at + 16).astype(np.int64))
+        at += 16 + n * width
+    return out
+
+
+def _vocabulary(words: Sequence[bytes]) -> tuple[bytes, bytes]:
+    """Distinct words as their lengths and their compressed bytes."""
+    raw = b"".join(words)
+    return _squeezed(np.fromiter(map(len, words), np.int64, len(words))), len(raw).to_bytes(8, "little") + pa.compress(raw, CODEC, asbytes=True)
 
 
-def _whole(b: bytes) -> np.ndarray:
-    p = np.frombuffer(b, np.uint8).reshape(6, -1)
-    out = np.zeros((p.shape[1], 8), dtype=np.uint8)
-    out[:, :6] = p.T
-    return out.view("<u8").reshape(-1).astype(np.uint64)
+def _listed(sizes: bytes, raw: bytes) -> pa.Array:
+    (size,) = _loosened(sizes)
+    data = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), CODEC)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), data])
 
 
-def _runs(new: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero(new)
-    return np.diff(np.append(at, len(new)))
+def _joined(rows: list[dict]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of packed rows, and for each row its words' numbers among them."""
+    lists = [_listed(r["sizes"], r["words"]) for r in rows]
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    number = np.asarray(coded.indices)
+    ends = np.cumsum([len(x) for x in lists])
+    return coded.dictionary, [number[e - len(x) : e] for e, x in zip(ends.tolist(), lists, strict=True)]
+
+
+#: Rows of an exchange. kind 0: a block's documents (ids, sizes, known); 1: n-grams; 2: n-grams by their context, of hot words;
+#: 3: these by their last words; 4: words that come down; 5: sums of a block's documents. ids are signed and packed as they are.
+_ROW = "part int, kind int, block bigint, sizes binary, words binary, body binary, ids binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary()), ("body", pa.binary()), ("ids", pa.binary())])
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -85,61 +126,114 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _packed(kind: int, block: int, part: np.ndarray, grams: list[np.ndarray], doc: np.ndarray, words: Sequence[bytes]) -> Iterator[dict]:
+    """One row a partition: its distinct n-grams (columns of numbers of words, 0 for none, word k as k + 1) and their documents."""
+    order = np.lexsort((doc, *grams[::-1], part))
+    part, grams, doc = part[order], [g[order] for g in grams], doc[order]
+    cut = np.append(np.flatnonzero(_changes(part)), len(part))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = [g[a:b] for g in grams]
+        new = _changes(*own)
+        at = np.flatnonzero(new)
+        own = [g[new] for g in own]
+        used, local = np.unique(np.concatenate([[0], *own]), return_inverse=True)
+        local = local[1:].reshape(len(own), -1)
+        # The first number of a row is always 0, for no word.
+        sizes, raw = _vocabulary([words[k - 1] for k in used[1:].tolist()])
+        yield {"part": int(part[a]), "kind": kind, "block": block, "sizes": sizes, "words": raw, "body": _squeezed(*local, np.diff(np.append(at, b - a)), doc[a:b])}
+
+
+def _sums(block: int, doc: np.ndarray, value: np.ndarray, parts: int) -> dict:
+    """The sums of a block's documents, on their way to the partition that gathers the block."""
+    used, local = np.unique(doc, return_inverse=True)
+    total = np.zeros(len(used), dtype=np.int64)
+    np.add.at(total, local, -value)  # no value is above 0
+    return {"part": block % parts, "kind": 5, "block": block, "body": _squeezed(used, total)}
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _SCHEMA)
+
+
 # ---- unigrams ------------------------------------------------------------------------------------------------------
 
+_COUNTS = "part int, sizes binary, words binary, body binary"
+_COUNTS_SCHEMA = pa.schema([("part", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary()), ("body", pa.binary())])
+
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt_counts(words: Sequence[bytes], columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    part = _spread(_hashes(words), np.uint64(0), parts)
+    order = np.argsort(part, kind="stable")
+    cut = np.append(np.flatnonzero(_changes(part[order])), len(part))
+    rows = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = order[a:b]
+        sizes, raw = _vocabulary([words[k] for k in own.tolist()])
+        rows.append({"part": int(part[own[0]]), "sizes": sizes, "words": raw, "body": _squeezed(*(c[own] for c in columns))})
+    return pa.RecordBatch.from_pylist(rows, _COUNTS_SCHEMA)
+
+
+def _unigrams(parts: int):
     """Words, their occurrences and those that another word follows, added up for each block before they leave the task."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        w, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        followed = np.ones(size, dtype=np.int64)
-        followed[np.cumsum([len(h) for h in held]) - 1] = 0
-        ctx = np.bincount(at, weights=followed).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n, pa.int64()), pa.array(ctx)], ["w", "n", "followed"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            h = hashes(text)
-            if len(h):
-                held.append(h)
-                size += len(h)
-                if size >= BLOCK_WORDS:
-                    yield out()
-                    held, size = [], 0
-    if held:
-        yield out()
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            w = np.concatenate(held)
+            followed = np.ones(size, dtype=bool)
+            followed[np.cumsum([len(h) for h in held]) - 1] = False
+            return _dealt_counts(list(table), [np.bincount(w, minlength=len(table)), np.bincount(w[followed], minlength=len(table))], parts)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                if words:
+                    held.append(_numbers(words, table))
+                    size += len(words)
+                    if size >= BLOCK_WORDS:
+                        yield out()
+                        table, held, size = {}, [], 0
+        if held:
+            yield out()
 
-# ---- bigrams -------------------------------------------------------------------------------------------------------
+    return kernel
 
-#: Rows of an exchange. kind 0: a block's documents (ids, sizes); 1: positions; 2: scores of a block's documents.
-_ROW = "part int, kind int, block bigint, ctx binary, ctx_runs binary, w binary, runs binary, docs binary, sizes binary"
-_NAMES = [c.split(" ")[0] for c in _ROW.split(", ")]
-_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-_SCHEMA = pa.schema([(c.split(" ")[0], _KINDS[c.split(" ")[1]]) for c in _ROW.split(", ")])
 
+def _numbers(words: list[bytes], table: dict[bytes, int]) -> np.ndarray:
+    for w in set(words):
+        if w not in table:
+            table[w] = len(table)
+    return np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
 
-def _packed(block: int, part: np.ndarray, ctx: np.ndarray, w: np.ndarray, doc: np.ndarray) -> list[dict]:
-    """Positions as one row a partition: distinct contexts, the words after each, and the documents of each bigram."""
-    order = np.lexsort((doc, w, ctx, part))
-    part, ctx, w, doc = part[order], ctx[order], w[order], doc[order]
-    out = []
-    cut = np.append(np.flatnonzero(_changes(part)), len(part))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        c, x = ctx[a:b], w[a:b]
-        gram = _changes(c, x)
-        gc = c[gram]
-        fresh = _changes(gc)
-        out.append({"part": int(part[a]), "kind": 1, "block": block, "ctx": _planes(gc[fresh]), "ctx_runs": _runs(fresh).astype("<u4").tobytes(), "w": _planes(x[gram]), "runs": _runs(gram).astype("<u4").tobytes(), "docs": doc[a:b].astype("<u2").tobytes()})
-    return out
 
+def _added(t: pa.Table) -> pa.Table:
+    """The whole counts of a partition's words."""
+    rows = t.to_pylist()
+    words, numbers = _joined(rows)
+    bodies = [_loosened(r["body"]) for r in rows]
+    at = np.concatenate(numbers)
+    n, followed = (np.bincount(at, weights=np.concatenate([b[k] for b in bodies]), minlength=len(words)).astype(np.int64) for k in (0, 1))
+    return pa.table({"w": words.cast(pa.binary()), "n": pa.array(n), "followed": pa.array(followed)})
+
+
+def unigrams(texts: DataFrame) -> DataFrame:
+    """w (a word's bytes), n, followed (occurrences that another word follows) of all texts (one binary column)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(_unigrams(parts), _COUNTS).groupBy("part").applyInArrow(_added, "w binary, n bigint, followed bigint")
+
+
+# ---- n-grams -------------------------------------------------------------------------------------------------------
+
+
+def _explode(parts: int, order: int, hot):
+    """Every word with the words before it, as packed rows of a block."""
 
-def _explode(parts: int, hot):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = hot.value[0]
+        heavy: frozenset[bytes] = hot.value[3]
+        table: dict[bytes, int] = {}
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         size, made = 0, 0
@@ -148,115 +242,153 @@ def _explode(parts: int, hot):
         def out() -> pa.RecordBatch:
             block = task << 24 | made
             lens = np.array([len(h) for h in held], dtype=np.int64)
-            w = np.concatenate(held)
+            words = list(table)
+            w = np.concatenate(held) + 1 if held else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(held)), lens)
-            ctx = np.concatenate([[START], w[:-1]]).astype(np.uint64)[: len(w)]
-            ctx[(np.cumsum(lens) - lens)[lens > 0]] = START
-            dealt = (ctx == START) | np.isin(ctx, frequent)
-            part = _spread(ctx, np.where(dealt, w, np.uint64(0)), parts)
-            rows = _packed(block, part, ctx, w, doc)
+            place = np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)
+            before = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), w])[: len(w)], 0) for k in range(1, order)]
+            h = np.concatenate([np.zeros(1, np.uint64), _hashes(words)])
+            is_hot = np.array([True] + [x in heavy for x in words])  # no word before is dealt out by the word itself
+            c, grams = before[0], [before[0], w, *before[1:]]
+            by_last, by_context = is_hot[c], is_hot[c] & (before[1] > 0) if order > 2 else np.zeros(len(w), dtype=bool)
+            rows: list[dict] = []
+            for kind, mine, second in ((1, ~by_last, None), (2, by_context, before[1] if order > 2 else w), (3, by_last, w)):
+                if mine.any():
+                    part = _spread(h[c[mine]], np.uint64(kind) if second is None else h[second[mine]] + np.uint64(kind), parts)
+                    rows += _packed(kind, block, part, [g[mine] for g in grams], doc[mine], words)
             known = np.array([i is not None for i in ids])
             names = np.array([i or 0 for i in ids], dtype=np.int64)
-            rows.append({"part": block % parts, "kind": 0, "block": block, "docs": names.tobytes(), "sizes": lens.astype("<i8").tobytes(), "runs": known.tobytes()})
+            rows.append({"part": block % parts, "kind": 0, "block": block, "ids": names.tobytes(), "body": _squeezed(lens, known.astype(np.int64))})
             return pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = hashes(t)
+                words = words_of(t)
                 ids.append(i)
-                held.append(h)
-                size += len(h)
+                held.append(_numbers(words, table))
+                size += len(words)
                 if size >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
                     yield out()
-                    ids, held, size, made = [], [], 0, made + 1
+                    table, ids, held, size, made = {}, [], [], 0, made + 1
         if ids:
             yield out()
 
     return kernel
 
 
-def _looked_up(frequent: np.ndarray, values: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of w are frequent, and their values."""
-    if not len(frequent):
-        return np.zeros(len(w), dtype=bool), np.zeros(len(w), dtype=np.int64)
-    k = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
-    return frequent[k] == w, values[k]
+def _counted(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of n over the rows of its key."""
+    _, at = np.unique(key, return_inverse=True)
+    return np.bincount(at, weights=n).astype(np.int64)[at]
 
 
-def _bigrams(parts: int, min_count: int, backoff: float, words: int, hot):
-    """A partition's bigram and context counts over all blocks, joined to its positions."""
+def _ngrams(parts: int, order: int, min_count: int, backoff: float, total_words: int, hot):
+    """A partition's counts of n-grams and contexts over all blocks, joined to its n-grams."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        frequent, frequent_n, frequent_ctx = hot.value
         rows = table.to_pylist()
         out = [r for r in rows if r["kind"] == 0]
-        rows = [r for r in rows if r["kind"] == 1]
+        rows = [r for r in rows if r["kind"] != 0]
         if not rows:
-            return pa.Table.from_pylist(out, _SCHEMA)
-        ctx = np.concatenate([np.repeat(_whole(r["ctx"]), np.frombuffer(r["ctx_runs"], "<u4")) for r in rows])
-        w = np.concatenate([_whole(r["w"]) for r in rows])
-        runs = [np.frombuffer(r["runs"], "<u4").astype(np.int64) for r in rows]
-        order = np.lexsort((w, ctx))
-        sc, sw, sn = ctx[order], w[order], np.concatenate(runs)[order]
-        new = _changes(sc, sw)
-        count = np.add.reduceat(sn, np.flatnonzero(new))
-        gc, gw = sc[new], sw[new]
-        fresh = _changes(gc)
-        total = np.add.reduceat(count, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-        is_hot, hot_total = _looked_up(frequent, frequent_ctx, gc)
-        total = np.where(is_hot, hot_total, total)
-        begins = gc == START
-        seen = (count >= min_count) & ~begins
-        known, n = _looked_up(frequent, frequent_n, gw)
-        value = np.where(begins, 0, int(micro(backoff))) + np.where(known, micro(np.maximum(n, 1)) - int(micro(max(1, words))), 0)
-        value = np.where(seen, micro(count) - micro(total), value)
-        down = ~seen & ~known
-        gram = np.empty(len(sc), dtype=np.int64)
-        gram[order] = np.cumsum(new) - 1
+            return _table(out)
+        frequent: dict[bytes, int] = hot.value[0]
+        counts, contexts = hot.value[1], hot.value[2]
+        words, numbers = _joined(rows)
+        bodies = [_loosened(r["body"]) for r in rows]
+        whole = lambda k: np.concatenate([np.where(b[k] > 0, m[np.maximum(b[k] - 1, 0)] + 1, 0) if len(m) else b[k] for b, m in zip(bodies, numbers)])
+        c, w, *more = (whole(k) for k in range(order))
+        n = np.concatenate([b[order] for b in bodies])
+        kind = np.repeat([r["kind"] for r in rows], [len(b[0]) for b in bodies])
+        wide = np.int64(len(words) + 1)
+        listed = words.to_pylist()
+        place = np.array([-1] + [frequent.get(x, -1) for x in listed])
+        one = micro(backoff)
+        # From the shortest context to the longest: the last one with a frequent n-gram wins.
+        context = np.unique(kind * wide + c, return_inverse=True)[1].astype(np.int64)
+        gram = np.unique(context * wide + w, return_inverse=True)[1].astype(np.int64)
+        known = place[w] >= 0
+        value = np.where(known, micro(np.maximum(counts[place[w]], 1)) - micro(max(1, total_words)), 0) if len(counts) else np.zeros(len(w), np.int64)
+        down = ~known
+        has = c > 0
+        seen = has & (_counted(gram, n) >= min_count)
+        total = _counted(context, n)
+        if len(counts):
+            total = np.where(kind > 1, contexts[place[c]], total)
+        value = np.where(seen, micro(_counted(gram, n)) - micro(np.maximum(total, 1)), value + np.where(has, one, 0))
+        down &= ~seen
+        mine = kind != 2
+        for k, x in enumerate(more):
+            context = np.unique(context * wide + x, return_inverse=True)[1].astype(np.int64)
+            gram = np.unique(gram * wide + x, return_inverse=True)[1].astype(np.int64)
+            has = x > 0
+            count = _counted(gram, n)
+            seen = has & (count >= min_count)
+            value = np.where(seen, micro(count) - micro(_counted(context, n)), value + np.where(has, one, 0))
+            down &= ~seen
+            if k == 0:
+                # A hot word's n-grams are scored by their contexts where the trigram is frequent, else by their last words.
+                mine = np.where(kind == 2, seen, (kind == 1) | ~seen)
         at = 0
-        for r, run in zip(rows, runs):
-            g = np.repeat(gram[at : at + len(run)], run)
-            x = np.repeat(w[at : at + len(run)], run)
-            at += len(run)
-            doc = np.frombuffer(r["docs"], "<u2").astype(np.int64)
-            out.append(_scores(r["block"], doc, value[g], parts))
-            left = down[g]
+        for r, b in zip(rows, bodies):
+            own = slice(at, at + len(b[0]))
+            at += len(b[0])
+            use = np.repeat(mine[own], b[order])
+            if not use.any():
+                continue
+            doc = b[order + 1][use]
+            out.append(_sums(r["block"], doc, np.repeat(value[own], b[order])[use], parts))
+            left = np.repeat(down[own], b[order])[use]
             if left.any():
-                out += _packed(r["block"], _spread(np.uint64(1) * x[left], np.zeros(int(left.sum()), dtype=np.uint64), parts), np.zeros(int(left.sum()), dtype=np.uint64), x[left], doc[left])
-        return pa.Table.from_pylist(out, _SCHEMA)
+                x = np.repeat(w[own], b[order])[use][left]
+                used, local = np.unique(x, return_inverse=True)
+                names = [listed[k - 1] for k in used.tolist()]
+                part = _spread(_hashes(names), np.uint64(0), parts)
+                out += _packed(4, r["block"], part[local], [local + 1], doc[left], names)
+        return _table(out)
 
     return kernel
 
 
-def _scores(block: int, doc: np.ndarray, value: np.ndarray, parts: int) -> dict:
-    """The sums of a block's documents, on their way to the partition that gathers the block."""
-    used, local = np.unique(doc, return_inverse=True)
-    total = np.zeros(len(used), dtype=np.int64)
-    np.add.at(total, local, value)
-    return {"part": block % parts, "kind": 2, "block": block, "docs": used.astype("<u2").tobytes(), "sizes": total.astype("<i8").tobytes()}
+def _placed(parts: int):
+    """The unigram table as packed rows of the partitions that words come down to."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _dealt_counts(batch.column("w").to_pylist(), [np.asarray(batch.column("n"))], parts)
+
+    return kernel
 
 
-def _backed_off(words: int, parts: int):
-    """Positions that come down meet the unigram table; a partition's sums for a block's documents leave as one row."""
+def _backed_off(total_words: int, parts: int):
+    """Words that come down meet the unigram table; a partition's sums for a block's documents leave as one row."""
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(right.column("w")), kind="stable")
-        w, n = np.asarray(right.column("w")).astype(np.uint64)[order], np.asarray(right.column("n"))[order]
-        out: list[dict] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = left.sort_by("block").to_pylist()
+        out = [r for r in rows if r["kind"] == 0]
+        rows = [r for r in rows if r["kind"] != 0]
+        lower = [r for r in rows if r["kind"] == 4]
+        held = right.to_pylist()
+        words, numbers = _joined([*held, *lower]) if lower else (None, [])
+        count = np.zeros(len(words) if lower else 0, dtype=np.int64)
+        for r, m in zip(held, numbers):
+            count[m] += _loosened(r["body"])[0]
+        number = iter(numbers[len(held) :])
+        docs: list[np.ndarray] = []
+        values: list[np.ndarray] = []
         for i, r in enumerate(rows):
-            if r["kind"] == 0:
-                out.append(r)
-            elif r["kind"] == 2:
-                held.append((np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["sizes"], np.int64)))
+            body = _loosened(r["body"])
+            if r["kind"] == 5:
+                docs.append(body[0])
+                values.append(-body[1])
             else:
-                value = micro(n[np.searchsorted(w, _whole(r["w"]))]) - int(micro(max(1, words)))
-                held.append((np.frombuffer(r["docs"], "<u2").astype(np.int64), np.repeat(value, np.frombuffer(r["runs"], "<u4").astype(np.int64))))
-            if held and (i + 1 == len(rows) or rows[i + 1]["block"] != r["block"]):
-                out.append(_scores(r["block"], np.concatenate([d for d, _ in held]), np.concatenate([v for _, v in held]), parts))
-                held = []
-        return pa.Table.from_pylist(out, _SCHEMA)
+                value = micro(count[next(number)[body[0] - 1]]) - micro(max(1, total_words))
+                docs.append(body[2])
+                values.append(np.repeat(value, body[1]))
+            if i + 1 == len(rows) or rows[i + 1]["block"] != r["block"]:
+                out.append(_sums(r["block"], np.concatenate(docs), np.concatenate(values), parts))
+                docs, values = [], []
+        return _table(out)
 
     return kernel
 
@@ -265,62 +397,63 @@ def _summed(table: pa.Table) -> pa.Table:
     """A block's documents with the sums of all partitions."""
     rows = table.to_pylist()
     names = next(r for r in rows if r["kind"] == 0)
-    ids, known, sizes = np.frombuffer(names["docs"], np.int64), np.frombuffer(names["runs"], bool), np.frombuffer(names["sizes"], np.int64)
+    sizes, known = _loosened(names["body"])
+    ids = np.frombuffer(names["ids"], np.int64)
     total = np.zeros(len(ids), dtype=np.int64)
     for r in rows:
-        if r["kind"] == 2:
-            total[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sizes"], np.int64)
-    return pa.table({"doc_id": pa.array(ids, mask=~known), "n_words": pa.array(sizes), "score": pa.array(total)})
+        if r["kind"] == 5:
+            doc, value = _loosened(r["body"])
+            total[doc] -= value
+    return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_words": pa.array(sizes), "total": pa.array(total)})
 
 
-def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """doc_id, n_words and score (micro-nats, a sum over the words) for every row of docs.
+@tidy
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """doc_id, n_words and total (micro-nats, a sum over the words) for every row of docs, under n-grams of up to `order` words.
 
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null, empty and blank texts have no words and score 0; repeated rows
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null, empty and blank texts have no words and a total of 0; repeated rows
     are separate documents and count each time; null ids stay; no documents give no rows; other columns are ignored.
     """
+    if order < 2:
+        raise ValueError("the model has at least bigrams")
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    one = slim.select("text").mapInArrow(_unigrams, "w bigint, n bigint, followed bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
-    one = stored(one, "unigrams")
+    one = stored(unigrams(slim.select("text")), "unigrams")
     words = one.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // PART_WORDS))
-    top = one.where(F.col("n") > HOT * words).orderBy("w").collect()  # fewer than 1 / HOT rows
-    hot = spark.sparkContext.broadcast((np.array([r["w"] for r in top], dtype=np.uint64), np.array([r["n"] for r in top], dtype=np.int64), np.array([r["followed"] for r in top], dtype=np.int64)))
-    rows = slim.mapInArrow(_explode(parts, hot), _ROW).groupBy("part").applyInArrow(_bigrams(parts, min_count, backoff, words, hot), _ROW)
-    # The partition of a word in the unigram table is that of the positions that come down to it.
-    table = one.mapInArrow(_placed(parts), "part int, w bigint, n bigint")
+    top = one.where(F.col("n") > FREQUENT * words).collect()  # fewer than 1 / FREQUENT rows
+    heavy = frozenset(bytes(r["w"]) for r in top if r["n"] > HOT * PART_WORDS)
+    number = {bytes(r["w"]): k for k, r in enumerate(top)}
+    hot = spark.sparkContext.broadcast((number, np.array([r["n"] for r in top], dtype=np.int64), np.array([r["followed"] for r in top], dtype=np.int64), heavy))
+    rows = slim.mapInArrow(_explode(parts, order, hot), _ROW).groupBy("part").applyInArrow(_ngrams(parts, order, min_count, backoff, words, hot), _ROW)
+    table = one.mapInArrow(_placed(parts), _COUNTS)
     sums = rows.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_backed_off(words, parts), _ROW)
-    return sums.groupBy("block").applyInArrow(_summed, "doc_id bigint, n_words bigint, score bigint")
-
-
-def _placed(parts: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = np.asarray(batch.column("w")).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_spread(w, np.zeros(len(w), dtype=np.uint64), parts).astype(np.int32)), batch.column("w"), batch.column("n")], ["part", "w", "n"])
-
-    return kernel
+    return sums.groupBy("block").applyInArrow(_summed, "doc_id bigint, n_words bigint, total bigint")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every document under the counts of all of them."""
-    return score(documents(spark, sf_dir))
+    """The trigram score of every document under the counts of all of them: the total in micro-nats and, as score, its mean a word."""
+    mean = F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).otherwise(F.lit(0.0))
+    return score(documents(spark, sf_dir)).withColumn("score", mean.cast("double"))
 
 
 OP5_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
     coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
-t AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS c FROM (SELECT r, ws, unnest(generate_series(1, len(ws))) AS i FROM d)),
+t AS (SELECT r, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS c, CASE WHEN i > 2 THEN ws[i - 2] END AS e FROM (SELECT r, ws, unnest(generate_series(1, len(ws))) AS i FROM d)),
 total AS (SELECT count(*) AS n FROM t),
 u AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 b AS (SELECT c, w, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY c, w),
 x AS (SELECT c, sum(n) AS n FROM b GROUP BY c),
+g AS (SELECT e, c, w, count(*) AS n FROM t WHERE e IS NOT NULL GROUP BY e, c, w),
+y AS (SELECT e, c, sum(n) AS n FROM g GROUP BY e, c),
 s AS (
-  SELECT r, CASE WHEN b.n >= {MIN_COUNT} THEN round(ln(b.n) * 1e6) - round(ln(x.n) * 1e6)
-    ELSE CASE WHEN t.c IS NULL THEN 0 ELSE round(ln({BACKOFF}) * 1e6) END + round(ln(u.n) * 1e6) - round(ln(total.n) * 1e6) END AS v
-  FROM t CROSS JOIN total JOIN u ON t.w = u.w LEFT JOIN b ON t.c = b.c AND t.w = b.w LEFT JOIN x ON t.c = x.c),
-g AS (SELECT r, sum(v) AS v FROM s GROUP BY r)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(v, 0)::BIGINT AS score FROM d LEFT JOIN g USING (r)
+  SELECT r, CASE WHEN g.n >= {MIN_COUNT} THEN round(ln(g.n) * 1e6) - round(ln(y.n) * 1e6)
+    ELSE CASE WHEN t.e IS NULL THEN 0 ELSE round(ln({BACKOFF}) * 1e6) END + CASE WHEN b.n >= {MIN_COUNT} THEN round(ln(b.n) * 1e6) - round(ln(x.n) * 1e6)
+      ELSE CASE WHEN t.c IS NULL THEN 0 ELSE round(ln({BACKOFF}) * 1e6) END + round(ln(u.n) * 1e6) - round(ln(total.n) * 1e6) END END AS v
+  FROM t CROSS JOIN total JOIN u ON t.w = u.w LEFT JOIN b ON t.c = b.c AND t.w = b.w LEFT JOIN x ON t.c = x.c
+    LEFT JOIN g ON t.e = g.e AND t.c = g.c AND t.w = g.w LEFT JOIN y ON t.e = y.e AND t.c = y.c),
+z AS (SELECT r, sum(v) AS v FROM s GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(v, 0)::BIGINT AS total, CASE WHEN len(ws) > 0 THEN coalesce(v, 0)::BIGINT::DOUBLE / len(ws) ELSE 0.0::DOUBLE END AS score FROM d LEFT JOIN z USING (r)
 """
