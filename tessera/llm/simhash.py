@@ -1,13 +1,17 @@
 """SimHash near-duplicates (operator 9).
 
 Equal fingerprints are one node. A node's embedding is its number of set bits in each of SEGMENTS segments; the Manhattan
-distance of two embeddings is a lower bound of the Hamming distance. Two embeddings within distance d agree exactly on one
-of d + 1 groups of segments, so the grid has one cell a group and point of that group's subspace, and the range join meets
-nodes that share a cell. In a cell the Manhattan bound comes first and the exact distance of the survivors second.
-
-Scale: cells hold distinct fingerprints only. A cell of more than BLOCK nodes is dealt into pairs of blocks, so no task gets
-a whole hot cell. A block pair returns a spanning forest of its links and never its pairs, so the output is linear in the
-nodes. Components come from rounds of alternating star contractions over that forest, each round stored.
+distance of two embeddings is a lower bound of the Hamming distance. With the segments in d + AGREE groups, two embeddings
+within distance d agree exactly on AGREE of them at least, so the grid has a cell for each choice of AGREE groups and point of
+their subspace, and the range join meets nodes that share a cell. In a cell the Manhattan bound comes first and the exact
+distance of the survivors second.
+
+Scale: cells hold distinct fingerprints only, and four of six groups are about 2**32 points, so a cell has few nodes up to
+billions of fingerprints. A cell of more than BLOCK nodes all the same is cut into smaller ones by the fingerprints' own bits
+(of d + 1 stretches of bits two near ones agree on one), and what is still larger is dealt into pairs of blocks, so no task
+gets a whole hot cell. A block pair returns a spanning forest of its links and never its pairs, so the output is linear in
+the nodes. Components come from rounds of alternating star contractions over that forest, each round stored. Joins on a
+hot fingerprint or a star's centre have a side of distinct keys, so adaptive execution can split them.
 
 near_duplicates and keep_one, which the pipeline uses, link by five-word shingle sets (shingles.py) and not by fingerprints.
 """
@@ -15,6 +19,7 @@ near_duplicates and keep_one, which the pipeline uses, link by five-word shingle
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import shingles
-from .common import ASCII_LOWER, as_bytes, documents, rows_of, stored
+from .common import ASCII_LOWER, as_bytes, documents, dropped, rows_of, stored, tidy
 
 SHINGLE = 3
 DISTANCE = 2
 SEGMENTS = 32
+#: Groups of segments that a cell fixes; with the distance, the number of groups.
+AGREE = 4
 BLOCK = 2048
 SEED = 42
 
@@ -79,17 +86,21 @@ def _embedding(fp: np.ndarray) -> np.ndarray:
     return bits.reshape(len(fp), SEGMENTS, 64 // SEGMENTS).sum(axis=2, dtype=np.int8)
 
 
-def cell_column(fp: F.Column, first: int, last: int) -> F.Column:
-    """The point of segments first..last-1 in the grid: their counts packed two bits each, in bit arithmetic."""
+def _mask(bits: list[tuple[int, int]]) -> int:
+    """A long with the bits of the ranges set."""
+    m = sum(((1 << last) - 1) & ~((1 << first) - 1) for first, last in bits)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def cell_column(fp: F.Column, groups: list[tuple[int, int]]) -> F.Column:
+    """The point of the groups' segments in the grid: their counts packed two bits each, in bit arithmetic."""
     width = 64 // SEGMENTS
     assert width == 2, "the packed counts below are those of two-bit segments"
     low = F.lit(0x5555555555555555)
-    mask = ((1 << (2 * last)) - 1) & ~((1 << (2 * first)) - 1)
-    mask = mask - (1 << 64) if mask >= 1 << 63 else mask
     # Each pair of bits becomes its sum, 0 to 2, by a half adder, since a sum of longs may not reach the sign bit.
     high = F.shiftrightunsigned(fp, 1)
     counts = fp.bitwiseXOR(high).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(low), 1))
-    return counts.bitwiseAND(F.lit(mask))
+    return counts.bitwiseAND(F.lit(_mask([(2 * first, 2 * last) for first, last in groups])))
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
@@ -165,21 +176,36 @@ def _links(distance: int):
     return kernel
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """a, b: links that join every two nodes (distinct values of fp) at `distance` bits or fewer, directly or through others."""
-    cells = None
-    for g, (first, last) in enumerate(_groups(distance + 1)):
-        one = nodes.select(F.lit(g).alias("g"), cell_column(F.col("fp"), first, last).alias("cell"), "fp")
-        cells = one if cells is None else cells.unionByName(one)
-    sizes = cells.groupBy("g", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    dealt = cells.join(sizes, ["g", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # A node of block x takes part in the pairs (x, y) and (y, x), written with the smaller first.
+def _dealt(cells: DataFrame, sizes: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Members of the cells in sizes (keys, n) in pairs of blocks: g, cell, i, j, side, fp. A node of block x takes part in the
+    pairs (x, y) and (y, x), written with the smaller first."""
+    dealt = cells.join(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), keys).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+    cell = F.col("cell") if len(keys) == 2 else F.xxhash64(*keys)
+    return dealt.select("g", cell.alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK, agree: int = AGREE) -> DataFrame:
+    """a, b: links that join every two nodes (distinct values of fp) at `distance` bits or fewer, directly or through others."""
+    fp = F.col("fp")
+    choices = [F.struct(F.lit(g).alias("g"), cell_column(fp, list(c)).alias("cell")) for g, c in enumerate(combinations(_groups(distance + agree), agree))]
+    cells = nodes.select("fp", F.explode(F.array(*choices)).alias("c")).select("c.g", "c.cell", "fp")
+    sizes = stored(cells.groupBy("g", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    dealt = _dealt(cells, sizes.where(F.col("n") <= block), ["g", "cell"], block)
+    if not sizes.where(F.col("n") > block).isEmpty():
+        # A hot cell is cut by the bits themselves.
+        cut = [round(k * 64 / (distance + 1)) for k in range(distance + 2)]
+        bands = [F.struct(F.lit(k).alias("band"), fp.bitwiseAND(F.lit(_mask([(x, y)]))).alias("bits")) for k, (x, y) in enumerate(zip(cut, cut[1:]))]
+        hot = cells.join(sizes.where(F.col("n") > block).drop("n"), ["g", "cell"], "left_semi")
+        hot = hot.select("g", "cell", "fp", F.explode(F.array(*bands)).alias("b")).select("g", "cell", "b.band", "b.bits", "fp")
+        keys = ["g", "cell", "band", "bits"]
+        inner = stored(hot.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "inner-cells")
+        dealt = dealt.unionByName(_dealt(hot, inner, keys, block))
     keys = ["g", "cell", "i", "j"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_links(distance), "a bigint, b bigint").distinct()
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of an edge: root is the least node it reaches. Alternating large and small stars."""
     e = stored(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -211,6 +237,7 @@ def _classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fp", "group", "component_id")
 
 
+@tidy
 def fingerprint_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, group (a fingerprint that names the component) and component_id for every row of docs.
 
@@ -222,6 +249,7 @@ def fingerprint_components(docs: DataFrame, shingle: int = SHINGLE, distance: in
     return _classes(fps, links(fps.select("fp").distinct(), distance))
 
 
+@tidy
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (names the set of shingles), group (an fp that names the component) and component_id for every row of docs.
 
@@ -234,6 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _classes(ids.select("doc_id", "fp"), shingles.exact_links(docs, nodes, coarse))
 
 
+@tidy
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
     A document without an id stands for its group only if no member has one."""
