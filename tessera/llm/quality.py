@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, rows_of, stored
+from .common import as_bytes, documents, rows_of, stored, tidy
 
 FEATURES = 384
 GAMMA = 0.35
 RIDGE = 1e-2
 BINS = 4096
+#: Bits of the map of labelled ids.
+BITMAP = 1 << 22
 SEED = 7
 THRESHOLD = 0.7
 _CLASSES = np.zeros(256, dtype=np.uint8)
@@ -209,6 +211,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Model:
     return fit(stored(rows, "labelled"))
 
 
+@tidy
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs. Null and empty texts are scored by the statistics of an
     empty text; ids may be null or repeated; other columns are ignored; no documents give no rows; no labels give 0.5."""
@@ -216,9 +219,30 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return score(stats, train(stats, labels), threshold).select("doc_id", (remainder() == 2).alias("held_out"), "score", "predicted")
 
 
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """document_statistics of the rows whose id may have a label that teaches: those that meet a labelled id in a bitmap of fixed
+    size, which goes to all workers, so that a text whose statistics nobody asks for is not read twice."""
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).where(remainder() != 2)
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BITMAP - 1)).cast("int")
+    bits = np.zeros(BITMAP, dtype=bool)
+    bits[np.asarray(known.select(slot("doc_id").alias("at")).distinct().toArrow().column("at"))] = True  # at most BITMAP numbers
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        for batch in batches:
+            yield from _stats_kernel([batch.filter(pa.array(held[np.asarray(batch.column(2))])).select([0, 1])])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
+    slim = slim.where(F.col("doc_id").isNotNull() & (remainder() != 2)).withColumn("at", slot("doc_id"))
+    return slim.mapInArrow(kernel, "doc_id bigint, stats array<double>")
+
+
+@tidy
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all their columns."""
-    model = train(stored(document_statistics(docs), "statistics"), labels)
+    """The rows of docs that the classifier doesn't reject, with all their columns. Rows are judged one by one by their texts, a
+    null one as an empty one, whatever their ids; no labels give every row 0.5; no documents give no rows."""
+    model = train(stored(labelled_statistics(docs, labels), "statistics"), labels)
     names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
