@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +16,10 @@ Tag = tuple[str | None, str | None, str | None]  # iob, type, id
 
 
 def repaired(tags: Sequence[Tag]) -> list[Tag]:
-    """An I that continues nothing of its type becomes a B. The class of a tag never changes, so one look back is enough."""
-    out = []
-    for k, (iob, kind, ident) in enumerate(tags):
-        if iob == "I":
-            before = tags[k - 1] if k else ("O", None, None)
-            if before[0] not in ("B", "I") or (before[1] or "") != (kind or ""):
-                iob = "B"
-        out.append((iob, kind, ident))
-    return out
+    """Past the first token, an I that continues nothing of its type becomes a B. A repair never changes whether a tag is inside
+    something, so the tags as they were say what each one follows. A leading I stays."""
+    orphan = lambda before, tag: tag[0] == "I" and (before[0] not in ("B", "I") or (before[1] or "") != (tag[1] or ""))
+    return [*tags[:1], *(("B", *tag[1:]) if orphan(before, tag) else tag for before, tag in zip(tags, tags[1:]))]
 
 
 def derived(tags: Sequence[Tag]) -> list[dict] | None:
@@ -44,27 +40,38 @@ def derived(tags: Sequence[Tag]) -> list[dict] | None:
     return out
 
 
+#: What the span lists of an update other than its entities write, and its default for tokens in none of them.
+WRITES: dict[str, tuple[str | None, str | None]] = {"outside": ("O", ""), "missing": (None, None), "blocked": ("B", "")}
+
+
+def _written(update: Mapping, n: int) -> list[tuple[int, int, str, Mapping]]:
+    """The spans of an update that write tokens, with their list's name, in order; they must lie in the text and apart."""
+    named = [(s["start"], s["end"], kind, s) for kind in ("entities", *WRITES) for s in update.get(kind) or ()]
+    for a, b, *_ in named:
+        if not 0 <= a <= b <= n:
+            raise BoundsError(f"span {a}..{b} of {n} tokens")
+    spans = sorted((x for x in named if x[0] < x[1] and (x[2] != "entities" or x[3].get("label"))), key=lambda x: x[:2])
+    for x, y in zip(spans, spans[1:]):
+        if y[0] < x[1]:
+            raise BoundsError(f"spans {x[0]}..{x[1]} and {y[0]}..{y[1]} overlap")
+    return spans
+
+
 def set_entities(tags: Sequence[Tag], update: Mapping) -> list[Tag]:
-    """Tags after an update of disjoint spans (entities, blocked, missing, outside) and a default for all other tokens."""
-    n = len(tags)
+    """Tags after an update of disjoint spans (entities, blocked, missing, outside) and a default for all other tokens. A token
+    keeps its id unless an entity with one of its own is written over it; entities without a label write nothing."""
     default = update.get("default", "outside")
     if default not in DEFAULTS:
         raise PatternError(f"unknown default {default}")
-    fixed: dict[str, Tag] = {"outside": ("O", None, None), "missing": (None, None, None), "blocked": ("B", None, None)}
-    owner: list[Tag | None] = [None] * n
-    for kind in ("entities", "blocked", "missing", "outside"):
-        for s in update.get(kind) or ():
-            a, b = s["start"], s["end"]
-            if not 0 <= a <= b <= n:
-                raise BoundsError(f"span {a}..{b} of {n} tokens")
-            if kind == "entities" and not s.get("label"):
-                continue
-            if any(owner[i] is not None for i in range(a, b)):
-                raise UnsupportedError(f"span {a}..{b} overlaps another one")
-            for i in range(a, b):
-                owner[i] = ("B" if i == a else "I", s["label"], s.get("id") or None) if kind == "entities" else fixed[kind]
-    out = [o if o is not None else (tags[i] if default == "unmodified" else fixed[default]) for i, o in enumerate(owner)]
-    return repaired(out)
+    rest = lambda part: list(part) if default == "unmodified" else [(*WRITES[default], t[2]) for t in part]
+    out: list[Tag] = []
+    for a, b, kind, span in _written(update, len(tags)):
+        out += rest(tags[len(out) : a])
+        if kind == "entities":
+            out += [("I" if i else "B", span["label"], span.get("id") or t[2]) for i, t in enumerate(tags[a:b])]
+        else:
+            out += [(*WRITES[kind], t[2]) for t in tags[a:b]]
+    return repaired(out + rest(tags[len(out) :]))
 
 
 def tags_of(doc: Mapping) -> list[Tag]:
@@ -90,8 +97,8 @@ def update_entities(docs: DataFrame, update: str = "update") -> DataFrame:
 def repair_column(key: str = "doc_id", order: str = "i") -> Column:
     w = Window.partitionBy(key).orderBy(order)
     iob, kind = F.col("entity_iob"), F.coalesce(F.col("entity_type"), F.lit(""))
-    before, before_kind = F.coalesce(F.lag("entity_iob").over(w), F.lit("O")), F.lag(kind).over(w)
-    return F.when((iob == "I") & (~before.isin("B", "I") | (before_kind != kind)), F.lit("B")).otherwise(iob)
+    before = F.lag(F.struct(F.coalesce(F.col("entity_iob"), F.lit("")).alias("iob"), kind.alias("kind"))).over(w)
+    return F.when((iob == "I") & before.isNotNull() & (~before["iob"].isin("B", "I") | (before["kind"] != kind)), F.lit("B")).otherwise(iob)
 
 
 def derive_entities(tokens: DataFrame, key: str = "doc_id", order: str = "i") -> DataFrame:
@@ -103,6 +110,28 @@ def derive_entities(tokens: DataFrame, key: str = "doc_id", order: str = "i") ->
     return groups.where("f.entity_iob = 'B' and coalesce(f.entity_type, '') <> ''").select(key, "start", "end", F.col("f.entity_type").alias("label"), F.col("f.entity_id").alias("id"))
 
 
+def repair_array(tags: Column) -> Column:
+    """repair_column for a document's own array of (iob, kind, ...): no exchange and no sort. `tags` is a column, not an expression."""
+    none = F.lit("")
+    own = lambda t: F.coalesce(t["kind"], none)
+
+    def one(t: Column, i: Column) -> Column:
+        before = F.get(tags, i - 1)
+        orphan = (t["iob"] == "I") & (i > 0) & (~F.coalesce(before["iob"], none).isin("B", "I") | (own(before) != own(t)))
+        return t.withField("iob", F.when(F.coalesce(orphan, F.lit(False)), F.lit("B")).otherwise(t["iob"]))
+
+    return F.transform(tags, one)
+
+
+def entity_array(tags: Column) -> Column:
+    """derive_entities for a document's own array of (iob, kind, id): every tag but I ends what is open, so an entity reaches from
+    a B with a type to the next such tag."""
+    at = F.filter(F.transform(tags, lambda t, i: F.when(F.coalesce(t["iob"], F.lit("")) != "I", i)), lambda i: i.isNotNull())
+    spans = F.transform(F.arrays_zip(at.alias("a"), F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(tags))).alias("b")), lambda s: F.struct(s["a"].alias("start"), s["b"].alias("end"), F.get(tags, s["a"]).alias("t")))
+    named = F.filter(spans, lambda s: (s["t"]["iob"] == "B") & (F.coalesce(s["t"]["kind"], F.lit("")) != ""))
+    return F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t"]["kind"].alias("label"), s["t"]["id"].alias("id")))
+
+
 # ---- span groups ---------------------------------------------------------------------------------------------------
 
 
@@ -148,48 +177,70 @@ def concat_groups(a: Mapping, b: Mapping) -> dict:
 # Overlap filters -----------------------------------------------------------------------------------------------------
 
 
-def _longest(spans: Sequence[Mapping]) -> list[Mapping]:
+class Taken:
+    """Tokens that accepted spans have taken, as spans in order, looked up by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> None:
+        """Takes [a, b); spans that it meets become one with it, spans that only touch it stay apart."""
+        if a >= b:
+            return
+        lo, hi = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        if lo < hi:
+            a, b = min(a, self.starts[lo]), max(b, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether any token of [a, b) is taken."""
+        return a < b and bisect_right(self.ends, a) < bisect_left(self.starts, b)
+
+    def cuts(self, at: int) -> bool:
+        """Whether the place between two tokens lies inside one span."""
+        return bisect_right(self.ends, at) < bisect_left(self.starts, at)
+
+
+def _ranked(spans: Iterable[Mapping]) -> list[Mapping]:
+    """The longest first, of equal ones the earliest."""
     return sorted(spans, key=lambda s: (s["start"] - s["end"], s["start"]))
 
 
 def first_longest(existing: Sequence[Mapping], new: Sequence[Mapping], n: int) -> list[Mapping]:
-    """Longest first, earlier first, existing before new; a span whose first or last token is taken goes. By start."""
-    taken = [False] * n
-    out = []
-    for s in _longest([*existing, *new]):
-        ends = [i for i in (s["start"], s["end"] - 1) if 0 <= i < n]
-        if not any(taken[i] for i in ends):
-            taken[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
-            out.append(s)
-    return sorted(out, key=lambda s: s["start"])
-
-
-def prioritize(existing: Sequence[Mapping], new: Sequence[Mapping], n: int, keep_existing: bool) -> list[Mapping]:
-    """New spans, longest first, that touch no taken token; existing ones give way to them, or with keep_existing come first.
-    An empty existing span gives way only strictly inside one accepted span."""
-    owner: list[int | None] = [None] * n
-    if keep_existing:
-        for s in existing:
-            owner[s["start"] : s["end"]] = [-1] * (s["end"] - s["start"])
-    accepted: list[Mapping] = []
-    for s in _longest(new):
-        if all(o is None for o in owner[s["start"] : s["end"]]):
-            owner[s["start"] : s["end"]] = [len(accepted)] * (s["end"] - s["start"])
+    """All spans by rank, existing ones before new ones; one whose first or last token is taken goes. The rest by start."""
+    taken, kept = Taken(), []
+    for s in _ranked([*existing, *new]):
+        a, b = s["start"], s["end"]
+        if not (taken.meets(a, a + 1) or taken.meets(b - 1, b)):
+            taken.add(a, b)
+            kept.append(s)
+    return sorted(kept, key=lambda s: s["start"])
+
+
+def prioritize_existing(existing: Sequence[Mapping], new: Sequence[Mapping], n: int) -> list[Mapping]:
+    """All existing spans, and by rank the new ones that meet neither them nor one another."""
+    return [*existing, *_apart(existing, new)[1]]
+
+
+def prioritize_new(existing: Sequence[Mapping], new: Sequence[Mapping], n: int) -> list[Mapping]:
+    """By rank the new spans that don't meet, after the existing ones that meet none of them. An empty span meets one that it
+    lies inside of."""
+    taken, accepted = _apart((), new)
+    clear = lambda e: not (taken.meets(e["start"], e["end"]) if e["start"] < e["end"] else taken.cuts(e["start"]))
+    return [*filter(clear, existing), *accepted]
+
+
+def _apart(first: Sequence[Mapping], then: Sequence[Mapping]) -> tuple[Taken, list[Mapping]]:
+    """The tokens that `first` and the accepted ones of `then` take, and these: by rank, those that meet nothing taken."""
+    taken, accepted = Taken(), []
+    for s in first:
+        taken.add(s["start"], s["end"])
+    for s in _ranked(then):
+        if not taken.meets(s["start"], s["end"]):
+            taken.add(s["start"], s["end"])
             accepted.append(s)
-
-    def stays(e: Mapping) -> bool:
-        a, b = e["start"], e["end"]
-        if keep_existing:
-            return True
-        if a < b:
-            return all(o is None for o in owner[a:b])
-        return not (0 < a < n and owner[a - 1] is not None and owner[a - 1] == owner[a])
-
-    return [*(e for e in existing if stays(e)), *accepted]
+    return taken, accepted
 
 
-FILTERS = {
-    "first_longest": first_longest,
-    "prioritize_new": lambda e, s, n: prioritize(e, s, n, False),
-    "prioritize_existing": lambda e, s, n: prioritize(e, s, n, True),
-}
+FILTERS = {"first_longest": first_longest, "prioritize_new": prioritize_new, "prioritize_existing": prioritize_existing}

@@ -36,34 +36,93 @@ def test_filters():
     assert at(FILTERS["prioritize_existing"](old, spans((1, 5), (5, 6)), 8)) == [*at(old), (5, 6)]
 
 
+def test_filters_by_tokens():
+    """The filters against sets of tokens, on random spans, empty ones included."""
+    r = random.Random(5)
+    tokens = lambda x: set(range(x["start"], x["end"]))
+    rank = lambda xs: sorted(xs, key=lambda x: (x["start"] - x["end"], x["start"]))
+    for _ in range(3000):
+        n = r.randint(1, 9)
+        make = lambda k: [S(*sorted((r.randint(0, n), r.randint(0, n))), f"{k}{i}") for i in range(r.randint(0, 5))]  # noqa: E731, B023
+        old, new = make("o"), make("n")
+        taken, kept = set(), []
+        for x in rank([*old, *new]):
+            if not {x["start"], x["end"] - 1} & taken:
+                taken |= tokens(x)
+                kept.append(x)
+        assert FILTERS["first_longest"](old, new, n) == sorted(kept, key=lambda x: x["start"])
+        for keep in (True, False):
+            taken, added = set().union(*map(tokens, old)) if keep else set(), []
+            for x in rank(new):
+                if not tokens(x) & taken:
+                    taken |= tokens(x)
+                    added.append(x)
+            gone = lambda e: any(x["start"] < x["end"] and e["start"] < x["end"] and e["end"] > x["start"] for x in added)  # noqa: E731, B023
+            want = [*(e for e in old if keep or not gone(e)), *added]
+            assert FILTERS["prioritize_existing" if keep else "prioritize_new"](old, new, n) == want
+
+
 def test_entity_updates():
-    none = [("O", None, None)] * 3
+    none = [("O", "", None)] * 3
     assert set_entities(none, {"default": "missing"}) == [(None, None, None)] * 3
     assert derived(set_entities(none, {"default": "missing"})) is None and derived([]) == []
-    assert set_entities([("I", "X", None)] * 2, {"outside": [S(0, 1)], "default": "unmodified"}) == [("O", None, None), ("B", "X", None)]
+    assert set_entities([("I", "X", None)] * 2, {"outside": [S(0, 1)], "default": "unmodified"}) == [("O", "", None), ("B", "X", None)]
     tags = set_entities(none, {"entities": [S(0, 2, "ORG", "q"), S(2, 3, "")], "default": "outside"})
-    assert tags == [("B", "ORG", "q"), ("I", "ORG", "q"), ("O", None, None)] and derived(tags) == [S(0, 2, "ORG", "q")]
-    for bad, error in (({"entities": [S(0, 9)]}, BoundsError), ({"entities": [S(0, 2), S(1, 3)]}, UnsupportedError), ({"default": "x"}, PatternError)):
+    assert tags == [("B", "ORG", "q"), ("I", "ORG", "q"), ("O", "", None)] and derived(tags) == [S(0, 2, "ORG", "q")]
+    bad = ({"entities": [S(0, 9)]}, BoundsError), ({"entities": [S(0, 9, "")]}, BoundsError), ({"entities": [S(0, 2), S(1, 3)]}, BoundsError), ({"entities": [S(0, 2)], "missing": [S(1, 1), S(1, 2)]}, BoundsError), ({"default": "x"}, PatternError)
+    for update, error in bad:
         with pytest.raises(error):
-            set_entities(none, bad)
+            set_entities(none, update)
+    assert set_entities(none, {"entities": [S(0, 2), S(1, 1)], "blocked": [S(2, 3)]}) == [("B", "X", None), ("I", "X", None), ("B", "", None)]
     with pytest.raises(UnsupportedError):
         derived([("I", "X", None)])
     assert derived([("B", None, None), ("B", "A", None), ("I", "B", None)]) == [S(1, 3, "A")]
 
 
+def test_entity_ids_stay():
+    """Only an entity with an id of its own changes ids."""
+    tags = [("B", "A", "id1"), ("I", "A", "id2"), ("O", "", "id3"), ("O", "", None)]
+    assert [t[2] for t in set_entities(tags, {"default": "outside"})] == ["id1", "id2", "id3", None]
+    assert [t[2] for t in set_entities(tags, {"entities": [S(0, 2, "B"), S(2, 4, "C", "new")], "default": "missing"})] == ["id1", "id2", "new", "new"]
+    assert [t[2] for t in set_entities(tags, {"blocked": [S(0, 1)], "entities": [S(1, 3, "D", "")], "default": "unmodified"})] == ["id1", "id2", "id3", None]
+
+
+def test_a_leading_inside_stays():
+    assert repaired([("I", "X", None), ("I", "X", None), ("I", "Y", None)]) == [("I", "X", None), ("I", "X", None), ("B", "Y", None)]
+
+
 def test_repair_needs_one_look_back():
     r = random.Random(3)
     for _ in range(2000):
         tags = [(r.choice(["B", "I", "O", None]), r.choice(["X", "Y", None]), None) for _ in range(6)]
-        want, before = [], ("O", None, None)
-        for t in tags:
-            if t[0] == "I" and (before[0] not in ("B", "I") or (before[1] or "") != (t[1] or "")):
+        want = tags[:1]
+        for t in tags[1:]:
+            if t[0] == "I" and (want[-1][0] not in ("B", "I") or (want[-1][1] or "") != (t[1] or "")):
                 t = ("B", *t[1:])
             want.append(t)
-            before = t
         assert repaired(tags) == want
 
 
+def test_arrays_repair_and_derive_alike(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.entities import entity_array, repair_array
+
+    r = random.Random(4)
+    rows = [(k, [(r.choice(["B", "I", "O", None]), r.choice(["X", "Y", "", None]), r.choice(["q", None])) for _ in range(r.randint(0, 7))]) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, tags array<struct<iob:string,kind:string,id:string>>")
+    got = df.select("k", repair_array(F.col("tags")).alias("tags")).select("k", "tags", entity_array(F.col("tags")).alias("spans")).collect()
+    for x in got:
+        want = repaired([tuple(t) for t in rows[x.k][1]])
+        assert [tuple(t) for t in x.tags] == want
+        try:
+            spans = [(s["start"], s["end"], s["label"]) for s in derived(want) or []]
+        except UnsupportedError:  # an I that continues nothing is an error there and in no entity here
+            spans = None
+        if spans is not None:
+            assert [(s.start, s.end, s.label) for s in x.spans] == spans
+
+
 def test_groups():
     g = set_group(set_group([], "a", [S(0, 1)], 2), "b", [], 2)
     assert [x["key"] for x in set_group(g, "a", [], 2)] == ["a", "b"] and [x["key"] for x in set_group(remove_group(g, "a"), "a", [], 2)] == ["b", "a"]
@@ -171,6 +230,8 @@ def test_annotators(make_doc):
     assert [annotators.lemma(w, "NOUN", "", t) for w in ("Dogs", "boxes", "geese", "cats", "sheep")] == ["dog", "box", "goose", "cat", "sheep"]
     assert annotators.lemma("Dogs", "NOUN", "Number=Sing", t) == "dogs" and annotators.lemma("Paris", "PROPN", "", t) == "Paris" and annotators.lemma("Ran", "VERB", "", t) == "ran"
     doc = make_doc(["the", "old", "dog", "ran"], head=[2, 2, 3, 3], dep=["det", "amod", "nsubj", "ROOT"], pos=["DET", "ADJ", "NOUN", "VERB"])
+    right = make_doc(["a", "b", "c"], head=[1, 2, 2], dep=["conj", "dobj", "ROOT"], pos=["NOUN", "X", "X"])["tokens"]
+    assert annotators.noun_chunks_of(right) == [S(0, 1, "NP")]  # a conjunct's head may be to its right
     assert annotators.noun_chunks_of(doc["tokens"]) == [S(0, 3, "NP")] and annotators.sentences_of([1, 1, 3, 3]) == [S(0, 2, ""), S(2, 4, "")]
     from tessera.operators.token_matcher import TokenMatcher
 
