@@ -71,45 +71,44 @@ def parsed(constraints: Iterable[Mapping] | str) -> tuple[Constraint, ...]:
 # ---- morphology ----------------------------------------------------------------------------------------------------
 
 
-def _is_pos(key: str) -> bool:
-    return key.upper() == "POS"
+@dataclass(frozen=True)
+class Analysis:
+    """The fields of a morphological analysis with their sorted values; of fields of one name the last counts."""
+
+    fields: Mapping[str, tuple[str, ...]]
+
+    @staticmethod
+    def of(text: str) -> Analysis:
+        """Parses Field=Value,Value|...; the empty analysis is "" or "_"."""
+        parts = [] if text in ("", "_") else [p.split("=") for p in text.split("|")]
+        for p in parts:
+            if len(p) != 2 or not all((p[0], *p[1].split(","))) or any(c.isspace() for x in p for c in x):
+                raise PatternError(f"malformed morphology {'='.join(p)!r}")
+        return Analysis({name: tuple(sorted(values.split(","))) for name, values in parts})
+
+    def folded(self) -> Analysis:
+        """With the field of a part of speech, however it is spelled, under one name, and a lone known value in capitals."""
+        upper = {v.upper(): v for v in POS_TAGS}
+        capital = lambda v: (upper[v[0].upper()],) if len(v) == 1 and v[0].upper() in upper else v
+        return Analysis(dict(("POS", capital(v)) if name.upper() == "POS" else (name, v) for name, v in self.fields.items()))
+
+    def __str__(self) -> str:
+        return "|".join(sorted(f"{name}={','.join(values)}" for name, values in self.fields.items()))
 
 
 def normalize_morph(value: str) -> str:
     """A pattern's morphology in canonical form: values sorted, a later field replacing an earlier one of its name, the POS
     alias folded, and whole Field=Value strings sorted. Empty and "_" are the empty analysis."""
-    if value in ("", "_"):
-        return ""
-    raw: dict[str, list[str]] = {}
-    for part in value.split("|"):
-        key, eq, values = part.partition("=")
-        items = values.split(",")
-        if not eq or not key or "=" in values or not all(items) or any(c.isspace() for c in part):
-            raise PatternError(f"malformed morphology {part!r}")
-        raw[key] = sorted(items)
-    folded: dict[str, list[str]] = {}
-    for key, items in raw.items():
-        if _is_pos(key):
-            folded["POS"] = [items[0].upper()] if len(items) == 1 and items[0].upper() in POS_TAGS else items
-        else:
-            folded[key] = items
-    return "|".join(sorted(f"{k}={','.join(v)}" for k, v in folded.items()))
+    return str(Analysis.of(value).folded())
 
 
 def check_document_morph(value: str | None) -> None:
-    """Matching needs a document's morphology in canonical form."""
-    if not value:
-        return
-    parts = value.split("|")
-    keys = [p.partition("=")[0] for p in parts]
-    for part, key in zip(parts, keys, strict=True):
-        _, eq, values = part.partition("=")
-        items = values.split(",")
-        upper = values.upper()
-        odd_pos = _is_pos(key) and (key != "POS" or (upper in POS_TAGS and values != upper))
-        if not eq or not key or "=" in values or not all(items) or items != sorted(items) or any(c.isspace() for c in part) or odd_pos:
-            raise UnsupportedError("matching needs canonical morphology")
-    if any(a >= b for a, b in zip(parts, parts[1:])) or any(a == b for a, b in zip(keys, keys[1:])):
+    """Matching needs a document's morphology in canonical form, that is, one that normalization leaves as it is."""
+    try:
+        canonical = not value or normalize_morph(value) == value
+    except PatternError:
+        canonical = False
+    if not canonical:
         raise UnsupportedError("matching needs canonical morphology")
 
 
