@@ -9,6 +9,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,10 +98,6 @@ class TokenizerRules:
                 raise UnsupportedError(f"the pieces of {text!r} don't make it up")
 
 
-def _spaced(c: str) -> bool:
-    return c.isspace()
-
-
 class RuleTokenizer:
     def __init__(self, rules: TokenizerRules) -> None:
         self.rules = rules
@@ -111,61 +108,48 @@ class RuleTokenizer:
 
     @cached_property
     def sequences(self) -> dict[str, list[list[str]]]:
-        """Exceptions that plain splitting takes apart, as the token sequences it makes of them, by first token."""
-        out: dict[str, list[list[str]]] = {}
-        for text in self.rules.exceptions:
-            if " " in text or self.prefix.search(text) or self.suffix.search(text) or self.infix.search(text):
-                words = [text[a:b] for a, b, *_ in self.split(text, exceptions=False)]
-                if words:
-                    out.setdefault(words[0], []).append(words)
-        return out
+        """What plain splitting makes of the exceptions that it takes apart, by its first token."""
+        apart = lambda text: " " in text or any(p.search(text) for p in (self.prefix, self.suffix, self.infix))
+        made = [[text[a:b] for a, b, *_ in self.split(text, exceptions=False)] for text in filter(apart, self.rules.exceptions)]
+        by_first: dict[str, list[list[str]]] = {words[0]: [] for words in made if words}
+        for words in filter(None, made):
+            by_first[words[0]].append(words)
+        return by_first
 
     def split(self, text: str, exceptions: bool = True) -> list[tuple[int, int, bool, str | None]]:
         """Stretches of white space and of other characters; the first blank after a word belongs to the word."""
         out: list[tuple[int, int, bool, str | None]] = []
-        at = 0
-        while at < len(text):
-            end = at + 1
-            while end < len(text) and _spaced(text[end]) == _spaced(text[at]):
-                end += 1
-            a = at
-            if _spaced(text[at]) and text[at] == " " and out:
-                x, y, _, n = out[-1]
-                out[-1] = (x, y, True, n)
+        for _, run in groupby(range(len(text)), key=lambda i: text[i].isspace()):
+            at = list(run)
+            a, end = at[0], at[-1] + 1
+            if text[a] == " " and out:
+                out[-1] = (*out[-1][:2], True, out[-1][3])
                 a += 1
             if a < end:
                 out += [(a + x, a + y, False, n) for x, y, n in self.chunk(text[a:end], exceptions)]
-            at = end
         return out
 
+    def peeled(self, text: str, a: int, b: int, known: Mapping) -> tuple[int, int]:
+        """What is left of [a, b) without a prefix, without a suffix or without both: the first of these that is an exception, else
+        the last one."""
+        head = self.prefix.search(text[a:b])
+        inner = a + head.end() if head else a
+        tail = self.suffix.search(text[inner:b])
+        outer = b - len(tail[0]) if tail else b
+        return next((w for w in ((inner, b), (a, outer)) if w != (a, b) and text[w[0] : w[1]] in known), (inner, outer))
+
     def chunk(self, text: str, exceptions: bool) -> list[tuple[int, int, str | None]]:
-        """Strips prefixes and suffixes by turns until the rest is an exception or nothing more comes off."""
+        """The core of a stretch, which is an exception or has nothing more to come off, between what was peeled off it."""
         known = self.rules.exceptions if exceptions else {}
-        a, b = 0, len(text)
-        before: list[tuple[int, int]] = []
-        after: list[tuple[int, int]] = []
-        while a < b and text[a:b] not in known:
-            p = self.prefix.search(text[a:b])
-            size = p.end() if p else 0
-            if size and text[a + size : b] in known:
-                before.append((a, a + size))
-                a += size
-                break
-            s = self.suffix.search(text[a + size : b])
-            cut = b - (len(s[0]) if s else 0)
-            if cut < b and text[a:cut] in known:
-                after.append((cut, b))
-                b = cut
-                break
-            if not size and cut == b:
+        windows = [(0, len(text))]
+        while (left := windows[-1])[0] < left[1] and text[left[0] : left[1]] not in known:
+            windows.append(self.peeled(text, *left, known))
+            if windows[-1] == left:
                 break
-            if size:
-                before.append((a, a + size))
-                a += size
-            if cut < b:
-                after.append((cut, b))
-                b = cut
-        return [*((x, y, None) for x, y in before), *self.core(text, a, b, known), *((x, y, None) for x, y in reversed(after))]
+        steps = list(zip(windows, windows[1:]))
+        before = [(x[0], y[0], None) for x, y in steps if x[0] < y[0]]
+        after = [(y[1], x[1], None) for x, y in steps if y[1] < x[1]]
+        return [*before, *self.core(text, *windows[-1], known), *after[::-1]]
 
     def core(self, text: str, a: int, b: int, known: Mapping) -> list[tuple[int, int, str | None]]:
         if a >= b:
