@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PatternError
 from ..functions.lexical import FLAGS, Lexicon
-from ..plans.predicates import Constraint, all_of, check_document, columns_of, parsed
+from ..plans.predicates import Constraint, all_of, check_document, columns_of, parsed, token_column
 from .kernels import per_document, views
-from .trees import RELATION_NAMES, RELATIONS, graph
+from .trees import RELATION_NAMES, RELATIONS, Forest, forests, graph
 
 
 @dataclass(frozen=True)
@@ -128,3 +130,34 @@ def find_by_join(graph_tokens: DataFrame, spec: Mapping | Sequence, lexicon: Lex
         condition = RELATIONS[n.relation].replace("L.", f"{n.left}__").replace("R.", f"{n.id}__")
         out = out.join(side, ["doc_id", "root"]).where(condition)
     return out.select("doc_id", F.array(*[f"{n.id}__i" for n in nodes]).alias("tokens"))
+
+
+def find_in_rows(docs: DataFrame, spec: Mapping | Sequence, lexicon: Lexicon = Lexicon(), most: int = 1 << 16) -> DataFrame:  # noqa: B008
+    """find_by_join within a document's own row: its trees are worked out once, and nothing is exchanged. Constraints over texts are
+    expressions beside the tokens; aliases are bound one after another over arrays, `most` bound rows at a time. docs: doc_id,
+    tokens (array of structs with text, head and the attributes of the constraints)."""
+    nodes = pattern_of(spec)
+    at = {n.id: k for k, n in enumerate(nodes)}
+
+    def tested(t: F.Column) -> F.Column:
+        return F.struct(t["head"].alias("head"), *[F.coalesce(token_column(n.constraints, t, lexicon), F.lit(False)).alias(f"t{k}") for k, n in enumerate(nodes)])
+
+    def bound(f: Forest, masks: list[np.ndarray], rows: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        if k == len(nodes):
+            yield rows
+            return
+        for x in range(0, max(1, len(rows)), most):
+            part = rows[x : x + most]
+            place, right = f.related(nodes[k].relation, part[:, at[nodes[k].left]], masks[k])
+            yield from bound(f, masks, np.hstack([part[place], right[:, None]]), k + 1)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, tokens, f, doc in forests(batches):
+            masks = [np.asarray(tokens.field(f"t{k}")) for k in range(len(nodes))]
+            for rows in bound(f, masks, np.flatnonzero(masks[0])[:, None], 1):
+                if len(rows):
+                    ends = np.arange(0, rows.size + 1, len(nodes), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[rows[:, 0]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.i[rows].reshape(-1).astype(np.int32)))], ["doc_id", "tokens"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform("tokens", tested).alias("tokens"))
+    return slim.mapInArrow(kernel, "doc_id bigint, tokens array<int>")

@@ -149,24 +149,37 @@ class PhraseMatcher:
         return per_document(docs.select("doc_id", "text", "tokens"), run, "doc_id bigint, ord int, rule string, start int, end int" + (", error string, message string" if errors else ""), errors)
 
 
-def find_by_join(tokens: DataFrame, phrases: DataFrame, key: str, max_length: int = 8, small: int = 8 << 20, ahead: Sequence[str] = ()) -> DataFrame:
-    """doc_id, rule, start, end: phrases (rule, keys) joined to the token table by the keys of each length in use. `ahead` names
-    the columns that hold the keys of the next tokens, null past a document's end; without them a window looks ahead. The
-    phrase side is broadcast only when Catalyst's estimate of its size is below `small` bytes."""
-    lengths = [r[0] for r in phrases.select(F.size("keys").alias("n")).distinct().collect() if 0 < r[0] <= max_length]  # at most max_length numbers
-    if not lengths:
+def find_by_join(tokens: DataFrame, phrases: DataFrame, key: str, small: int = 8 << 20, ahead: Sequence[str] = (), look: int = 4) -> DataFrame:
+    """doc_id, rule, start, end: phrases (rule, keys) of any length met by equi-joins on keys. `ahead` names the columns that hold
+    the keys of the next tokens, null past a document's end; without them a window looks `look` - 1 tokens ahead.
+
+    A phrase is looked up by as many of its keys as a row holds; of a longer one every further key is then joined to the token
+    at its place, and the phrase is there if none is missing. Tokens that begin no phrase go first, by the two leading keys
+    where all phrases have two, so that a frequent first word alone brings no row along. The phrase side is broadcast only when
+    Catalyst's estimate of its size is below `small` bytes."""
+    side = phrases.where((F.size("keys") > 0) & ~F.exists("keys", lambda k: k.isNull())).select("rule", "keys").distinct()
+    shortest, longest = side.agg(F.min(F.size("keys")), F.max(F.size("keys"))).first()
+    if shortest is None:
         return tokens.select("doc_id", F.lit(None).cast("string").alias("rule"), F.col("i").alias("start"), F.col("i").alias("end")).limit(0)
-    longest = max(lengths)
-    if len(ahead) < longest - 1:
+    if not ahead and longest > 1:
         w = Window.partitionBy("doc_id").orderBy("i")
-        tokens = tokens.withColumns({f"__next{k}": F.lead(key, k).over(w) for k in range(1, longest)})
-        ahead = [f"__next{k}" for k in range(1, longest)]
-    keys = [key, *ahead]
-    side = phrases.where((F.size("keys") > 0) & (F.size("keys") <= max_length)).select("rule", "keys").distinct()
-    first = side.select(F.col("keys")[0].alias(key)).distinct()
+        ahead = [f"__next{k}" for k in range(1, min(look, longest))]
+        tokens = tokens.withColumns({c: F.lead(key, k).over(w) for k, c in enumerate(ahead, 1)})
+    keys = [key, *ahead][:longest]
+    side = side.withColumn("probe", F.slice("keys", 1, len(keys)))
+    lead = keys[: min(2, shortest, len(keys))]
+    first = side.select(*[F.col("keys")[k].alias(c) for k, c in enumerate(lead)]).distinct()
+    lengths = sorted(r[0] for r in side.select(F.size("probe")).distinct().collect())  # numbers up to the columns of keys
     if int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= small:
         side, first = F.broadcast(side), F.broadcast(first)
-    # Tokens that start no phrase go first; the others make one gram for each length in use.
-    grams = F.array(*[F.when(F.col(keys[n - 1]).isNotNull(), F.array(*keys[:n])) for n in sorted(lengths)])
-    started = tokens.join(first, key, "left_semi").select("doc_id", F.col("i").alias("start"), F.explode(F.array_compact(grams)).alias("keys"))
-    return started.join(side, "keys").select("doc_id", "rule", "start", (F.col("start") + F.size("keys")).alias("end"))
+    grams = F.array(*[F.when(F.col(keys[n - 1]).isNotNull(), F.array(*keys[:n])) for n in lengths])
+    started = tokens.join(first, lead, "left_semi").select("doc_id", F.col("i").alias("start"), F.explode(F.array_compact(grams)).alias("probe"))
+    met = started.join(side, "probe").select("doc_id", "rule", "start", "keys")
+    done = met.where(F.size("keys") <= len(keys)).select("doc_id", "rule", "start", (F.col("start") + F.size("keys")).alias("end"))
+    if longest <= len(keys):
+        return done
+    rest = met.where(F.size("keys") > len(keys)).select("doc_id", "rule", "start", (F.col("start") + F.size("keys")).alias("end"), F.posexplode("keys").alias("k", "want"))
+    rest = rest.where(F.col("k") >= len(keys)).withColumn("i", F.col("start") + F.col("k"))
+    there = rest.join(tokens.select("doc_id", "i", F.col(key).alias("want")), ["doc_id", "i", "want"])
+    long = there.groupBy("doc_id", "rule", "start", "end").agg(F.count("*").alias("n")).where(F.col("n") == F.col("end") - F.col("start") - len(keys))
+    return done.unionByName(long.drop("n"))

@@ -6,9 +6,11 @@ follow the order of the patterns. Rules with a greedy option come last, each fil
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ class TokenMatcher:
         old = self.rules.get(name, Rule())
         return replace(self, rules={**self.rules, name: Rule(old.patterns + new, greedy)}, sequence=self.sequence + tuple((name, p) for p in new))
 
+    def add_all(self, rules: Sequence[tuple[str, Sequence]]) -> TokenMatcher:
+        """add() for many rules (name, patterns) without a greedy option, in one step."""
+        new = [(n, tuple(p if isinstance(p, Pattern) else Pattern.of(p) for p in patterns)) for n, patterns in rules]
+        if self.lexicon is None and any(c.attribute in FLAGS for _, ps in new for p in ps for c in p.constraints()):
+            raise PatternError("flags need a matcher with a lexicon")
+        held = dict(self.rules)
+        for n, ps in new:
+            held[n] = Rule(held.get(n, Rule()).patterns + ps)
+        return replace(self, rules=held, sequence=self.sequence + tuple((n, p) for n, ps in new for p in ps))
+
     def remove(self, name: str) -> TokenMatcher:
         if name not in self.rules:
             raise PatternError(f"no rule {name}")
@@ -74,9 +86,33 @@ class TokenMatcher:
     def find(self, docs: DataFrame, errors: bool = False) -> DataFrame:
         """doc_id, ord, rule, start, end; with errors, also error and message, one row for each failing document."""
         search = self.compiled()
+        if not errors:
+            return find_columns(docs.select("doc_id", F.struct("text", "tokens").alias("doc")), search, lambda d: search.columns(views(d, search.lexicon)))
         run = lambda d: [{"doc_id": d["doc_id"], "ord": i, "rule": r, "start": a, "end": b} for i, (r, a, b) in enumerate(search(d))]
-        ddl = "doc_id bigint, ord int, rule string, start int, end int" + (", error string, message string" if errors else "")
-        return per_document(docs.select("doc_id", "text", "tokens"), run, ddl, errors)
+        return per_document(docs.select("doc_id", "text", "tokens"), run, "doc_id bigint, ord int, rule string, start int, end int, error string, message string", errors)
+
+    def find_words(self, docs: DataFrame) -> DataFrame:
+        """doc_id, ord, rule, start, end over bare words (doc_id, words: array of strings), without annotations."""
+        search = self.compiled()
+        return find_columns(docs.select("doc_id", "words"), search, search.word_columns)
+
+
+def find_columns(docs: DataFrame, search: Search, columns: Callable) -> DataFrame:
+    """doc_id, ord, rule, start, end of what `columns` gives for the second column of each row: numbers of rules, starts, ends."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(search.names, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rule, start, end = zip(*(columns(x) for x in part.column(1).to_pylist()))
+                sizes = np.array([len(x) for x in rule])
+                ord_ = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                whole = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(ord_.astype(np.int32)), names.take(whole(rule)), whole(start), whole(end)], ["doc_id", "ord", "rule", "start", "end"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs.columns[1]).mapInArrow(kernel, "doc_id bigint, ord int, rule string, start int, end int")
 
 
 class Search:
@@ -102,6 +138,8 @@ class Search:
                     self.index.setdefault(first[0], {}).setdefault(v, []).append(k)
             else:
                 self.anywhere.append(k)
+        self.names = list(dict.fromkeys(n for n, _ in self.patterns))
+        self.plan: Arrays | None = Arrays(self, list(table))
 
     @staticmethod
     def _test(constraints: tuple, negated: bool) -> Callable[[Mapping], bool]:
@@ -120,9 +158,48 @@ class Search:
 
     def words(self, words: Sequence[str]) -> list[tuple[str, int, int]]:
         """Matches over bare words, without annotations."""
-        return self.over([TokenView(w, {}, self.lexicon) for w in words])
+        return self.named(*self.word_columns(words))
 
     def over(self, tokens: Sequence[TokenView]) -> list[tuple[str, int, int]]:
+        return self.named(*self.columns(tokens))
+
+    def named(self, rule: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[str, int, int]]:
+        return list(zip(map(self.names.__getitem__, rule.tolist()), start.tolist(), end.tolist()))
+
+    def word_columns(self, words: Sequence[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """columns() of bare words: each distinct word is looked at once."""
+        words = words or []
+        if self.plan is None:
+            seen = {w: TokenView(w, {}, self.lexicon) for w in set(words)}
+            return self.columns([seen[w] for w in words])
+        number: dict[str, int] = {}
+        codes = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+        return self.greedily(self.plan.columns([TokenView(w, {}, self.lexicon) for w in number], codes))
+
+    def columns(self, tokens: Sequence[TokenView]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of rules (in self.names), starts and ends of all matches, in order."""
+        if self.plan is not None:
+            return self.greedily(self.plan.columns(tokens, np.arange(len(tokens))))
+        rule = {n: k for k, n in enumerate(self.names)}
+        found = self.stepped(tokens)
+        return self.greedily(tuple(np.array(x, dtype=np.int64) for x in ([rule[m[0]] for m in found], [m[1] for m in found], [m[2] for m in found])))
+
+    def greedily(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rules with a greedy option come last, each filtered on its own, in the order of their first matches."""
+        if not self.greedy or not len(found[0]):
+            return found
+        rule, start, end = found
+        numbers = [k for k, n in enumerate(self.names) if n in self.greedy]
+        rest = np.flatnonzero(~np.isin(rule, numbers))
+        parts = [rest]
+        for k in dict.fromkeys(rule[np.isin(rule, numbers)].tolist()):
+            own = np.flatnonzero(rule == k)
+            parts.append(own[keep_greedy(start[own], end[own], self.greedy[self.names[k]])])
+        order = np.concatenate(parts)
+        return rule[order], start[order], end[order]
+
+    def stepped(self, tokens: Sequence[TokenView]) -> list[tuple[str, int, int]]:
+        """All matches by the breadth-first search over states."""
         check_document(self.constraints, tokens)
         found: list[tuple[str, int, int]] = []
         seen: set[tuple[str, int, int]] = set()
@@ -134,11 +211,12 @@ class Search:
                 found.append(m)
 
         states: list[tuple[int, int, int]] = []  # pattern, node, start
+        # Bare words share one view for each distinct word, which keeps what is known of it.
+        known: dict[int, tuple[list[int], dict[int, bool]]] = {}
         for i, token in enumerate(tokens):
-            starts = self.starts(token)
+            starts, holds = known.get(id(token)) or known.setdefault(id(token), (self.starts(token), {}))
             if not states and not starts:
                 continue
-            holds: dict[int, bool] = {}
             kept: dict[tuple[int, int, int], None] = {}
             queue = states + [(k, 0, i) for k in starts]
             done: set[tuple[int, int, int]] = set()
@@ -180,28 +258,166 @@ class Search:
         for k, node, start in states:
             if all(kind != ONE for _, kind in self.patterns[k][1].nodes[node:]):
                 emit(k, start, len(tokens))
-        return self.ordered(found)
-
-    def ordered(self, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        if not self.greedy:
-            return found
-        out = [m for m in found if m[0] not in self.greedy]
-        for name in dict.fromkeys(m[0] for m in found if m[0] in self.greedy):
-            out += keep_greedy([m for m in found if m[0] == name], self.greedy[name])
-        return out
-
-
-def keep_greedy(matches: list[tuple[str, int, int]], how: str) -> list[tuple[str, int, int]]:
-    """Of overlapping matches the first (longer before shorter at one start) or the longest (earlier before later)."""
-    key = (lambda m: (m[1], -m[2])) if how == "first" else (lambda m: (m[1] - m[2], m[1]))
-    taken: set[int] = set()
+        return found
+
+
+class Arrays:
+    """The search over arrays instead of token by token. What a token fulfils is worked out once for each distinct token. Patterns
+    whose nodes are of the same kinds go together: each is met where its rarest necessary item holds and from there extended over
+    its other nodes, to the right and to the left.
+
+    The breadth-first search would find a match at its last token, or, where the last node took nothing there, at the token
+    after it, and at one token in the order of starts, then patterns. Sorting by these gives its order without its steps."""
+
+    def __init__(self, search: Search, table: Sequence[tuple]) -> None:
+        self.search = search
+        shapes: dict[tuple[str, ...], list[int]] = {}
+        for k, (_, p) in enumerate(search.patterns):
+            if p.nodes:
+                shapes.setdefault(tuple(kind for _, kind in p.nodes), []).append(k)
+        #: Kinds of nodes, numbers of patterns, and the item of each node by pattern.
+        self.shapes = [(kinds, np.array(own, dtype=np.int64), np.array([[search.items[k][i] for i, _ in search.patterns[k][1].nodes] for k in own], dtype=np.int64)) for kinds, own in shapes.items()]
+        #: Items by an attribute and value that one of their constraints asks for; the others; and those that this alone decides.
+        self.index: dict[str, dict[str, list[int]]] = {}
+        self.others: list[int] = []
+        self.decided: set[int] = set()
+        for k, (constraints, negated) in enumerate(table):
+            c = next((c for c in constraints if c.attribute in ("text", "lower") and c.kind in ("equals", "in", "is_subset", "intersects")), None)
+            if c is None or negated:
+                self.others.append(k)
+                continue
+            for v in {c.value} if c.kind == "equals" else set(c.value):
+                self.index.setdefault(c.attribute, {}).setdefault(v, []).append(k)
+            if len(constraints) == 1:
+                self.decided.add(k)
+        number = {name: k for k, name in enumerate(search.names)}
+        self.rule_of = np.array([number[name] for name, _ in search.patterns], dtype=np.int64)
+
+    def columns(self, tokens: Sequence[TokenView], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rules, starts and ends of all matches, in order. codes: which of the distinct tokens is at each place."""
+        check_document(self.search.constraints, tokens)
+        n = len(codes)
+        none = (np.zeros(0, dtype=np.int64),) * 3
+        if not n:
+            return none
+        at = Places(self, tokens, codes)
+        found = [x for kinds, patterns, items in self.shapes if (x := at.matches(kinds, patterns, items)) is not None]
+        if not found:
+            return none
+        time, start, end, pattern = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((end, pattern, start, time))
+        rule, start, end = self.rule_of[pattern[order]], start[order], end[order]
+        _, once = np.unique((rule * (n + 1) + start) * (n + 2) + end, return_index=True)
+        if len(once) < len(rule):
+            once.sort()
+            rule, start, end = rule[once], start[once], end[once]
+        return rule, start, end
+
+
+class Places:
+    """The places of one document where items hold."""
+
+    def __init__(self, plan: Arrays, tokens: Sequence[TokenView], codes: np.ndarray) -> None:
+        tests, item, code = plan.search.tests, [], []
+        for k, t in enumerate(tokens):
+            held = [m for a, by in plan.index.items() for m in by.get(t[a], ()) if m in plan.decided or tests[m](t)]
+            held += [m for m in plan.others if tests[m](t)]
+            item += held
+            code += [k] * len(held)
+        self.n, self.codes, self.wide = len(codes), codes, len(tokens)
+        key = np.unique(np.array(item, dtype=np.int64) * self.wide + np.array(code, dtype=np.int64))
+        self.held = key
+        # Small tables of items and distinct tokens are looked up, others searched.
+        self.table = None
+        if len(tests) * self.wide <= 1 << 24:
+            self.table = np.zeros(len(tests) * self.wide, dtype=bool)
+            self.table[key] = True
+        self.first = np.searchsorted(key, np.arange(len(tests) + 1) * self.wide)
+        self.by_code = np.argsort(codes, kind="stable")
+        self.count = np.bincount(codes, minlength=self.wide)
+        self.begin = np.cumsum(self.count) - self.count
+        often = np.concatenate([[0], np.cumsum(self.count[key % self.wide])])
+        self.often = often[self.first[1:]] - often[self.first[:-1]]
+
+    def holds(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the item holds at the place; nothing does outside of the text."""
+        inside = (place >= 0) & (place < self.n)
+        key = item * self.wide + self.codes[np.where(inside, place, 0)]
+        if self.table is not None:
+            return inside & self.table[key]
+        at = np.minimum(np.searchsorted(self.held, key), max(0, len(self.held) - 1))
+        return inside & (self.held[at] == key) if len(self.held) else np.zeros(len(key), dtype=bool)
+
+    def where(self, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For items one by one: the number of the item, and each place where it holds."""
+        which, at = _ranges(self.first[item], self.first[item + 1] - self.first[item])
+        code = self.held[at] % self.wide
+        again, place = _ranges(self.begin[code], self.count[code])
+        return which[again], self.by_code[place]
+
+    def over(self, kind: str, item: np.ndarray, p: np.ndarray, fixed: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Extends rows (pattern, fixed end, moving end) by a node: these, and whether the node took a token at last."""
+        look = at if step > 0 else at - 1
+        ok = self.holds(item[p], look)
+        if kind == ONE:
+            return p[ok], fixed[ok], at[ok] + step, np.ones(int(ok.sum()), dtype=bool)
+        parts = [(p, fixed, at, np.zeros(len(p), dtype=bool))]
+        while ok.any():
+            p, fixed, at = p[ok], fixed[ok], at[ok] + step
+            parts.append((p, fixed, at, np.ones(len(p), dtype=bool)))
+            if kind != STAR:
+                break
+            ok = self.holds(item[p], at if step > 0 else at - 1)
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def distinct(self, p: np.ndarray, fixed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = np.unique((p * (self.n + 1) + fixed) * (self.n + 1) + at)
+        return key // (self.n + 1) ** 2, key // (self.n + 1) % (self.n + 1), key % (self.n + 1)
+
+    def matches(self, kinds: tuple[str, ...], patterns: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """Time, start, end and pattern of all matches of patterns of one shape."""
+        needed = [k for k, kind in enumerate(kinds) if kind == ONE]
+        if needed:
+            anchor = min(needed, key=lambda k: int(self.often[items[:, k]].sum()))
+            p, start = self.where(items[:, anchor])
+            end = start + 1
+        else:
+            anchor, p, start = -1, np.repeat(np.arange(len(patterns)), self.n), np.tile(np.arange(self.n), len(patterns))
+            end = start
+        took = np.ones(len(p), dtype=bool)
+        loose = any(kind != ONE for kind in kinds)
+        for k in range(anchor + 1, len(kinds)):
+            p, start, end, took = self.over(kinds[k], items[:, k], p, start, end, 1)
+            if loose and k + 1 < len(kinds):
+                p, start, end = self.distinct(p, start, end)
+        time = end - took if kinds[-1] != STAR else end
+        if anchor > 0:
+            row = np.arange(len(p))
+            p2, start2 = p, start
+            for k in range(anchor - 1, -1, -1):
+                p2, row, start2, _ = self.over(kinds[k], items[:, k], p2, row, start2, -1)
+            p, start, end, time = p2, start2, end[row], time[row]
+        full = end > start
+        return (time[full], start[full], end[full], patterns[p[full]]) if full.any() else None
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of a start and a size: the number of its range, and each of its members."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def keep_greedy(start: np.ndarray, end: np.ndarray, how: str) -> np.ndarray:
+    """Of overlapping matches the first (longer before shorter at one start) or the longest (earlier before later): the numbers
+    of the matches that stay, in that order."""
+    order = np.lexsort((-end, start) if how == "first" else (start, start - end))
+    taken = bytearray(int(end.max(initial=0)))
     out = []
-    for m in sorted(matches, key=key):
-        span = range(m[1], m[2])
-        if taken.isdisjoint(span):
-            taken.update(span)
-            out.append(m)
-    return out
+    for k, a, b in zip(order.tolist(), start[order].tolist(), end[order].tolist()):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\x01" * (b - a)
+            out.append(k)
+    return np.array(out, dtype=np.int64)
 
 
 def find_fixed(tokens: DataFrame, name: str, patterns: Sequence, lexicon: Lexicon = Lexicon(), order: str = "i", key: str = "doc_id") -> DataFrame:  # noqa: B008

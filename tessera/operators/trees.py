@@ -93,33 +93,146 @@ def left_edges(heads: Sequence[int]) -> list[int]:
 GRAPH = ("root", "lo", "hi", "entry", "exit", "depth", "degree")
 
 
+class Forest:
+    """The trees of several documents, one after another: a token's number counts over all of them. All columns come from a few
+    passes over whole arrays, one for each level of the deepest tree at most."""
+
+    def __init__(self, heads: np.ndarray, sizes: np.ndarray) -> None:
+        """heads: of each token within its document; sizes: tokens of each document."""
+        n = len(heads)
+        self.base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = np.arange(n)
+        self.i = own - self.base
+        self.head = heads.astype(np.int64) + self.base
+        root, depth = self.head.copy(), (self.head != own).astype(np.int64)
+        for _ in range(max(1, int(sizes.max(initial=1)).bit_length())):
+            depth, root = depth + depth[root], root[root]
+        self.root, self.depth = root, depth
+        self.child = np.flatnonzero(self.head != own)
+        self.child = self.child[np.lexsort((self.child, self.head[self.child]))]
+        self.degree = np.bincount(self.head[self.child], minlength=n)
+        self.first = np.cumsum(self.degree) - self.degree  # of a token's children in self.child
+        level = np.argsort(depth[self.child], kind="stable")
+        cuts = np.flatnonzero(np.diff(depth[self.child][level], prepend=-1, append=-1))
+        levels = [self.child[level[x:y]] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        size = np.ones(n, dtype=np.int64)
+        for members in reversed(levels):
+            np.add.at(size, self.head[members], size[members])
+        self.size = size
+        # A token is entered after its head and the subtrees of its siblings to the left; trees follow each other in a document.
+        before = np.cumsum(size[self.child]) - size[self.child]
+        offset = np.zeros(n, dtype=np.int64)
+        offset[self.child] = 1 + before - np.repeat(before[self.first[self.degree > 0]], self.degree[self.degree > 0])
+        roots = np.flatnonzero(self.head == own)
+        ahead = np.cumsum(size[roots]) - size[roots]
+        entry = np.zeros(n, dtype=np.int64)
+        entry[roots] = ahead - self.base[roots]
+        for members in levels:
+            entry[members] = entry[self.head[members]] + offset[members]
+        self.entry = entry
+        lo, hi = np.full(n, n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        np.minimum.at(lo, root, own)
+        np.maximum.at(hi, root, own + 1)
+        self.lo, self.hi = lo[root], hi[root]
+
+    def columns(self) -> dict[str, np.ndarray]:
+        """By name, for each token, within its document: its root, the bounds [lo, hi) of its tree, entry and exit of a depth-first
+        walk, depth, degree."""
+        return {"root": self.root - self.base, "lo": self.lo - self.base, "hi": self.hi - self.base, "entry": self.entry, "exit": self.entry + self.size, "depth": self.depth, "degree": self.degree}
+
+    def above(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the places of tokens, one by one: the place and an ancestor, from the parent to the root."""
+        place, at = np.arange(len(tokens)), tokens
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(place):
+            up = self.head[at]
+            on = up != at
+            place, at = place[on], up[on]
+            out.append((place, at))
+        if not out:
+            return place, at
+        places, found = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(places, kind="stable")
+        return places[order], found[order]
+
+    def related(self, relation: str, left: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `left` and the candidates (a mask over all tokens) that stand in the relation to the token there, in the same
+        tree, by place and then token."""
+        if relation in ("<<", ">>", ".*", ";*"):
+            if relation == "<<":
+                place, right = self.above(left)
+            else:
+                # Descendants follow each other in the walk; what is after or before a token does so in the text.
+                key = self.entry + self.base if relation == ">>" else self._tree_order()
+                pool = np.flatnonzero(candidates)
+                pool = pool[np.argsort(key[pool], kind="stable")]
+                keys = key[pool]
+                if relation == ">>":
+                    lo, hi = key[left] + 1, key[left] + self.size[left]
+                elif relation == ".*":
+                    lo, hi = key[left] + 1, self._tree_end()[left]
+                else:
+                    lo, hi = self._tree_end()[left] - self.size[self.root[left]], key[left]
+                place, at = _expanded(np.searchsorted(keys, lo), np.searchsorted(keys, hi))
+                right = pool[at]
+        elif relation[0] == ">":
+            place, at = _expanded(self.first[left], self.first[left] + self.degree[left])
+            right = self.child[at]
+        elif relation[0] == "$":
+            up = self.head[left]  # a root is its own head, and so its children are beside it
+            place, at = _expanded(self.first[up], self.first[up] + self.degree[up])
+            right = self.child[at]
+        else:
+            place = np.arange(len(left))
+            right = self.head[left] if relation[0] == "<" else left + (1 if relation[0] == "." else -1)
+            on = (right >= 0) & (right < len(self.head))
+            place, right = place[on], right[on]
+        l = left[place]  # noqa: E741
+        keep = candidates[right] & (self.root[right] == self.root[l]) & (right != l)
+        side = relation.lstrip("<>$") if relation[0] in "<>$" and relation not in ("<<", ">>") else ""
+        if side:
+            keep &= {"+": right == l + 1, "-": right == l - 1, "++": right > l, "--": right < l}[side]
+        place, right = place[keep], right[keep]
+        order = np.lexsort((right, place))
+        return place[order], right[order]
+
+    def _tree_order(self) -> np.ndarray:
+        """A number for each token that orders tokens by tree and then by place in the text."""
+        order = np.lexsort((np.arange(len(self.root)), self.root))
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.arange(len(order))
+        return out
+
+    def _tree_end(self) -> np.ndarray:
+        """One past the largest of these numbers in a token's tree."""
+        count = np.bincount(self.root, minlength=len(self.root))
+        return np.cumsum(count)[self.root]
+
+
+def _expanded(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges [lo, hi): the number of its range, and each of its members."""
+    n = np.maximum(0, hi - lo)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def forest(heads: Sequence[int | None] | np.ndarray, sizes: np.ndarray) -> Forest:
+    """The trees of documents whose heads are all there and lead to roots; else the error of the first document where not."""
+    plain = np.array([-1 if h is None else h for h in heads], dtype=np.int64) if not isinstance(heads, np.ndarray) else heads
+    ends = np.cumsum(sizes)
+    good = bool(((plain >= 0) & (plain < np.repeat(sizes, sizes))).all())
+    if good:
+        f = Forest(plain, sizes)
+        good = bool((f.head[f.root] == f.root).all())
+    if not good:
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+            check_heads([None if h < 0 and (isinstance(heads, np.ndarray) or heads[a + k] is None) else h for k, h in enumerate(plain[a:b].tolist())])
+    return f
+
+
 def graph_columns(heads: Sequence[int | None]) -> dict[str, list[int]]:
-    """By name, for each token: its root, the bounds [lo, hi) of its tree, entry and exit of a depth-first walk, depth, degree."""
-    check_heads(heads)
-    children = children_of(heads)
-    n = len(heads)
-    root, lo, hi, entry, leave, depth = ([0] * n for _ in range(6))
-    clock = 0
-    for r in range(n):
-        if heads[r] != r:
-            continue
-        members, stack = [], [r]
-        while stack:
-            t = stack.pop()
-            if t < 0:
-                leave[~t] = clock
-                continue
-            root[t], entry[t] = r, clock
-            depth[t] = depth[heads[t]] + 1 if t != r else 0
-            clock += 1
-            members.append(t)
-            stack.append(~t)
-            if children[t]:
-                stack += children[t][::-1]
-        a, b = min(members), max(members) + 1
-        for t in members:
-            lo[t], hi[t] = a, b
-    return dict(zip(GRAPH, (root, lo, hi, entry, leave, depth, list(map(len, children))), strict=True))
+    """By name, for each token of one document, the columns of its trees."""
+    return {k: v.tolist() for k, v in forest(list(heads), np.array([len(heads)])).columns().items()}
 
 
 def graph(heads: Sequence[int | None]) -> list[dict]:
@@ -144,34 +257,64 @@ RELATION_NAMES = {
 }
 
 
+def forests(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[pa.Array, pa.StructArray, Forest, np.ndarray]]:
+    """For some documents at a time (id, tokens): ids, all their tokens, their trees, and each token's document."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0), dtype=np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            part, own = batch.slice(at, stop - at), sizes[at:stop]
+            tokens = part.column(1).flatten()
+            head = tokens.field("head")
+            heads = head.to_pylist() if head.null_count else np.asarray(head, dtype=np.int64)
+            yield part.column(0), tokens, forest(heads, own), np.repeat(np.arange(len(own)), own)
+            at = stop
+
+
 def with_graph(docs: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
     """doc_id, i, head, root, lo, hi, entry, exit, depth, degree for every token, computed in one kernel pass, with the string
     `fields` of the tokens, so that no join is needed to get them back."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "i", "head", *GRAPH, *fields]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, lists = part.column(0), part.column(1)
-                sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0), dtype=np.int64)
-                tokens = lists.flatten()
-                heads = tokens.field("head").to_pylist()
-                columns: dict[str, list[int]] = {g: [] for g in GRAPH}
-                ends = np.cumsum(sizes)
-                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-                    for g, values in graph_columns(heads[a:b]).items():
-                        columns[g] += values
-                where = np.repeat(np.arange(len(sizes)), sizes)
-                i = np.arange(len(where)) - np.repeat(ends - sizes, sizes)
-                ints = [pa.array(i, pa.int32()), tokens.field("head").cast(pa.int32()), *(pa.array(columns[g], pa.int32()) for g in GRAPH)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *ints, *(tokens.field(f) for f in fields)], names)
+        for ids, tokens, f, doc in forests(batches):
+            columns = f.columns()
+            ints = [pa.array(x.astype(np.int32)) for x in (f.i, f.head - f.base, *(columns[g] for g in GRAPH))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), *ints, *(tokens.field(x) for x in fields)], ["doc_id", "i", "head", *GRAPH, *fields])
 
     more = "".join(f", {f} string" for f in fields)
     ddl = "doc_id bigint, i int, head int, " + ", ".join(f"{g} int" for g in GRAPH) + more
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(kernel, ddl)
 
 
+def ancestor_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, i, level, ancestor: every ancestor of every token, from its parent (level 1) to its root."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, f, doc in forests(batches):
+            place, up = f.above(np.arange(len(f.head)))
+            level = f.depth[place] - f.depth[up]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[place])), *(pa.array(x.astype(np.int32)) for x in (f.i[place], level, f.i[up]))], ["doc_id", "i", "level", "ancestor"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(kernel, "doc_id bigint, i int, level int, ancestor int")
+
+
+def related_pairs(docs: DataFrame, relation: str) -> DataFrame:
+    """doc_id, l, r: the tokens of a document that stand in the relation, found within its row: no exchange."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, f, doc in forests(batches):
+            left = np.arange(len(f.head))
+            for at in range(0, len(left), 1 << 14):
+                part = left[at : at + (1 << 14)]
+                place, right = f.related(relation, part, np.ones(len(f.head), dtype=bool))
+                l = part[place]  # noqa: E741
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[l])), pa.array(f.i[l].astype(np.int32)), pa.array(f.i[right].astype(np.int32))], ["doc_id", "l", "r"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(kernel, "doc_id bigint, l int, r int")
+
+
 def join_relation(left: DataFrame, right: DataFrame, relation: str) -> DataFrame:
     """Pairs of tokens under a relation: an equi-join on document and tree, with the relation as the rest of the condition."""
     condition = F.expr("L.doc_id = R.doc_id AND L.root = R.root AND " + RELATIONS[relation])

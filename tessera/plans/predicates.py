@@ -216,9 +216,18 @@ def _features_col(m: F.Column) -> F.Column:
 
 def column_of(c: Constraint, text: str = "text", lexicon: Lexicon = Lexicon(), prefix: str = "") -> F.Column:  # noqa: B008
     """The constraint over the exploded token table: never null, so it may be negated."""
+    return _tested(c, lambda a: F.col(prefix + (text if a == "text" else a)), lexicon)
+
+
+def token_column(constraints: Sequence[Constraint], token: F.Column, lexicon: Lexicon = Lexicon()) -> F.Column:  # noqa: B008
+    """The constraints over a token struct, inside a document's array."""
+    return reduce(operator.and_, [_tested(c, lambda a: token[a], lexicon) for c in constraints], F.lit(True))
+
+
+def _tested(c: Constraint, field: Callable[[str], F.Column], lexicon: Lexicon) -> F.Column:
     a, k, v = c.attribute, c.kind, c.value
     lexical = a in FLAGS or a in ("text", "lower", "length")
-    col = attribute_col(a, F.col(prefix + text), lexicon) if lexical else F.col(prefix + a)
+    col = attribute_col(a, field("text"), lexicon) if lexical else field(a)
     if k == "flag":
         return F.coalesce(col, F.lit(False)) == F.lit(v)
     if k == "compare":

@@ -1,8 +1,10 @@
 """Token, phrase and dependency patterns against worked vectors and brute force."""
 
 import itertools
+import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.errors import DependencyError, MissingAnnotationError, PatternError, UnsupportedError
@@ -51,8 +53,8 @@ def test_all_short_patterns_against_regular_expressions(make_doc):
 
 
 def test_greedy(make_doc):
-    assert keep_greedy([("r", 3, 5), ("r", 4, 7)], "first") == [("r", 3, 5)]
-    assert keep_greedy([("r", 3, 5), ("r", 4, 7)], "longest") == [("r", 4, 7)]
+    assert keep_greedy(np.array([3, 4]), np.array([5, 7]), "first").tolist() == [0]
+    assert keep_greedy(np.array([3, 4]), np.array([5, 7]), "longest").tolist() == [1]
     m = TokenMatcher().add("g", [[item("one_or_more")]], "longest").add("n", [[item()]])
     assert m.matches(make_doc("xx")) == [("n", 0, 1), ("n", 1, 2), ("g", 0, 2)]
     assert ("g", 0, 1) in m.add("g", []).matches(make_doc("xx"))  # the latest call decides
@@ -179,3 +181,36 @@ def test_trees(make_doc):
     for bad in ([{"id": "a"}, {"id": "a", "link": {"left": "a", "relation": ">"}}], [{"id": "a"}, {"id": "b"}], [], [{"id": "a", "link": {"left": "x", "relation": ">"}}]):
         with pytest.raises(PatternError):
             DependencyMatcher().add("r", [bad])
+
+
+def test_the_array_plan_equals_the_search():
+    """Patterns of all kinds by arrays and by states: the same matches in the same order, with and without greedy rules."""
+    r = random.Random(11)
+    words = ["a", "b", "A", "cc", "1"]
+
+    def item(kinds):
+        c = r.choice([{"attribute": "text", "predicate": {"kind": "equals", "value": r.choice(words)}}, {"attribute": "lower", "predicate": {"kind": "in", "values": r.sample(words, 2)}}, {"attribute": "is_digit", "predicate": {"kind": "flag", "value": r.random() < 0.5}}, {"attribute": "length", "predicate": {"kind": "compare", "operator": ">", "value": 1}}])
+        more = [c, {"attribute": "is_alpha", "predicate": {"kind": "flag", "value": True}}] if r.random() < 0.3 else [c] if r.random() < 0.9 else []
+        return {"constraints": more, "repetition": {"kind": r.choice(kinds)}}
+
+    for _ in range(1500):
+        m = TokenMatcher(Lexicon())
+        for name in "pqr"[: r.randint(1, 3)]:
+            patterns = [[item(r.choice([["once", "negated"], ["once", "optional", "zero_or_more", "one_or_more", "negated"]])) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 3))]
+            m = m.add(name, patterns, r.choice([None, None, "first", "longest"]))
+        search, text = m.compiled(), [r.choice(words) for _ in range(r.randint(0, 14))]
+        assert search.plan is not None
+        fast = search.words(text)
+        search.plan = None
+        assert search.words(text) == fast
+
+
+def test_find_words_equals_find(spark, make_doc):
+    from tessera.schema import DOC_DDL
+
+    m = TokenMatcher().add("r", [[{"constraints": [{"attribute": "lower", "predicate": {"kind": "in", "values": ["a", "b"]}}], "repetition": {"kind": "one_or_more"}}]], "longest")
+    texts = [["a", "B", "c", "a"], [], ["c"]]
+    docs = [make_doc(w) | {"doc_id": k} for k, w in enumerate(texts)]
+    one = sorted(map(tuple, m.find(spark.createDataFrame(docs, DOC_DDL)).collect()))
+    two = sorted(map(tuple, m.find_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, words array<string>")).collect()))
+    assert one == two == [(0, 0, "r", 0, 2), (0, 1, "r", 3, 4)]
