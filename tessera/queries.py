@@ -278,9 +278,11 @@ _WORDS = f"regexp_extract_all(text, '{REGEX}')"
 
 
 def _phrases(spark, d, key: Callable[[F.Column], F.Column]) -> DataFrame:
+    """The first two, three, four and eight words of every benchmark item, and all of them."""
     w = F.regexp_extract_all(F.col("text"), F.lit(REGEX), F.lit(0))
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("rule"), F.transform(w, key).alias("w"), F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("n"))
-    return items.where(F.size("w") >= F.col("n")).select("rule", F.slice("w", F.lit(1), F.col("n")).alias("keys")).distinct()
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("rule"), F.transform(w, key).alias("w"))
+    items = items.withColumn("n", F.explode(F.array(*map(F.lit, (2, 3, 4, 8)), F.size("w"))))
+    return items.where((F.size("w") >= F.col("n")) & (F.col("n") > 0)).select("rule", F.slice("w", F.lit(1), F.col("n")).alias("keys")).distinct()
 
 
 def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str) -> None:
@@ -288,11 +290,11 @@ def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str)
         t, ahead = keyed(spark, d, key, 3)
         return phrase_matcher.find_by_join(t, _phrases(spark, d, key), "key", ahead=ahead).select("doc_id", "rule", "start", "end")
 
-    grams = ", ".join(f"lead(k, {j}) OVER w AS k{j}" for j in (1, 2, 3))
     sql = (
-        f"WITH {TOK}, ph AS (SELECT DISTINCT rule, w[1:n] AS keys FROM (SELECT item_id::VARCHAR AS rule, list_transform({_WORDS}, lambda text: {key_sql}) AS w, unnest([2, 3, 4]) AS n FROM benchmark) WHERE len(w) >= n),"
-        f" k AS (SELECT doc_id, i, {key_sql} AS k FROM tok), g AS (SELECT doc_id, i, k, {grams} FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
-        " SELECT doc_id, rule, i::INTEGER AS start, (i + len(keys))::INTEGER AS \"end\" FROM g JOIN ph ON k = keys[1] AND k1 = keys[2] AND (len(keys) < 3 OR k2 = keys[3]) AND (len(keys) < 4 OR k3 = keys[4])"
+        f"WITH dw AS (SELECT doc_id, list_transform(w, lambda text: {key_sql}) AS w FROM {WORDS_SQL}),"
+        f" ph AS (SELECT DISTINCT rule, w[1:n] AS keys FROM (SELECT rule, w, unnest([2, 3, 4, 8, len(w)]) AS n FROM (SELECT item_id::VARCHAR AS rule, list_transform({_WORDS}, lambda text: {key_sql}) AS w FROM benchmark)) WHERE len(w) >= n AND n > 0),"
+        " g AS (SELECT doc_id, i, w[i] AS k, w[i + 1] AS k1, w[i:i + 80] AS rest FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM dw))"
+        " SELECT doc_id, rule, (i - 1)::INTEGER AS start, (i - 1 + len(keys))::INTEGER AS \"end\" FROM g JOIN ph ON k = keys[1] AND (len(keys) < 2 OR k1 = keys[2]) AND rest[1:len(keys)] = keys"
     )
     query(name, sql)(run)
 
