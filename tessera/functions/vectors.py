@@ -40,36 +40,53 @@ def span_vector(tokens: DataFrame, table: DataFrame, width: int) -> DataFrame:
     return mean_vectors(token_vectors(tokens, table), "doc_id", "vector", width)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """q, vec_id, score: for every query (vec_id, embedding) the best k of each task's rows by rounded cosine, then vec_id,
-    without the query's own id. Blocks of queries meet batches of rows; the queries are broadcast."""
-    table = queries.where("embedding is not null").orderBy("vec_id").toArrow()
+def _packed(rows: DataFrame, size: int, prefix: str = "") -> DataFrame:
+    """Blocks of up to `size` rows (vec_id, embedding): their ids and their vectors scaled to length one, as bytes."""
 
-    def matrix(column) -> np.ndarray:
-        x = np.array(column.to_pylist(), dtype=np.float64)
-        norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-
-    shared = rows.sparkSession.sparkContext.broadcast((np.asarray(table.column("vec_id")), matrix(table.column("embedding")) if table.num_rows else None))
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0), dtype=np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [f"{prefix}ids", f"{prefix}vecs"])
+
+    whole = rows.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    return whole.mapInArrow(kernel, f"{prefix}ids binary, {prefix}vecs binary")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096, small: int = 32 << 20, wide: int = 16) -> DataFrame:
+    """q, vec_id, score: for every query (vec_id, embedding) the best k of each block of rows by rounded cosine, then vec_id,
+    without the query's own id. Blocks of queries meet blocks of rows; query vectors of `small` bytes or fewer are broadcast,
+    beyond that both sides are dealt out to a grid of stripes of up to `wide` query blocks."""
+    spark = rows.sparkSession
+    count, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    stripes = -(-count // (block * wide)) or 1
+    few = count * 8 * (width or 0) <= small
+    columns = 1 if few else max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // stripes))
+    stripes = 1 if few else stripes
+    deal = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = _packed(rows, block).withColumn("col", deal(columns, "ids")).withColumn("stripe", every(stripes))
+    right = _packed(queries, block, "q_").withColumn("stripe", deal(stripes, "q_ids")).withColumn("col", every(columns))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, e = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q]
         for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            ids, x = np.asarray(batch.column(0)), matrix(batch.column(1))
-            for at in range(0, len(q), block):
-                scores = np.rint(e[at : at + block] @ x.T * 1e6) / 1e6
-                scores[q[at : at + block, None] == ids] = -np.inf
-                least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
-                for i in range(len(scores)):
-                    near = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > -np.inf))
-                    v, s = np.append(best[at + i][0], ids[near]), np.append(best[at + i][1], scores[i][near])
-                    order = np.lexsort((v, -s))[:k]
-                    best[at + i] = v[order], s[order]
-        n = [len(v) for v, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(np.concatenate([v for v, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["q", "vec_id", "score"])
-
-    return rows.where("embedding is not null").mapInArrow(kernel, "q bigint, vec_id bigint, score double")
+            for pair in batch.to_pylist():
+                ids, q = np.frombuffer(pair["ids"], np.int64), np.frombuffer(pair["q_ids"], np.int64)
+                x, e = np.frombuffer(pair["vecs"]).reshape(len(ids), -1), np.frombuffer(pair["q_vecs"]).reshape(len(q), -1)
+                by_id = np.argsort(ids, kind="stable")
+                ids, x = ids[by_id], x[by_id]
+                out: list[tuple[np.ndarray, ...]] = []
+                for at in range(0, len(q), 256):
+                    scores = np.rint(e[at : at + 256] @ x.T * 1e6) / 1e6
+                    scores[q[at : at + 256, None] == ids] = -np.inf
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so equal scores go to the smaller
+                    s = np.take_along_axis(scores, best, axis=1)
+                    on = s > -np.inf
+                    out.append((np.repeat(q[at : at + 256], on.sum(axis=1)), ids[best[on]], s[on]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "vec_id", "score"])
+
+    pairs = left.join(F.broadcast(right) if few else right, ["stripe", "col"]).select("ids", "vecs", "q_ids", "q_vecs")
+    return pairs.mapInArrow(kernel, "q bigint, vec_id bigint, score double")

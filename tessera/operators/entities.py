@@ -110,26 +110,32 @@ def derive_entities(tokens: DataFrame, key: str = "doc_id", order: str = "i") ->
     return groups.where("f.entity_iob = 'B' and coalesce(f.entity_type, '') <> ''").select(key, "start", "end", F.col("f.entity_type").alias("label"), F.col("f.entity_id").alias("id"))
 
 
+def _previous(array: Column) -> Column:
+    """The array's previous elements, null for the first. An expression over whole arrays costs the same when the optimizer puts
+    the array's own expression in its place; an array looked up inside a lambda would not."""
+    null = F.slice(F.transform(array, lambda x: F.when(F.lit(False), x)), F.lit(1), F.least(F.size(array), F.lit(1)))
+    return F.concat(null, F.slice(array, F.lit(1), F.greatest(F.size(array) - 1, F.lit(0))))
+
+
 def repair_array(tags: Column) -> Column:
-    """repair_column for a document's own array of (iob, kind, ...): no exchange and no sort. `tags` is a column, not an expression."""
+    """repair_column for a document's own array of (iob, kind, ...): no exchange and no sort."""
     none = F.lit("")
-    own = lambda t: F.coalesce(t["kind"], none)
 
-    def one(t: Column, i: Column) -> Column:
-        before = F.get(tags, i - 1)
-        orphan = (t["iob"] == "I") & (i > 0) & (~F.coalesce(before["iob"], none).isin("B", "I") | (own(before) != own(t)))
+    def one(x: Column, i: Column) -> Column:
+        t, before = x["t"], x["before"]
+        orphan = (t["iob"] == "I") & (i > 0) & (~F.coalesce(before["iob"], none).isin("B", "I") | (F.coalesce(before["kind"], none) != F.coalesce(t["kind"], none)))
         return t.withField("iob", F.when(F.coalesce(orphan, F.lit(False)), F.lit("B")).otherwise(t["iob"]))
 
-    return F.transform(tags, one)
+    return F.transform(F.arrays_zip(tags.alias("t"), _previous(tags).alias("before")), one)
 
 
 def entity_array(tags: Column) -> Column:
     """derive_entities for a document's own array of (iob, kind, id): every tag but I ends what is open, so an entity reaches from
     a B with a type to the next such tag."""
-    at = F.filter(F.transform(tags, lambda t, i: F.when(F.coalesce(t["iob"], F.lit("")) != "I", i)), lambda i: i.isNotNull())
-    spans = F.transform(F.arrays_zip(at.alias("a"), F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(tags))).alias("b")), lambda s: F.struct(s["a"].alias("start"), s["b"].alias("end"), F.get(tags, s["a"]).alias("t")))
-    named = F.filter(spans, lambda s: (s["t"]["iob"] == "B") & (F.coalesce(s["t"]["kind"], F.lit("")) != ""))
-    return F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t"]["kind"].alias("label"), s["t"]["id"].alias("id")))
+    ends = F.filter(F.transform(tags, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: F.coalesce(x["t"]["iob"], F.lit("")) != "I")
+    after = F.concat(F.transform(F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))), lambda x: x["i"]), F.array(F.size(tags)))
+    spans = F.filter(F.arrays_zip(ends.alias("x"), after.alias("end")), lambda s: (s["x"]["t"]["iob"] == "B") & (F.coalesce(s["x"]["t"]["kind"], F.lit("")) != ""))
+    return F.transform(spans, lambda s: F.struct(s["x"]["i"].alias("start"), s["end"].alias("end"), s["x"]["t"]["kind"].alias("label"), s["x"]["t"]["id"].alias("id")))
 
 
 # ---- span groups ---------------------------------------------------------------------------------------------------
