@@ -220,14 +220,7 @@ def _docs_for_search(spark, d):
 
 
 def _search(spark, d, matcher: token_matcher.TokenMatcher) -> DataFrame:
-    from .operators.kernels import per_document
-
-    search = matcher.compiled()
-
-    def run(row: dict) -> list[dict]:
-        return [{"doc_id": row["doc_id"], "rule": r, "start": a, "end": b} for r, a, b in search.words(row["words"] or [])]
-
-    return per_document(_docs_for_search(spark, d), run, "doc_id bigint, rule string, start int, end int")
+    return matcher.find_words(_docs_for_search(spark, d))
 
 
 def _as_doc(words: list[str]) -> dict:
@@ -256,10 +249,24 @@ def tm_plus_all_runs(spark, d):
     return _search(spark, d, token_matcher.TokenMatcher().add("r", [[_LOWER_FUNCTION]])).select("doc_id", "start", "end")
 
 
-for _name, _how in (("tm_greedy_first", "first"), ("tm_greedy_longest", "longest")):
-    query(_name, with_tok(_SPANS.format("a", "b") + "runs", _RUNS))(
-        lambda spark, d, how=_how: _search(spark, d, token_matcher.TokenMatcher().add("r", [[_LOWER_FUNCTION]], how)).select("doc_id", "start", "end")
-    )
+# "of the" and "the" with two other words overlap in "the", nothing else does: the first keeps the former, the longest the latter.
+_OTHER = [_item("is_alpha", "flag", True) | {"constraints": [*_item("is_alpha", "flag", True)["constraints"], *_item("lower", "not_in", ["the", "of"])["constraints"]]}]
+_OVERLAPPING = [[_item("lower", "equals", "of"), _item("lower", "equals", "the")], [_item("lower", "equals", "the"), *_OTHER, *_OTHER]]
+_OTHER_SQL = "regexp_full_match({0}, '\\p{{L}}+') AND lower({0}) NOT IN ('the', 'of')"
+_OVERLAPS = (
+    "n3 AS (SELECT doc_id, i, text, lag(text, 1) OVER w AS b1, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(text, 3) OVER w AS t3 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)),"
+    f" two AS (SELECT doc_id, i AS a, i + 2 AS b, coalesce({_OTHER_SQL.format('t2')} AND {_OTHER_SQL.format('t3')}, false) AS met FROM n3 WHERE lower(text) = 'of' AND lower(t1) = 'the'),"
+    f" three AS (SELECT doc_id, i AS a, i + 3 AS b, coalesce(lower(b1) = 'of', false) AS met FROM n3 WHERE lower(text) = 'the' AND {_OTHER_SQL.format('t1')} AND {_OTHER_SQL.format('t2')})"
+)
+
+
+def _greedy(how: str, whole: str, other: str) -> None:
+    sql = _SPANS.format("a", "b") + f"(SELECT * FROM {whole} UNION ALL SELECT * FROM {other} WHERE NOT met)"
+    query(f"tm_greedy_{how}", with_tok(sql, _OVERLAPS))(lambda spark, d: _search(spark, d, token_matcher.TokenMatcher(lexical.Lexicon()).add("r", _OVERLAPPING, how)).select("doc_id", "start", "end"))
+
+
+_greedy("first", "two", "three")
+_greedy("longest", "three", "two")
 
 
 @query("tm_optional", with_tok(f"SELECT doc_id, i::INTEGER AS start, (i + 1 + n)::INTEGER AS \"end\" FROM nx, (SELECT unnest([0, 1]) AS n) WHERE lower(text) = 'the' AND (n = 0 OR lower(t1) IN ({_IN(FUNCTION)}))", _NEXT))
@@ -293,8 +300,9 @@ def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str)
     sql = (
         f"WITH dw AS (SELECT doc_id, list_transform(w, lambda text: {key_sql}) AS w FROM {WORDS_SQL}),"
         f" ph AS (SELECT DISTINCT rule, w[1:n] AS keys FROM (SELECT rule, w, unnest([2, 3, 4, 8, len(w)]) AS n FROM (SELECT item_id::VARCHAR AS rule, list_transform({_WORDS}, lambda text: {key_sql}) AS w FROM benchmark)) WHERE len(w) >= n AND n > 0),"
-        " g AS (SELECT doc_id, i, w[i] AS k, w[i + 1] AS k1, w[i:i + 80] AS rest FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM dw))"
-        " SELECT doc_id, rule, (i - 1)::INTEGER AS start, (i - 1 + len(keys))::INTEGER AS \"end\" FROM g JOIN ph ON k = keys[1] AND (len(keys) < 2 OR k1 = keys[2]) AND rest[1:len(keys)] = keys"
+        " g AS (SELECT doc_id, i, w[i] AS k, w[i + 1] AS k1 FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM dw)),"
+        " c AS (SELECT doc_id, rule, i, keys FROM g JOIN ph ON k = keys[1] AND (len(keys) < 2 OR k1 = keys[2]))"
+        " SELECT doc_id, rule, (i - 1)::INTEGER AS start, (i - 1 + len(keys))::INTEGER AS \"end\" FROM c JOIN dw USING (doc_id) WHERE w[i:i + len(keys) - 1] = keys"
     )
     query(name, sql)(run)
 
@@ -348,40 +356,39 @@ _HEAP = (
 )
 _UP = "coalesce(R.i IN (L.a1, L.a2, L.a3, L.a4), false)"
 _DOWN = "coalesce(L.i IN (R.a1, R.a2, R.a3, R.a4), false)"
-_PICK = "lower(L.text) IN ('the', 'of', 'de', 'der')"
 
 
 def _relation(name: str, relation: str) -> None:
+    """The relation's pairs with every token on the left, counted per document."""
+
     def run(spark, d):
-        t = heap_tokens(spark, d)
-        left = t.where(F.lower("text").isin("the", "of", "de", "der"))
-        pairs = trees.join_relation(left.select("doc_id", "i", "head", "root", "entry", "exit"), t.select("doc_id", "i", "head", "root", "entry", "exit"), relation)
-        return pairs.groupBy(F.col("L.doc_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.col("L.i").cast("long") * 3 + F.col("R.i")).alias("digest"))
+        pairs = trees.related_pairs(heap_docs(spark, d), relation)
+        return pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("l").cast("long") * 3 + F.col("r")).alias("digest"))
 
     condition = {"<<": f"R.i <> L.i AND {_UP}", ">>": f"R.i <> L.i AND {_DOWN}"}.get(relation, trees.RELATIONS[relation])
-    query(f"dep_rel_{name}", with_tok(f"SELECT L.doc_id, count(*) AS n, sum(L.i * 3 + R.i)::BIGINT AS digest FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND {condition} WHERE {_PICK} GROUP BY L.doc_id", _HEAP))(run)
+    query(f"dep_rel_{name}", with_tok(f"SELECT L.doc_id, count(*) AS n, sum(L.i * 3 + R.i)::BIGINT AS digest FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND {condition} GROUP BY L.doc_id", _HEAP))(run)
 
 
-def _relation_of_all(name: str, relation: str) -> None:
-    """The relation's pairs with every token on the left, counted per document."""
+def _relation_by_join(name: str, relation: str) -> None:
+    """The same pairs by the join over the token table, which also serves tokens of one document on many rows."""
 
     def run(spark, d):
         t = heap_tokens(spark, d).select("doc_id", "i", "head", "root", "entry", "exit")
         pairs = trees.join_relation(t, t.select(*t.columns), relation)
         return pairs.groupBy(F.col("L.doc_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.col("L.i").cast("long") * 3 + F.col("R.i")).alias("digest"))
 
-    condition = {"<<": f"R.i <> L.i AND {_UP}", ">>": f"R.i <> L.i AND {_DOWN}"}.get(relation, trees.RELATIONS[relation])
-    query(f"dep_rel_{name}_all", with_tok(f"SELECT L.doc_id, count(*) AS n, sum(L.i * 3 + R.i)::BIGINT AS digest FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND {condition} GROUP BY L.doc_id", _HEAP))(run)
+    query(f"dep_join_{name}", SQL[f"dep_rel_{name}"])(run)
 
 
 for _name, _op in trees.RELATION_NAMES.items():
     _relation(_name, _op)
-    _relation_of_all(_name, _op)
+for _name in ("child", "descendant", "right_sibling"):
+    _relation_by_join(_name, trees.RELATION_NAMES[_name])
 
 
 def _dep(name: str, nodes: list, sql: str) -> None:
     def run(spark, d):
-        found = dependency_matcher.find_by_join(heap_tokens(spark, d), nodes)
+        found = dependency_matcher.find_in_rows(heap_docs(spark, d), nodes)
         return found.select("doc_id", *[F.col("tokens")[k].alias(f"t{k}") for k in range(len(nodes))])
 
     query(name, sql)(run)
@@ -416,14 +423,10 @@ def _traversal(spark, d):
     return trees.traversal(heap_docs(spark, d).withColumn("sentences", F.lit(None).cast(DOC["sentences"])))
 
 
-@query("trav_ancestors", with_tok("SELECT doc_id, i::INTEGER AS i, a::INTEGER AS ancestor FROM (SELECT doc_id, i, unnest([a1, a2, a3, a4]) AS a FROM t WHERE i % 5 = 0) WHERE a IS NOT NULL", _HEAP))
+@query("trav_ancestors", with_tok("SELECT doc_id, i::INTEGER AS i, k::INTEGER AS level, a::INTEGER AS ancestor FROM (SELECT doc_id, i, unnest([a1, a2, a3, a4]) AS a, unnest([1, 2, 3, 4]) AS k FROM t) WHERE a IS NOT NULL", _HEAP))
 def trav_ancestors(spark, d):
-    return _traversal(spark, d).where("i % 5 = 0").select("doc_id", "i", F.explode("ancestors").alias("ancestor"))
-
-
-@query("trav_ancestors_all", with_tok("SELECT doc_id, i::INTEGER AS i, a::INTEGER AS ancestor FROM (SELECT doc_id, i, unnest([a1, a2, a3, a4]) AS a FROM t) WHERE a IS NOT NULL", _HEAP))
-def trav_ancestors_all(spark, d):
-    return _traversal(spark, d).select("doc_id", "i", F.explode("ancestors").alias("ancestor"))
+    """Every ancestor of every token, from its parent to its root."""
+    return trees.ancestor_pairs(heap_docs(spark, d))
 
 
 @query("trav_subtree_set", with_tok(f"SELECT L.doc_id, L.i::INTEGER AS i, count(*) AS n, sum(R.i)::BIGINT AS members FROM t L JOIN t R ON L.doc_id = R.doc_id AND L.root = R.root AND (L.i = R.i OR {_DOWN}) GROUP BY L.doc_id, L.i", _HEAP))
@@ -439,12 +442,33 @@ def trav_sentence(spark, d):
     return per_document(heap_docs(spark, d), run, "doc_id bigint, i int, start int, end int")
 
 
-@query("left_edge", with_tok("SELECT doc_id, i::INTEGER AS i, i::INTEGER AS edge FROM t", _HEAP))
+#: Windows of five tokens in which the last is the root, the fourth its child, and the first two hang on the third, it on the last.
+_RIGHT = "CASE i % 5 WHEN 0 THEN i + 2 WHEN 1 THEN i + 1 WHEN 2 THEN i + 2 WHEN 3 THEN i + 1 ELSE i END"
+
+
+def right_docs(spark, d):
+    """Documents whose heads stand to the right; a head past the end is the token itself."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(REGEX), F.lit(0))
+    step = lambda i: F.element_at(F.array(*map(F.lit, (2, 1, 2, 1, 0))), (i % 5 + 1).cast("int"))
+    docs = docs_of(spark, d).select("doc_id", words.alias("w"))
+    head = lambda i: F.when(i + step(i) < F.size("w"), i + step(i)).otherwise(i).cast("int")
+    return docs.select("doc_id", F.transform("w", lambda x, i: F.struct(x.alias("text"), head(i).alias("head"))).alias("tokens"))
+
+
+_RIGHT_HEADS = f"q AS (SELECT doc_id, i, text, ({_RIGHT}) AS h, count(*) OVER (PARTITION BY doc_id) AS n FROM tok), rt AS (SELECT doc_id, i, text, CASE WHEN h < n THEN h ELSE i END AS head FROM q)"
+_EDGE = (
+    f"{_RIGHT_HEADS}, x1 AS (SELECT r.doc_id, r.i, r.head, p.head AS h2 FROM rt r JOIN rt p ON p.doc_id = r.doc_id AND p.i = r.head), x2 AS (SELECT x.*, p.head AS h3 FROM x1 x JOIN rt p ON p.doc_id = x.doc_id AND p.i = x.h2),"
+    " below AS (SELECT doc_id, i AS top, i FROM rt UNION ALL SELECT doc_id, head, i FROM x2 UNION ALL SELECT doc_id, h2, i FROM x2 UNION ALL SELECT doc_id, h3, i FROM x2)"
+)
+
+
+@query("left_edge", with_tok("SELECT doc_id, top::INTEGER AS i, min(i)::INTEGER AS edge FROM below GROUP BY doc_id, top", _EDGE))
 def left_edge(spark, d):
+    """The least token below every token, in trees whose heads stand to the right."""
     from .operators.kernels import per_document
 
     run = lambda row: [{"doc_id": row["doc_id"], "i": i, "edge": e} for i, e in enumerate(trees.left_edges([t["head"] for t in row["tokens"] or []]))]
-    return per_document(heap_docs(spark, d), run, "doc_id bigint, i int, edge int")
+    return per_document(right_docs(spark, d), run, "doc_id bigint, i int, edge int")
 
 
 @query("tree_bounds", with_tok("SELECT doc_id, root::INTEGER AS root, min(i)::INTEGER AS lo, max(i)::INTEGER + 1 AS hi, count(*) AS n, max(CASE WHEN a4 IS NOT NULL THEN 4 WHEN a3 IS NOT NULL THEN 3 WHEN a2 IS NOT NULL THEN 2 WHEN a1 IS NOT NULL THEN 1 ELSE 0 END)::INTEGER AS depth FROM t GROUP BY doc_id, root", _HEAP))
@@ -463,45 +487,43 @@ def tagged(spark, d):
     return tok(spark, d).withColumns({"entity_iob": iob, "entity_type": F.when(n % 5 < 3, F.chr(65 + n % 2)), "entity_id": F.lit(None).cast("string")})
 
 
-_LAG = "rp AS (SELECT doc_id, i, kind, CASE WHEN iob = 'I' AND (coalesce(lag(iob) OVER w, 'O') NOT IN ('B', 'I') OR coalesce(lag(kind) OVER w, '') <> coalesce(kind, '')) THEN 'B' ELSE iob END AS iob FROM tg WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
+_LAG = "rp AS (SELECT doc_id, i, kind, CASE WHEN iob = 'I' AND i > 0 AND (coalesce(lag(iob) OVER w, 'O') NOT IN ('B', 'I') OR coalesce(lag(kind) OVER w, '') <> coalesce(kind, '')) THEN 'B' ELSE iob END AS iob FROM tg WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
 
 
-@query("ent_repair", with_tok("SELECT doc_id, coalesce(iob, '') AS iob, count(*) AS n, sum(i)::BIGINT AS places FROM rp GROUP BY ALL", f"{_TAGS}, {_LAG}"))
-def ent_repair(spark, d):
-    fixed = tagged(spark, d).withColumn("iob", F.coalesce(entities.repair_column(), F.lit("")))
-    return fixed.groupBy("doc_id", "iob").agg(F.count("*").alias("n"), F.sum("i").alias("places"))
+def tag_docs(spark, d):
+    """doc_id and the tags of tagged() as each document's own array."""
+    w = docs_of(spark, d).select("doc_id", F.regexp_extract_all(F.col("text"), F.lit(REGEX), F.lit(0)).alias("w"))
 
+    def one(t, i):
+        n = F.length(t)
+        iob = F.when(n % 5 == 0, "B").when((n % 5).isin(1, 2) & (i % 2 == 0), "I").when(i % 7 == 0, F.lit(None)).otherwise("O")
+        return F.struct(iob.alias("iob"), F.when(n % 5 < 3, F.chr(65 + n % 2)).alias("kind"), F.lit(None).cast("string").alias("id"))
 
-@query("ent_derive", with_tok("SELECT doc_id, min(i)::INTEGER AS start, (max(i) + 1)::INTEGER AS \"end\", arg_min(kind, i) AS label FROM (SELECT *, sum(CASE WHEN coalesce(iob, '') = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM rp) GROUP BY doc_id, g HAVING arg_min(coalesce(iob, ''), i) = 'B' AND arg_min(coalesce(kind, ''), i) <> ''", f"{_TAGS}, {_LAG}"))
-def ent_derive(spark, d):
-    fixed = tagged(spark, d).withColumn("entity_iob", entities.repair_column())
-    return entities.derive_entities(fixed).select("doc_id", "start", "end", "label")
+    return w.select("doc_id", F.transform("w", one).alias("tags"))
 
 
-def _set(spark, d, update: dict):
-    from .operators.kernels import per_document
+def repaired_docs(spark, d):
+    return tag_docs(spark, d).select("doc_id", entities.repair_array(F.col("tags")).alias("tags"))
 
-    def run(row: dict) -> list[dict]:
-        n = row["n"]
-        held = {k: [s for s in v if s["end"] <= n] for k, v in update.items() if k != "default"}
-        tags = entities.set_entities([("O", None, None)] * n, held | {"default": update["default"]})
-        return [{"doc_id": row["doc_id"], "i": i, "iob": iob or "", "kind": kind or ""} for i, (iob, kind, _) in enumerate(tags[:12])]
 
-    n = F.size(F.regexp_extract_all(F.col("text"), F.lit(REGEX), F.lit(0))).alias("n")
-    return per_document(docs_of(spark, d).select("doc_id", n), run, "doc_id bigint, i int, iob string, kind string")
+@query("ent_repair", with_tok("SELECT doc_id, coalesce(iob, '') AS iob, count(*) AS n, sum(i)::BIGINT AS places FROM rp GROUP BY ALL", f"{_TAGS}, {_LAG}"))
+def ent_repair(spark, d):
+    tags = repaired_docs(spark, d).select("doc_id", F.posexplode("tags").alias("i", "t"))
+    return tags.groupBy("doc_id", F.coalesce("t.iob", F.lit("")).alias("iob")).agg(F.count("*").alias("n"), F.sum("i").alias("places"))
 
 
-_N = "n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), s AS (SELECT doc_id, n, i FROM n, generate_series(0, 11) AS g(i) WHERE i < n)"
+query("ent_repair_window", SQL["ent_repair"])(
+    lambda spark, d: tagged(spark, d).withColumn("iob", F.coalesce(entities.repair_column(), F.lit(""))).groupBy("doc_id", "iob").agg(F.count("*").alias("n"), F.sum("i").alias("places"))
+)
 
 
-@query("ent_set", with_tok("SELECT doc_id, i::INTEGER AS i, CASE WHEN n >= 3 AND i = 1 THEN 'B' WHEN n >= 3 AND i = 2 THEN 'I' ELSE 'O' END AS iob, CASE WHEN n >= 3 AND i IN (1, 2) THEN 'ORG' ELSE '' END AS kind FROM s", _N))
-def ent_set(spark, d):
-    return _set(spark, d, {"entities": [{"start": 1, "end": 3, "label": "ORG", "id": None}], "default": "outside"})
+@query("ent_derive", with_tok("SELECT doc_id, min(i)::INTEGER AS start, (max(i) + 1)::INTEGER AS \"end\", arg_min(kind, i) AS label FROM (SELECT *, sum(CASE WHEN coalesce(iob, '') = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM rp) GROUP BY doc_id, g HAVING arg_min(coalesce(iob, ''), i) = 'B' AND arg_min(coalesce(kind, ''), i) <> ''", f"{_TAGS}, {_LAG}"))
+def ent_derive(spark, d):
+    spans = repaired_docs(spark, d).select("doc_id", F.explode(entities.entity_array(F.col("tags"))).alias("s"))
+    return spans.select("doc_id", "s.start", "s.end", "s.label")
 
 
-@query("ent_blocked_missing", with_tok("SELECT doc_id, i::INTEGER AS i, CASE WHEN n >= 2 AND i < 2 THEN 'B' WHEN n >= 4 AND i IN (2, 3) THEN '' ELSE 'O' END AS iob, '' AS kind FROM s", _N))
-def ent_blocked_missing(spark, d):
-    return _set(spark, d, {"blocked": [{"start": 0, "end": 2}], "missing": [{"start": 2, "end": 4}], "default": "outside"})
+query("ent_derive_window", SQL["ent_derive"])(lambda spark, d: entities.derive_entities(tagged(spark, d).withColumn("entity_iob", entities.repair_column())).select("doc_id", "start", "end", "label"))
 
 
 def _set_counts(spark, d, update: dict):
@@ -525,13 +547,13 @@ _ALL = "s AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n FROM to
 _COUNTED = "SELECT doc_id, iob, kind, count(*) AS n, sum(i)::BIGINT AS places FROM ({}) GROUP BY doc_id, iob, kind"
 
 
-@query("ent_set_all", with_tok(_COUNTED.format("SELECT doc_id, i, CASE WHEN n >= 3 AND i = 1 THEN 'B' WHEN n >= 3 AND i = 2 THEN 'I' ELSE 'O' END AS iob, CASE WHEN n >= 3 AND i IN (1, 2) THEN 'ORG' ELSE '' END AS kind FROM s"), _ALL))
-def ent_set_all(spark, d):
+@query("ent_set", with_tok(_COUNTED.format("SELECT doc_id, i, CASE WHEN n >= 3 AND i = 1 THEN 'B' WHEN n >= 3 AND i = 2 THEN 'I' ELSE 'O' END AS iob, CASE WHEN n >= 3 AND i IN (1, 2) THEN 'ORG' ELSE '' END AS kind FROM s"), _ALL))
+def ent_set(spark, d):
     return _set_counts(spark, d, {"entities": [{"start": 1, "end": 3, "label": "ORG", "id": None}], "default": "outside"})
 
 
-@query("ent_blocked_missing_all", with_tok(_COUNTED.format("SELECT doc_id, i, CASE WHEN n >= 2 AND i < 2 THEN 'B' WHEN n >= 4 AND i IN (2, 3) THEN '' ELSE 'O' END AS iob, '' AS kind FROM s"), _ALL))
-def ent_blocked_missing_all(spark, d):
+@query("ent_blocked_missing", with_tok(_COUNTED.format("SELECT doc_id, i, CASE WHEN n >= 2 AND i < 2 THEN 'B' WHEN n >= 4 AND i IN (2, 3) THEN '' ELSE 'O' END AS iob, '' AS kind FROM s"), _ALL))
+def ent_blocked_missing(spark, d):
     return _set_counts(spark, d, {"blocked": [{"start": 0, "end": 2}], "missing": [{"start": 2, "end": 4}], "default": "outside"})
 
 
@@ -632,33 +654,29 @@ def vec_mean_by_label(spark, d):
     return vectors.mean_vectors(_embeddings(spark, d), "label", "embedding", 64).select("label", "dim", F.round("value", 6).alias("value"))
 
 
-_PROBES = 10
-
-
-@query("vec_cosine_topk", f"WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < {_PROBES}), s AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings ON vec_id <> q) SELECT q, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5")
-def vec_cosine_topk(spark, d):
-    e = _embeddings(spark, d).select("vec_id", "embedding")
-    probes = F.broadcast(e.where(F.col("vec_id") < _PROBES).select(F.col("vec_id").alias("q"), F.col("embedding").alias("e")))  # ten rows
-    pairs = e.join(probes, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(vectors.similarity(F.col("e"), F.col("embedding")), 6).alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 5").select("q", "vec_id", "score")
-
-
 _EVERY = 50
 
 
-@query("vec_cosine_topk_every_50", f"WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % {_EVERY} = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings ON vec_id <> q) SELECT q, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5")
-def vec_cosine_topk_every_50(spark, d):
-    """The search of vec_cosine_topk for every fiftieth id; the queries, a fiftieth of the table, go to all workers."""
+@query("vec_cosine_topk", f"WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % {_EVERY} = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings ON vec_id <> q) SELECT q, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5")
+def vec_cosine_topk(spark, d):
+    """The five most similar vectors of every fiftieth id; the queries, a fiftieth of the table, go to all workers."""
     e = _embeddings(spark, d).select("vec_id", "embedding")
     found = vectors.nearest(e, e.where(F.col("vec_id") % _EVERY == 0), 5)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("r", F.row_number().over(w)).where("r <= 5").select("q", "vec_id", "score")
 
 
-@query("vec_self_similarity", "SELECT vec_id, 1.0::DOUBLE AS score FROM embeddings")
-def vec_self_similarity(spark, d):
-    return _embeddings(spark, d).select("vec_id", vectors.similarity(F.col("embedding"), F.col("embedding"), F.lit(True)).alias("score"))
+@query(
+    "vec_similarity",
+    "SELECT a.vec_id, round(CASE WHEN a.label = b.label THEN 1 WHEN a.vec_id % 7 = 0 THEN 0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+)
+def vec_similarity(spark, d):
+    """Each vector and the next one: 1 where they stand for the same, 0 where one is all zeros, else their cosine."""
+    e = _embeddings(spark, d)
+    zero = F.transform("embedding", lambda x: x * 0)
+    a = e.select("vec_id", F.when(F.col("vec_id") % 7 == 0, zero).otherwise(F.col("embedding")).alias("x"), F.col("label").alias("l"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y"), F.col("label").alias("m"))
+    return a.join(b, "vec_id").select("vec_id", F.round(vectors.similarity(F.col("x"), F.col("y"), F.col("l") == F.col("m")), 6).alias("score"))
 
 
 # ---- rule annotators, snapshots, streams ---------------------------------------------------------------------------
