@@ -3,14 +3,19 @@ dependencies and entities. Arrays are float32; parity with trained models needs
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from ..errors import ModelError
 from ..functions.hashing import string_id, table_keys
 from ..functions.lexical import shape
+from ..schema import DOC, DOC_DDL
+from .annotators import sentences_of
+from .entities import with_tags
+from .kernels import per_document, texts_of
 
 Array = np.ndarray
 
@@ -184,6 +189,62 @@ def recognise(x: Array, scorer: Scorer, actions: Sequence[str], sentence_starts:
     return out
 
 
+# ---- stages over documents -----------------------------------------------------------------------------------------
+
+
+def _staged(docs: DataFrame, f: Callable[[dict, Array, list[str]], dict]) -> DataFrame:
+    """docs after f, which gets a document, its tensor and its token texts."""
+
+    def run(d: dict) -> list[dict]:
+        tokens = d["tokens"] or []
+        tensor = np.array(d["tensor"] or [], dtype=np.float32).reshape(len(tokens), -1) if tokens else np.zeros((0, 1), dtype=np.float32)
+        return [f(d, tensor, texts_of(d["text"] or "", tokens))]
+
+    return per_document(docs.select(*DOC), run, DOC_DDL)
+
+
+def tok2vec_stage(tables: Sequence[Array], seeds: Sequence[int], layers: Sequence[EncoderLayer] = (), symbols: Mapping[str, int] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Fills the tensor: embedded features of every token, encoded in their windows."""
+
+    def one(d: dict, _: Array, texts: list[str]) -> dict:
+        if not texts:
+            return dict(d, tensor=[])
+        x = hash_embed(feature_ids(texts, [t["norm"] or s.lower() for t, s in zip(d["tokens"], texts, strict=True)], symbols), tables, seeds).astype(np.float32)
+        return dict(d, tensor=encode(x, layers).tolist())
+
+    return lambda docs: _staged(docs, one)
+
+
+def tagger_stage(w: Array, b: Array, labels: Sequence[str], field: str = "tag") -> Callable[[DataFrame], DataFrame]:
+    """Sets the field of every token to its best label."""
+    return lambda docs: _staged(docs, lambda d, x, _: dict(d, tokens=[dict(t, **{field: v}) for t, v in zip(d["tokens"] or [], tag(x, w, b, labels) if len(x) else [], strict=True)]))
+
+
+def parser_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Sets heads, labels and sentences."""
+
+    def one(d: dict, x: Array, texts: list[str]) -> dict:
+        heads, labels, _ = parse(x, scorer, actions) if texts else ([], [], [])
+        heads, labels = deprojectivize(heads, labels, [s.isspace() for s in texts]) if any("||" in v for v in labels) else (heads, labels)
+        spans = sentences_of(heads)
+        begins = {s["start"] for s in spans}
+        tokens = [dict(t, head=h, dep=v, sentence_start=i in begins) for i, (t, h, v) in enumerate(zip(d["tokens"] or [], heads, labels, strict=True))]
+        return dict(d, tokens=tokens, sentences=spans)
+
+    return lambda docs: _staged(docs, one)
+
+
+def ner_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Sets the entity tags and the entities; entities end with their sentence."""
+
+    def one(d: dict, x: Array, texts: list[str]) -> dict:
+        starts = [s["start"] for s in d["sentences"] or []]
+        tags = recognise(x, scorer, actions, starts, [s.isspace() for s in texts]) if texts else []
+        return with_tags(d, [(iob, kind, None) for iob, kind in tags])
+
+    return lambda docs: _staged(docs, one)
+
+
 def check_tensors(encoder: Sequence[EncoderLayer], width: int) -> None:
     """Widths up to 4096, windows up to 16, at least two pieces, and shapes that fit together."""
     if not 1 <= width <= 4096:

@@ -569,12 +569,6 @@ def group_overlap(spark, d):
     return _spans(spark, d).select("doc_id", entities.has_overlap_col(F.col("spans")).alias("overlap"))
 
 
-@query("group_concat", "SELECT doc_id, 6 AS n, (2 * (3 + doc_id % 5 + 2 + 6 + doc_id % 5))::BIGINT AS ends FROM documents")
-def group_concat(spark, d):
-    both = _spans(spark, d).withColumn("spans", F.concat("spans", "spans"))
-    return both.select("doc_id", F.size("spans").alias("n"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"]).alias("ends"))
-
-
 @query("group_keys", "SELECT doc_id, 'a,b,' || CASE WHEN doc_id % 2 = 0 THEN 'c' ELSE 'd' END AS keys FROM documents")
 def group_keys(spark, d):
     from .operators.kernels import per_document
@@ -681,16 +675,9 @@ def vec_similarity(spark, d):
 
 # ---- rule annotators, snapshots, streams ---------------------------------------------------------------------------
 
-_LEMMA_RULES = (("ies", "y"), ("s", ""), ("ing", ""))
 _INDEX = ("the", "of", "thing", "er", "in", "re", "on", "ou", "an")
 
 
-@query("lemma_toy", with_tok(f"SELECT text, n, coalesce(CASE WHEN low LIKE '%ies' AND left(low, length(low) - 3) || 'y' IN ({_IN(_INDEX)}) THEN left(low, length(low) - 3) || 'y' END, CASE WHEN low LIKE '%s' AND left(low, length(low) - 1) IN ({_IN(_INDEX)}) THEN left(low, length(low) - 1) END, CASE WHEN low LIKE '%ing' AND left(low, length(low) - 3) IN ({_IN(_INDEX)}) THEN left(low, length(low) - 3) END, low) AS lemma FROM (SELECT text, lower(text) AS low, count(*) AS n FROM tok GROUP BY text)"))
-def lemma_toy(spark, d):
-    words = tok(spark, d).groupBy("text").agg(F.count("*").alias("n"))
-    return words.select("text", "n", annotators.lemma_column(F.col("text"), _LEMMA_RULES, F.array(*map(F.lit, _INDEX))).alias("lemma"))
-
-
 @query("attr_rules_toy", with_tok("SELECT doc_id, pos, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_full_match(text, '\\p{Nd}+') THEN 'NUM' WHEN lower(text) IN ('the', 'a') THEN 'DET' WHEN lower(text) IN ('of', 'in') THEN 'ADP' ELSE 'X' END AS pos FROM tok) GROUP BY ALL"))
 def attr_rules_toy(spark, d):
     from .operators.kernels import per_document
@@ -704,18 +691,6 @@ def attr_rules_toy(spark, d):
     return per_document(_docs_for_search(spark, d), run, "doc_id bigint, pos string").groupBy("doc_id", "pos").agg(F.count("*").alias("n"))
 
 
-@query("noun_chunks_toy")
-def noun_chunks_toy(spark, d):
-    """Chunks where every fourth token is a nominal object and heads form the heap."""
-    from .operators.kernels import per_document
-
-    def run(row: dict) -> list[dict]:
-        tokens = [{"head": t["head"], "pos": "NOUN" if i % 4 == 3 else "X", "dep": "dobj" if i % 8 == 3 else "conj"} for i, t in enumerate(row["tokens"] or [])]
-        return [{"doc_id": row["doc_id"], "start": s["start"], "end": s["end"]} for s in annotators.noun_chunks_of(tokens)]
-
-    return per_document(heap_docs(spark, d), run, "doc_id bigint, start int, end int")
-
-
 @query("tokenize_rules")
 def tokenize_rules(spark, d):
     """The rule tokenizer with the small built-in rules, as a token table."""
@@ -764,4 +739,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count("*").alias("matches"), F.min("start").alias("first"))
 
 
+from . import operator_queries  # noqa: E402, F401  registers its queries here
+
 __all__ = ["QUERIES", "SQL", "flagship"]

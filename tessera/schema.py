@@ -33,6 +33,13 @@ def token_text(text: str = "text", token: str = "token") -> F.Column:
     return F.substring(F.col(text), F.col(f"{token}.idx") + 1, size)
 
 
+def span_text(text: str = "text", tokens: str = "tokens", span: str = "span") -> F.Column:
+    """The text of a span of tokens, without white space after its last token; nothing for an empty span."""
+    start, end = F.col(f"{span}.start"), F.col(f"{span}.end")
+    first, last = F.get(F.col(tokens), start)["start"], F.get(F.col(tokens), end - 1)["end"]
+    return F.when(end <= start, F.lit("")).otherwise(F.decode(F.substring(F.encode(F.col(text), "utf-8"), first + 1, last - first), "utf-8"))
+
+
 def explode_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, i, text and the fields of every token."""
     t = docs.select("doc_id", "text", F.posexplode("tokens").alias("i", "token"))
