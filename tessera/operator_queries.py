@@ -18,7 +18,7 @@ from .operators.tokenizer import TokenizerRules, tokenize, tokenize_regex_docs
 from .plans import patterns, pipeline, predicates
 from .queries import _HEAP, _IN, _INDEX, _NEXT, _RIGHT_HEADS, _RUNS, FUNCTION, WINDOW, _docs_for_search, _item, _search, docs_of, heap_docs, query, right_docs, tok, with_tok
 from .schema import DOC, DOC_DDL, byte_of_codepoint, codepoint_of_byte, explode_tokens, span_text
-from .sources import snapshot
+from .sources import model, snapshot
 
 _LOW = lambda *v: _item("lower", "in", list(v))
 _ROW = 'SELECT doc_id, label, a::INTEGER AS start, b::INTEGER AS "end" FROM '
@@ -843,3 +843,38 @@ def pipeline_batch_size(spark, d):
             return e.code
 
     return per_document(spark.createDataFrame([(c,) for c, _ in _SIZES], "config string"), lambda r: [{"config": r["config"], "size": size(r["config"])}], "config string, size string")
+
+
+# ---- models --------------------------------------------------------------------------------------------------------
+
+
+def sound_manifest() -> dict:
+    """A small manifest without faults."""
+    empty = {pos: {} for pos in model.LEMMA_POS}
+    return {
+        "format_version": 2, "model": "toy", "model_version": "1", "capabilities": {"language": "en"}, "pipeline": ["tok2vec", "tagger", "parser", "ner"], "attribute_rules": [],
+        "tokenizer": {"regex_dialect": model.DIALECT, "rules": {"can't": [{"orth": "ca"}, {"orth": "n't", "norm": "not"}], "New York": [{"orth": "New"}, {"orth": "York"}]}},
+        "lexical": {"ranges": {"alpha": [[65, 90], [97, 122]]}}, "lemmas": {"lemma_index": empty, "lemma_exc": empty, "lemma_rules": empty},
+        "parser": {"actions": [{"kind": "shift", "label": ""}, {"kind": "left", "label": "det"}]}, "ner": {"transition": {"actions": [{"kind": "outside", "label": ""}, {"kind": "unit", "label": "E"}]}},
+    }
+
+
+def _broken(**changes) -> str:
+    return json.dumps(sound_manifest() | changes)
+
+
+_TOKENIZER = lambda **more: {"tokenizer": sound_manifest()["tokenizer"] | more}
+_MANIFESTS = [
+    ("sound", _broken(), []), ("no version", _broken(format_version=3), ["unsupported"]), ("no capabilities", _broken(capabilities=None), ["unsupported"]), ("no name", _broken(model=" "), ["model"]), ("dialect", _broken(**_TOKENIZER(regex_dialect="other")), ["unsupported"]),
+    ("token_match", _broken(**_TOKENIZER(token_match="x")), ["unsupported"]), ("heuristics", _broken(**_TOKENIZER(faster_heuristics=False)), ["unsupported"]), ("exception", _broken(**_TOKENIZER(rules={"a.m": [{"orth": "am"}], "ok": [{"orth": "ok"}], "": []})), ["model", "model"]),
+    ("ranges", _broken(lexical={"ranges": {"digit": [[48, 57], [57, 60]], "lower": [[5, 4]]}}), ["model", "model"]), ("attributes", _broken(attribute_rules=[{"patterns": [[{}]], "index": 1, "attrs": {"pos": "NOUNS"}}]), ["model", "model"]), ("lemmas", _broken(lemmas={}), ["model"] * 5),
+    ("actions", _broken(parser={"actions": [{"kind": "shift", "label": "x"}, {"kind": "left", "label": ""}, {"kind": "unit", "label": "x"}]}), ["unsupported"] * 3), ("order", _broken(pipeline=["tagger"]), ["unsupported"]), ("json", "{", ["model"]),
+    ("legacy", _broken(format_version=1), ["unsupported", "unsupported"]),
+]
+
+
+@query("manifest_check", _values([(n, c, e.count(c)) for n, _, e in _MANIFESTS for c in sorted(set(e))], "name, code, n"))
+def manifest_check(spark, d):
+    """The faults of manifests given as rows."""
+    rows = spark.createDataFrame([(n, m) for n, m, _ in _MANIFESTS], "name string, manifest string")
+    return model.check_manifests(rows).groupBy("name", "code").agg(F.count("*").cast("int").alias("n"))

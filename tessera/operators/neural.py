@@ -26,6 +26,18 @@ def feature_ids(texts: Sequence[str], norms: Sequence[str], symbols: Mapping[str
     return np.array([[string_id(x, symbols) for x in c] for c in cols], dtype=np.uint64).reshape(-1, 4)
 
 
+FEATURES: dict[str, Callable[[str, str, bool], str | int]] = {
+    "norm": lambda t, n, s: n, "prefix": lambda t, n, s: t[:1], "suffix": lambda t, n, s: t[-3:], "shape": lambda t, n, s: shape(t), "spacy": lambda t, n, s: int(s), "is_space": lambda t, n, s: int(t.isspace()),
+}
+
+
+def named_features(names: Sequence[str], texts: Sequence[str], norms: Sequence[str], blanks: Sequence[bool], symbols: Mapping[str, int] | None = None) -> Array:
+    """Unsigned ids of the features of these names, one row a token: strings by their id, flags as they are. blanks: whether a
+    blank follows the token."""
+    rows = [[string_id(x, symbols) if isinstance(x := FEATURES[f.lower()](t, n, s), str) else x for f in names] for t, n, s in zip(texts, norms, blanks, strict=True)]
+    return np.array(rows, dtype=np.uint64).reshape(-1, len(names))
+
+
 def hash_embed(ids: Array, tables: Sequence[Array], seeds: Sequence[int]) -> Array:
     """Each feature's four table rows summed, features side by side."""
     return np.hstack([t[table_keys(ids[:, k], s).astype(np.int64) % len(t)].sum(axis=1) for k, (t, s) in enumerate(zip(tables, seeds, strict=True))])
@@ -80,9 +92,12 @@ class Scorer:
     bias: Array  # (hidden, pieces)
     upper: Array  # (actions, hidden)
     upper_bias: Array
+    reduce: Array | None = None  # (width, input)
+    reduce_bias: Array | None = None
 
     def prepared(self, x: Array) -> Array:
         slots, hidden, pieces, width = self.lower.shape
+        x = x if self.reduce is None else x @ self.reduce.T + self.reduce_bias
         rows = (x @ self.lower.reshape(-1, width).T).reshape(len(x), slots, hidden, pieces)
         return np.concatenate([rows, self.pad[None]])
 
@@ -215,6 +230,19 @@ def tok2vec_stage(tables: Sequence[Array], seeds: Sequence[int], layers: Sequenc
     return lambda docs: _staged(docs, one)
 
 
+#: Token texts, norms and whether a blank follows, to a row for each token.
+Encoded = Callable[[Sequence[str], Sequence[str], Sequence[bool]], Array]
+
+
+def _encoded(d: dict, texts: list[str], f: Encoded) -> Array:
+    return f(texts, [t["norm"] or s.lower() for t, s in zip(d["tokens"], texts, strict=True)], [bool(t["whitespace"]) for t in d["tokens"]])
+
+
+def encoder_stage(encoded: Encoded) -> Callable[[DataFrame], DataFrame]:
+    """Fills the tensor by a function of the tokens."""
+    return lambda docs: _staged(docs, lambda d, _, texts: dict(d, tensor=_encoded(d, texts, encoded).tolist() if texts else []))
+
+
 def tagger_stage(w: Array, b: Array, labels: Sequence[str], field: str = "tag") -> Callable[[DataFrame], DataFrame]:
     """Sets the field of every token to its best label."""
     return lambda docs: _staged(docs, lambda d, x, _: dict(d, tokens=[dict(t, **{field: v}) for t, v in zip(d["tokens"] or [], tag(x, w, b, labels) if len(x) else [], strict=True)]))
@@ -234,10 +262,12 @@ def parser_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame]
     return lambda docs: _staged(docs, one)
 
 
-def ner_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    """Sets the entity tags and the entities; entities end with their sentence."""
+def ner_stage(scorer: Scorer, actions: Sequence[str], encoded: Encoded | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Sets the entity tags and the entities, from the tensor or an encoding of its own; entities end with their sentence."""
 
     def one(d: dict, x: Array, texts: list[str]) -> dict:
+        if encoded is not None and texts:
+            x = _encoded(d, texts, encoded)
         starts = [s["start"] for s in d["sentences"] or []]
         tags = recognise(x, scorer, actions, starts, [s.isspace() for s in texts]) if texts else []
         return with_tags(d, [(iob, kind, None) for iob, kind in tags])
