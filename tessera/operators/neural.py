@@ -106,101 +106,136 @@ class Scorer:
         return self.upper @ hidden.max(axis=1) + self.upper_bias
 
 
-def parse(x: Array, scorer: Scorer, actions: Sequence[str]) -> tuple[list[int], list[str], list[int]]:
-    """Greedy arc-eager parsing: actions S, D, L-label, R-label and B (a sentence starts). Heads, labels, sentence starts."""
-    n = len(x)
-    heads, labels, starts = list(range(n)), ["ROOT"] * n, {0} if n else set()
-    rows = scorer.prepared(x)
-    stack: list[int] = []
-    left: list[list[int]] = [[] for _ in range(n)]
-    right: list[list[int]] = [[] for _ in range(n)]
-    has_head = [False] * n
-    b = 0
-    pick = lambda seq, k: seq[k] if len(seq) > k else -1
-    for _ in range(4 * n * (n + 10)):
-        if b >= n and len(stack) <= 1:
-            break
-        s0, s1 = (stack[-1] if stack else -1), (stack[-2] if len(stack) > 1 else -1)
-        b0 = b if b < n else -1
-        context = [b0, b + 1 if b + 1 < n else -1, s0, s1, -1, pick(left[b0][::-1], 0) if b0 >= 0 else -1, pick(left[s0][::-1], 0) if s0 >= 0 else -1, pick(right[s0][::-1], 0) if s0 >= 0 else -1]
-        scores = scorer(rows, context[: scorer.lower.shape[0]])
-
-        def allowed(a: str) -> bool:
-            if a == "S":
-                return b0 >= 0
-            if a == "D":
-                return s0 >= 0 and (has_head[s0] or b0 < 0)
-            if a == "B":
-                return b0 > 0 and b0 not in starts and not stack
-            if a[0] == "L":
-                return s0 >= 0 and b0 >= 0 and not has_head[s0] and b0 not in starts
-            return s0 >= 0 and b0 >= 0 and b0 not in starts
-
-        valid = np.array([allowed(a) for a in actions])
-        if not valid.any():
-            stack.pop() if stack else None
-            continue
-        a = actions[int(np.where(valid, scores, -np.inf).argmax())]
-        if a == "S":
-            stack.append(b)
-            b += 1
-        elif a == "D":
-            stack.pop()
-        elif a == "B":
-            starts.add(b0)
-        elif a[0] == "L":
-            heads[s0], labels[s0], has_head[s0] = b0, a[2:], True
-            left[b0].append(s0)
-            stack.pop()
+def _best(scores: Array, valid: Sequence[bool]) -> int:
+    """The best valid action, the first of equals."""
+    if not np.isfinite(scores).all():
+        raise ModelError("a score is not finite")
+    if not any(valid):
+        raise ModelError("no action is valid")
+    return int(np.where(valid, scores, -np.inf).argmax())
+
+
+class Arcs:
+    """A parse under way: a stack, the tokens that wait (those put back before the unread ones), and the arcs so far."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.stack: list[int] = []
+        self.waiting: list[int] = list(range(n - 1, -1, -1))  # the next one last
+        self.back: set[int] = set()  # put back and not yet given a child from the stack
+        self.starts: set[int] = {0} if n else set()
+        self.head: dict[int, int] = {}
+        self.label = ["ROOT"] * n
+        self.children: dict[tuple[int, bool], list[int]] = {}  # by head and whether to its left, in the order of their arcs
+
+    def next(self, k: int = 0) -> int | None:
+        return self.waiting[-1 - k] if k < len(self.waiting) else None
+
+    def top(self, k: int = 0) -> int | None:
+        return self.stack[-1 - k] if k < len(self.stack) else None
+
+    def newest(self, head: int | None, left: bool) -> int | None:
+        kids = self.children.get((head, left)) if head is not None else None
+        return kids[-1] if kids else None
+
+    def context(self) -> list[int]:
+        b, s = self.next(), self.top()
+        slots = (b, self.next(1), s, self.top(1), self.top(2), self.newest(b, True), self.newest(s, True), self.newest(s, False))
+        return [-1 if x is None else x for x in slots]
+
+    def valid(self, kind: str) -> bool:
+        b, after, s = self.next(), self.next(1), self.top()
+        if kind == "S":
+            return s is None or after is not None and b not in self.starts and b not in self.back
+        if kind == "D":
+            return s is not None
+        if kind == "B":
+            return after is not None and after == b + 1 and after not in self.starts
+        return kind in "LR" and s is not None and b is not None and b not in self.starts
+
+    def attach(self, child: int, head: int, label: str) -> None:
+        if child in self.head:
+            old = self.head[child]
+            self.children[old, child < old].remove(child)
+        self.head[child], self.label[child] = head, label
+        self.children.setdefault((head, child < head), []).append(child)
+
+    def take(self, kind: str, label: str) -> None:
+        if kind == "B":
+            self.starts.add(self.next(1))
+        elif kind == "S":
+            self.stack.append(self.waiting.pop())
+        elif kind == "D":
+            v = self.stack.pop()
+            if v not in self.head and self.stack:  # without a head it waits again
+                self.waiting.append(v)
+                self.back.add(v)
+        elif kind == "L":
+            self.attach(self.stack.pop(), self.next(), label)
+            self.back.discard(self.next())
         else:
-            heads[b0], labels[b0], has_head[b0] = s0, a[2:], True
-            right[s0].append(b0)
-            stack.append(b)
-            b += 1
-    return heads, labels, sorted(starts)
+            self.attach(self.next(), self.top(), label)
+            self.stack.append(self.waiting.pop())
+
+
+def parse(x: Array, scorer: Scorer, actions: Sequence[str]) -> tuple[list[int], list[str], list[int]]:
+    """Greedy arc-eager parsing that may put a token without a head back: actions S, D, L-label, R-label and B (the token after
+    the next one starts a sentence). Heads, labels, starts."""
+    state, rows = Arcs(len(x)), scorer.prepared(x)
+    kinds = [a.partition("-")[::2] for a in actions]
+    left = 4 * state.n * (state.n + 10)
+    while state.stack or state.waiting:
+        if not left:
+            raise ModelError("too many transitions")
+        left -= 1
+        best = _best(scorer(rows, state.context()[: scorer.lower.shape[0]]), [state.valid(k) for k, _ in kinds])
+        state.take(*kinds[best])
+    return [state.head.get(i, i) for i in range(state.n)], state.label, sorted(state.starts)
 
 
 def deprojectivize(heads: Sequence[int], labels: Sequence[str], spaces: Sequence[bool]) -> tuple[list[int], list[str]]:
-    """A label `dep||head label` moves its token to the first descendant of its head, breadth first, with that label."""
+    """A label `dep||head label` moves its token to the first token below its head, breadth first, with that label; white space is
+    passed over, and so is the token itself."""
     heads, labels = list(heads), list(labels)
-    for i, label in enumerate(labels):
-        dep, bar, wanted = label.partition("||")
+    for i in range(len(heads)):
+        dep, bar, wanted = labels[i].partition("||")
         if not bar:
             continue
-        queue = [heads[i]]
-        while queue:
-            level = [c for h in queue for c in range(len(heads)) if heads[c] == h and c not in (h, i) and not spaces[c]]
-            if hit := next((c for c in level if labels[c].partition("||")[0] == wanted), None):
-                heads[i] = hit
-                break
-            queue = level
+        seen, level, found = set(), [heads[i]], None
+        while level and found is None:
+            fresh = [h for h in dict.fromkeys(level) if h not in seen]
+            seen.update(fresh)
+            level = [c for h in fresh for c, up in enumerate(heads) if up == h and c not in (h, i) and not spaces[c]]
+            found = next((c for c in level if labels[c] == wanted), None)
+        heads[i] = heads[i] if found is None else found
         labels[i] = dep
     return heads, labels
 
 
 def recognise(x: Array, scorer: Scorer, actions: Sequence[str], sentence_starts: Sequence[int] = (), spaces: Sequence[bool] | None = None) -> list[tuple[str, str]]:
-    """Greedy entity tagging with actions B-, I-, L-, U- and a label, and O: (iob, type) of each token; L gives I, U gives B."""
+    """Greedy entity tagging with actions B-, I-, L-, U- and a label, and O: (iob, type) of each token; L gives I, U gives B. An
+    entity ends with its sentence and doesn't begin at white space."""
     n, rows = len(x), scorer.prepared(x)
+    kinds = [a.partition("-")[::2] for a in actions]
+    ends = {s - 1 for s in sentence_starts} | {n - 1}
     out: list[tuple[str, str]] = []
-    open_label, begin = None, -1
-    stops = {s - 1 for s in sentence_starts}
+    begin, held = -1, None  # the open entity's first token and label
     for i in range(n):
-        last = i + 1 == n or i in stops
-        scores = scorer(rows, [i, begin, i - 1][: scorer.lower.shape[0]])
-
-        def allowed(a: str) -> bool:
-            kind, label = a[0], a[2:]
-            if open_label is not None:
-                return label == open_label and (kind == "L" or kind == "I" and not last)
-            if spaces and spaces[i]:
-                return a == "O"
-            return a == "O" or kind == "U" or kind == "B" and not last
-
-        valid = np.array([allowed(a) for a in actions])
-        a = actions[int(np.where(valid, scores, -np.inf).argmax())] if valid.any() else "O"
-        kind, label = a[0], a[2:]
-        out.append({"B": ("B", label), "I": ("I", label), "L": ("I", label), "U": ("B", label)}.get(kind, ("O", "")))
-        open_label, begin = (label, i) if kind == "B" else (open_label, begin) if kind == "I" else (None, -1)
+        goes_on, blank = i not in ends, bool(spaces and spaces[i])
+        rules = {
+            "B": lambda label: held is None and goes_on and not blank and label != "",  # noqa: B023
+            "I": lambda label: held == label and goes_on,  # noqa: B023
+            "L": lambda label: held == label,  # noqa: B023
+            "U": lambda label: held is None and not blank and label != "",  # noqa: B023
+            "O": lambda label: held is None,  # noqa: B023
+        }
+        context = [i, begin, i - 1 if held is not None else -1]
+        kind, label = kinds[_best(scorer(rows, context[: scorer.lower.shape[0]]), [k in rules and rules[k](v) for k, v in kinds])]
+        out.append(("O" if kind == "O" else "B" if kind in "BU" else "I", label))
+        if kind == "B":
+            begin, held = i, label
+        elif kind != "I":
+            begin, held = -1, None
     return out
 
 

@@ -27,33 +27,57 @@ def key_of(attribute: str, token: Mapping) -> str:
     return "" if v is None else str(v)
 
 
+#: Marks a cell whose key was removed.
+GONE = -1
+
+
 class KeyTable:
-    """The rules that end at one node of the trie. Iteration follows an open-addressing table of unsigned keys: eight cells,
-    linear probing, doubled when it is three fifths full; keys 0 and 1 come last."""
+    """The rules that end at one phrase. Iteration follows an open-addressing table of unsigned keys: eight cells, linear probing,
+    doubled when it is three fifths full; keys 0 and 1 come last. A removed key leaves its cell in use, and the last such cell
+    that a later key passes is where that key goes."""
 
     def __init__(self, keys: Sequence[int] = ()) -> None:
         self.cells: list[int | None] = [None] * 8
-        self.low: list[int] = []
+        self.low: set[int] = set()
         for k in keys:
             self.insert(k)
 
+    def passed(self, key: int) -> list[int]:
+        """The places that a key passes, up to its own or a free one."""
+        size, out = len(self.cells), []
+        for step in range(size):
+            out.append((key + step) % size)
+            if self.cells[out[-1]] in (None, key):
+                break
+        return out
+
     def insert(self, key: int) -> None:
         if key < 2:
-            if key not in self.low:
-                self.low = sorted([*self.low, key])
+            self.low.add(key)
             return
-        at = key % len(self.cells)
-        while self.cells[at] not in (None, key):
-            at = (at + 1) % len(self.cells)
-        self.cells[at] = key
+        way = self.passed(key)
+        reused = [p for p in way if self.cells[p] == GONE]
+        if reused:
+            if self.cells[way[-1]] == key:
+                self.cells[way[-1]] = GONE
+            way.append(reused[-1])
+        self.cells[way[-1]] = key
         if 5 * (sum(c is not None for c in self.cells) + 1) >= 3 * len(self.cells):
-            held = [c for c in self.cells if c is not None]
-            self.cells = [None] * (2 * len(self.cells))
-            for k in held:
-                self.insert(k)
+            again = KeyTable.__new__(KeyTable)
+            again.cells, again.low = [None] * (2 * len(self.cells)), self.low
+            for k in self.cells:
+                if k is not None and k != GONE:
+                    again.insert(k)
+            self.cells = again.cells
+
+    def remove(self, key: int) -> None:
+        if key < 2:
+            self.low.discard(key)
+        elif self.cells[at := self.passed(key)[-1]] == key:
+            self.cells[at] = GONE
 
     def __iter__(self):
-        return iter([c for c in self.cells if c is not None] + self.low)
+        return iter([*(c for c in self.cells if c is not None and c != GONE), *sorted(self.low)])
 
 
 @dataclass(frozen=True)
@@ -64,6 +88,8 @@ class PhraseMatcher:
     lexicon: Lexicon | None = None
     symbols: Mapping[str, int] = field(default_factory=dict)
     rules: Mapping[str, tuple[tuple[str, ...], ...]] = field(default_factory=dict)
+    #: What was added (name, phrases) and removed (name, None), in order: it decides the order of rules that end together.
+    log: tuple[tuple[str, tuple | None], ...] = ()
 
     def __post_init__(self) -> None:
         if self.attribute not in ATTRIBUTES:
@@ -78,7 +104,8 @@ class PhraseMatcher:
             raise PatternError(f"the name {name} has the key of another rule")
         held = self.rules.get(name, ())
         new = tuple(dict.fromkeys(tuple(p) for p in phrases if len(p)))
-        return replace(self, rules={**self.rules, name: held + tuple(p for p in new if p not in held)})
+        added = tuple(p for p in new if p not in held)
+        return replace(self, rules={**self.rules, name: held + added}, log=(*self.log, (name, added)))
 
     def add_docs(self, name: str, docs: Sequence[Mapping]) -> PhraseMatcher:
         """Adds the key sequences of documents; annotations must be there for at least one token of each nonempty one."""
@@ -93,7 +120,7 @@ class PhraseMatcher:
     def remove(self, name: str) -> PhraseMatcher:
         if name not in self.rules:
             raise PatternError(f"no rule {name}")
-        return replace(self, rules={k: v for k, v in self.rules.items() if k != name})
+        return replace(self, rules={k: v for k, v in self.rules.items() if k != name}, log=(*self.log, (name, None)))
 
     def __len__(self) -> int:
         return len(self.rules)
@@ -104,25 +131,32 @@ class PhraseMatcher:
     def get(self, name: str) -> tuple[tuple[str, ...], ...] | None:
         return self.rules.get(name)
 
+    def ends(self) -> dict[tuple[str, ...], list[str]]:
+        """The rules that end at each phrase, in the order of its key table; a phrase that nothing ends at any more starts anew."""
+        tables: dict[tuple[str, ...], KeyTable] = {}
+        held: dict[str, list[tuple[str, ...]]] = {}
+        names = {}
+        for name, phrases in self.log:
+            key = string_id(name, self.symbols)
+            names[key] = name
+            for p in phrases if phrases is not None else held.pop(name, ()):
+                if phrases is not None:
+                    tables.setdefault(p, KeyTable()).insert(key)
+                    held.setdefault(name, []).append(p)
+                else:
+                    tables[p].remove(key)
+                    if not list(tables[p]):
+                        del tables[p]
+        return {p: [names[k] for k in t] for p, t in tables.items()}
+
     def trie(self) -> dict:
         """Nested dictionaries by key; None holds the names that end there, in the key table's order."""
         root: dict = {}
-        for name, phrases in self.rules.items():
-            for p in phrases:
-                node = root
-                for k in p:
-                    node = node.setdefault(k, {})
-                node.setdefault(None, []).append(name)
-
-        def ordered(node: dict) -> None:
-            for k, v in node.items():
-                if k is None:
-                    by_key = {string_id(n, self.symbols): n for n in v}
-                    node[None] = [by_key[x] for x in KeyTable(list(by_key))]
-                else:
-                    ordered(v)
-
-        ordered(root)
+        for phrase, names in self.ends().items():
+            node = root
+            for k in phrase:
+                node = node.setdefault(k, {})
+            node[None] = names
         return root
 
     def matches(self, doc: Mapping, trie: dict | None = None) -> list[tuple[str, int, int]]:

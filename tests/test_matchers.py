@@ -214,3 +214,23 @@ def test_find_words_equals_find(spark, make_doc):
     one = sorted(map(tuple, m.find(spark.createDataFrame(docs, DOC_DDL)).collect()))
     two = sorted(map(tuple, m.find_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, words array<string>")).collect()))
     assert one == two == [(0, 0, "r", 0, 2), (0, 1, "r", 3, 4)]
+
+
+def test_removed_keys_leave_their_cells():
+    t = KeyTable([8, 16, 24])  # all begin at cell 0
+    assert list(t) == [8, 16, 24]
+    t.remove(8)
+    t.insert(32)
+    assert list(t) == [32, 16, 24]  # in the cell that 8 left
+    t.remove(16)
+    t.insert(24)
+    assert list(t) == [32, 24]  # moved up
+    t.insert(1)
+    assert list(t) == [32, 24, 1]
+    grown = KeyTable(range(2, 12))
+    assert len(grown.cells) == 32 and list(grown) == list(range(2, 12))
+
+
+def test_a_phrase_that_nothing_ends_at_starts_anew():
+    m = PhraseMatcher().add("a", [["x"]]).add("b", [["x"], ["y"]]).remove("a").remove("b").add("c", [["x"]])
+    assert m.ends() == {("x",): ["c"]} and m.trie() == {"x": {None: ["c"]}}
