@@ -317,7 +317,7 @@ def test_lm_parts_and_hot_words_dont_matter(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {order: sorted(map(tuple, lm.score(docs, order).collect())) for order in (3, 4)}
     monkeypatch.setattr(lm, "PART_WORDS", 9_000)
-    monkeypatch.setattr(lm, "BLOCK_WORDS", 5_000)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 30_000)
     for hot in (1e-2, 2.0):
         monkeypatch.setattr(lm, "HOT", hot)
         for order in (3, 4):
