@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import PatternError
 from ..functions.lexical import FLAGS, Lexicon
 from ..plans.patterns import ONE, STAR, Pattern
-from ..plans.predicates import TokenView, all_of, check_document, columns_of
+from ..plans.predicates import ANNOTATIONS, TokenView, all_of, check_document, columns_of
 from .kernels import per_document, views
 
 GREEDY = (None, "first", "longest")
@@ -123,6 +123,8 @@ class Search:
         self.greedy = {n: r.greedy for n, r in matcher.rules.items() if r.greedy}
         self.patterns = list(matcher.sequence)
         self.constraints = [c for _, p in self.patterns for c in p.constraints()]
+        #: The constraints that ask something of a whole document before it is searched.
+        self.needs = list({(c.attribute, c.kind): c for c in self.constraints if c.attribute in ANNOTATIONS}.values())
         #: Distinct items are tested once a token; a pattern's items are numbers of them.
         table: dict[tuple, int] = {}
         self.items = [[table.setdefault((i.constraints, i.repetition == "negated"), len(table)) for i in p.items] for _, p in self.patterns]
@@ -172,8 +174,10 @@ class Search:
         if self.plan is None:
             seen = {w: TokenView(w, {}, self.lexicon) for w in set(words)}
             return self.columns([seen[w] for w in words])
-        number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        codes = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.plan.plain:
+            return self.greedily(self.plan.columns(list(number), codes))
         return self.greedily(self.plan.columns([TokenView(w, {}, self.lexicon) for w in number], codes))
 
     def columns(self, tokens: Sequence[TokenView]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,12 +294,24 @@ class Arrays:
                 self.index.setdefault(c.attribute, {}).setdefault(v, []).append(k)
             if len(constraints) == 1:
                 self.decided.add(k)
+        #: Whether texts alone say what holds: every item is decided by one value of a text or its lower case.
+        self.plain = not self.others and len(self.decided) == len(table)
         number = {name: k for k, name in enumerate(search.names)}
         self.rule_of = np.array([number[name] for name, _ in search.patterns], dtype=np.int64)
 
-    def columns(self, tokens: Sequence[TokenView], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def items_of(self, token: TokenView | str) -> list[int]:
+        """The items that a token fulfils; a plain plan takes its text."""
+        if isinstance(token, str):
+            values = ((by, token if a == "text" else token.lower()) for a, by in self.index.items())
+            return [m for by, v in values for m in by.get(v, ())]
+        tests = self.search.tests
+        held = [m for a, by in self.index.items() for m in by.get(token[a], ()) if m in self.decided or tests[m](token)]
+        return held + [m for m in self.others if tests[m](token)]
+
+    def columns(self, tokens: Sequence[TokenView | str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rules, starts and ends of all matches, in order. codes: which of the distinct tokens is at each place."""
-        check_document(self.search.constraints, tokens)
+        if self.search.needs:
+            check_document(self.search.needs, tokens)
         n = len(codes)
         none = (np.zeros(0, dtype=np.int64),) * 3
         if not n:
@@ -317,13 +333,12 @@ class Arrays:
 class Places:
     """The places of one document where items hold."""
 
-    def __init__(self, plan: Arrays, tokens: Sequence[TokenView], codes: np.ndarray) -> None:
+    def __init__(self, plan: Arrays, tokens: Sequence[TokenView | str], codes: np.ndarray) -> None:
         tests, item, code = plan.search.tests, [], []
         for k, t in enumerate(tokens):
-            held = [m for a, by in plan.index.items() for m in by.get(t[a], ()) if m in plan.decided or tests[m](t)]
-            held += [m for m in plan.others if tests[m](t)]
-            item += held
-            code += [k] * len(held)
+            if held := plan.items_of(t):
+                item += held
+                code += [k] * len(held)
         self.n, self.codes, self.wide = len(codes), codes, len(tokens)
         key = np.unique(np.array(item, dtype=np.int64) * self.wide + np.array(code, dtype=np.int64))
         self.held = key
