@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +215,47 @@ def find_by_join(tokens: DataFrame, phrases: DataFrame, key: str, small: int = 8
         return done
     rest = met.where(F.size("keys") > len(keys)).select("doc_id", "rule", "start", (F.col("start") + F.size("keys")).alias("end"), F.posexplode("keys").alias("k", "want"))
     rest = rest.where(F.col("k") >= len(keys)).withColumn("i", F.col("start") + F.col("k"))
-    there = rest.join(tokens.select("doc_id", "i", F.col(key).alias("want")), ["doc_id", "i", "want"])
+    # The token table is never the side that is broadcast, however small its files look.
+    there = rest.join(tokens.select("doc_id", "i", F.col(key).alias("want")).hint("merge"), ["doc_id", "i", "want"])
     long = there.groupBy("doc_id", "rule", "start", "end").agg(F.count("*").alias("n")).where(F.col("n") == F.col("end") - F.col("start") - len(keys))
     return done.unionByName(long.drop("n"))
+
+
+def find_in_rows(docs: DataFrame, phrases: DataFrame, small: int = 8 << 20) -> DataFrame | None:
+    """doc_id, rule, start, end: phrases (rule, keys) of any length found in each document's own array (doc_id, keys) by a trie,
+    which goes to all workers; None if the dictionary has more than `small` bytes, and find_by_join is the way to go. A null
+    key equals none; repeated phrases of a rule count once; empty ones match nothing."""
+    side = phrases.where((F.size("keys") > 0) & ~F.exists("keys", lambda k: k.isNull())).select("rule", "keys").distinct()
+    weight = F.octet_length("rule") + F.aggregate("keys", F.lit(0), lambda a, k: a + F.octet_length(k) + 16)
+    if (side.agg(F.sum(weight)).first()[0] or 0) > small:
+        return None
+    root: dict = {}
+    for r in side.collect():  # up to `small` bytes
+        node = root
+        for k in r["keys"]:
+            node = node.setdefault(k, {})
+        node.setdefault(None, []).append(r["rule"])
+    shared = docs.sparkSession.sparkContext.broadcast(root)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                doc: list[int] = []
+                out: list[tuple[str, int, int]] = []
+                for d, keys in enumerate(part.column(1).to_pylist()):
+                    keys = keys or []
+                    for start, node in enumerate(map(first.get, keys)):
+                        end = start
+                        while node:
+                            end += 1
+                            if names := node.get(None):
+                                out += [(n, start, end) for n in names]
+                            node = node.get(keys[end]) if end < len(keys) and keys[end] is not None else None
+                    doc += [d] * (len(out) - len(doc))
+                rule, start, end = zip(*out) if out else ((), (), ())
+                ids = part.column(0).take(pa.array(doc, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rule, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "rule", "start", "end"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "keys").mapInArrow(kernel, "doc_id bigint, rule string, start int, end int")

@@ -292,10 +292,17 @@ def _phrases(spark, d, key: Callable[[F.Column], F.Column]) -> DataFrame:
     return items.where((F.size("w") >= F.col("n")) & (F.col("n") > 0)).select("rule", F.slice("w", F.lit(1), F.col("n")).alias("keys")).distinct()
 
 
-def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str) -> None:
+def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str, by_join: bool = False) -> None:
+    """Phrases in a document's own array, or by joins where that is asked for or the dictionary is large."""
+
     def run(spark, d):
-        t, ahead = keyed(spark, d, key, 3)
-        return phrase_matcher.find_by_join(t, _phrases(spark, d, key), "key", ahead=ahead).select("doc_id", "rule", "start", "end")
+        phrases = _phrases(spark, d, key)
+        words = F.regexp_extract_all(F.col("text"), F.lit(REGEX), F.lit(0))
+        found = None if by_join else phrase_matcher.find_in_rows(docs_of(spark, d).select("doc_id", F.transform(words, key).alias("keys")), phrases)
+        if found is None:
+            t, ahead = keyed(spark, d, key, 3)
+            found = phrase_matcher.find_by_join(t, phrases, "key", ahead=ahead)
+        return found.select("doc_id", "rule", "start", "end")
 
     sql = (
         f"WITH dw AS (SELECT doc_id, list_transform(w, lambda text: {key_sql}) AS w FROM {WORDS_SQL}),"
@@ -309,6 +316,7 @@ def _phrase_query(name: str, key: Callable[[F.Column], F.Column], key_sql: str)
 
 _phrase_query("pm_orth", lambda t: t, "text")
 _phrase_query("pm_lower", F.lower, "lower(text)")
+_phrase_query("pm_join", F.lower, "lower(text)", by_join=True)
 
 
 @query("pm_length", with_tok("SELECT doc_id, i::INTEGER AS start, (i + 3)::INTEGER AS \"end\" FROM nx WHERE length(text) = 9 AND length(t1) = 1 AND length(t2) = 9", _NEXT))

@@ -234,3 +234,22 @@ def test_removed_keys_leave_their_cells():
 def test_a_phrase_that_nothing_ends_at_starts_anew():
     m = PhraseMatcher().add("a", [["x"]]).add("b", [["x"], ["y"]]).remove("a").remove("b").add("c", [["x"]])
     assert m.ends() == {("x",): ["c"]} and m.trie() == {"x": {None: ["c"]}}
+
+
+def test_phrases_of_any_length_in_rows_and_by_join(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.phrase_matcher import find_by_join, find_in_rows
+
+    r = random.Random(17)
+    docs = [(k, [r.choice("ab") for _ in range(r.randint(0, 40))]) for k in range(60)]
+    long = docs[3][1][:25] or ["a"]
+    phrases = [("long", long), ("one", ["a"]), ("two", ["b", "a"]), ("nine", list("abababab") + ["a"]), ("nine", list("abababab") + ["a"]), ("none", []), ("null", ["a", None])]
+    want = sorted((k, n, i, i + len(p)) for k, w in docs for n, p in {(n, tuple(p)) for n, p in phrases if p} for i in range(len(w)) if tuple(w[i : i + len(p)]) == p)
+    side = spark.createDataFrame(phrases, "rule string, keys array<string>")
+    rows = spark.createDataFrame(docs, "doc_id long, keys array<string>")
+    assert sorted(map(tuple, find_in_rows(rows, side).collect())) == want and find_in_rows(rows, side, small=10) is None
+    tokens = rows.select("doc_id", F.posexplode("keys").alias("i", "key"))
+    for small in (0, 8 << 20):
+        assert sorted(map(tuple, find_by_join(tokens, side, "key", small=small).collect())) == want
+    assert sorted(map(tuple, find_by_join(tokens, side.where("size(keys) > 1"), "key", look=2).collect())) == [x for x in want if x[1] != "one"]
