@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from ..plans.predicates import ANNOTATIONS, TokenView, all_of, check_document, c
 from .kernels import per_document, views
 
 GREEDY = (None, "first", "longest")
+#: Bare words whose items a worker keeps.
+KNOWN_WORDS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -92,27 +95,44 @@ class TokenMatcher:
         return per_document(docs.select("doc_id", "text", "tokens"), run, "doc_id bigint, ord int, rule string, start int, end int, error string, message string", errors)
 
     def find_words(self, docs: DataFrame) -> DataFrame:
-        """doc_id, ord, rule, start, end over bare words (doc_id, words: array of strings), without annotations."""
+        """doc_id, ord, rule, start, end over bare words (doc_id, words: array of strings), without annotations. Documents of a
+        batch are searched as one text, with places between them where nothing holds."""
         search = self.compiled()
-        return find_columns(docs.select("doc_id", "words"), search, search.word_columns)
+        if search.needs:
+            return find_columns(docs.select("doc_id", "words"), search, search.word_columns)
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    yield _numbered(search, part.column(0), *search.batch_columns(part.column(1)))
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "words").mapInArrow(kernel, FOUND)
+
+
+FOUND = "doc_id bigint, ord int, rule string, start int, end int"
+
+
+def _numbered(search: Search, ids: pa.Array, doc: np.ndarray, rule: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Matches by document as rows, numbered within each."""
+    sizes = np.bincount(doc, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
+    ord_ = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = lambda x: pa.array(x.astype(np.int32))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), whole(ord_), pa.array(search.names, pa.string()).take(whole(rule)), whole(start), whole(end)], ["doc_id", "ord", "rule", "start", "end"])
 
 
 def find_columns(docs: DataFrame, search: Search, columns: Callable) -> DataFrame:
     """doc_id, ord, rule, start, end of what `columns` gives for the second column of each row: numbers of rules, starts, ends."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(search.names, pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rule, start, end = zip(*(columns(x) for x in part.column(1).to_pylist()))
-                sizes = np.array([len(x) for x in rule])
-                ord_ = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                whole = lambda x: pa.array(np.concatenate(x).astype(np.int32))
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(ord_.astype(np.int32)), names.take(whole(rule)), whole(start), whole(end)], ["doc_id", "ord", "rule", "start", "end"])
+                doc = np.repeat(np.arange(len(rule)), [len(x) for x in rule])
+                yield _numbered(search, part.column(0), doc, *map(np.concatenate, (rule, start, end)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs.columns[1]).mapInArrow(kernel, "doc_id bigint, ord int, rule string, start int, end int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs.columns[1]).mapInArrow(kernel, FOUND)
 
 
 class Search:
@@ -176,14 +196,33 @@ class Search:
             return self.columns([seen[w] for w in words])
         number = {w: k for k, w in enumerate(dict.fromkeys(words))}
         codes = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-        if self.plan.plain:
-            return self.greedily(self.plan.columns(list(number), codes))
-        return self.greedily(self.plan.columns([TokenView(w, {}, self.lexicon) for w in number], codes))
+        if self.needs:
+            check_document(self.needs, [TokenView(w, {}, self.lexicon) for w in number])
+        return self.greedily(self.plan.columns([self.plan.items_of_word(w) for w in number], codes))
+
+    def batch_columns(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents (numbers in the batch) and columns() of them all, document by document."""
+        sizes = np.asarray(pa.compute.list_value_length(words).fill_null(0), dtype=np.int64)
+        coded = words.flatten().dictionary_encode()
+        held = [self.plan.items_of_word(w) for w in coded.dictionary.to_pylist()]
+        first = np.cumsum(sizes + 1) - (sizes + 1)
+        codes = np.full(int((sizes + 1).sum()), len(held), dtype=np.int64)
+        codes[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = np.asarray(coded.indices)
+        rule, start, end = self.plan.columns([*held, []], codes)
+        doc = np.searchsorted(first, start, side="right") - 1
+        if self.greedy:
+            cut = np.flatnonzero(np.diff(doc, prepend=-1))
+            parts = [self.greedily((rule[a:b], start[a:b], end[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)])]
+            rule, start, end = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+            doc = np.searchsorted(first, start, side="right") - 1
+        return doc, rule, start - first[doc], end - first[doc]
 
     def columns(self, tokens: Sequence[TokenView]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of rules (in self.names), starts and ends of all matches, in order."""
         if self.plan is not None:
-            return self.greedily(self.plan.columns(tokens, np.arange(len(tokens))))
+            if self.needs:
+                check_document(self.needs, tokens)
+            return self.greedily(self.plan.columns(list(map(self.plan.items_of, tokens)), np.arange(len(tokens))))
         rule = {n: k for k, n in enumerate(self.names)}
         found = self.stepped(tokens)
         return self.greedily(tuple(np.array(x, dtype=np.int64) for x in ([rule[m[0]] for m in found], [m[1] for m in found], [m[2] for m in found])))
@@ -296,27 +335,37 @@ class Arrays:
                 self.decided.add(k)
         #: Whether texts alone say what holds: every item is decided by one value of a text or its lower case.
         self.plain = not self.others and len(self.decided) == len(table)
+        self.known: dict[str, list[int]] = {}
         number = {name: k for k, name in enumerate(search.names)}
         self.rule_of = np.array([number[name] for name, _ in search.patterns], dtype=np.int64)
 
-    def items_of(self, token: TokenView | str) -> list[int]:
-        """The items that a token fulfils; a plain plan takes its text."""
-        if isinstance(token, str):
-            values = ((by, token if a == "text" else token.lower()) for a, by in self.index.items())
-            return [m for by, v in values for m in by.get(v, ())]
+    def items_of(self, token: TokenView) -> list[int]:
+        """The items that a token fulfils."""
         tests = self.search.tests
         held = [m for a, by in self.index.items() for m in by.get(token[a], ()) if m in self.decided or tests[m](token)]
         return held + [m for m in self.others if tests[m](token)]
 
-    def columns(self, tokens: Sequence[TokenView | str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rules, starts and ends of all matches, in order. codes: which of the distinct tokens is at each place."""
-        if self.search.needs:
-            check_document(self.search.needs, tokens)
+    def items_of_word(self, word: str) -> list[int]:
+        """The items that a bare word fulfils, kept for the next document."""
+        held = self.known.get(word)
+        if held is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            if self.plain:
+                held = [m for a, by in self.index.items() for m in by.get(word if a == "text" else word.lower(), ())]
+            else:
+                held = self.items_of(TokenView(word, {}, self.search.lexicon))
+            self.known[word] = held
+        return held
+
+    def columns(self, held: Sequence[list[int]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rules, starts and ends of all matches, in order. held: the items that each distinct token fulfils; codes: which of these
+        is at each place."""
         n = len(codes)
         none = (np.zeros(0, dtype=np.int64),) * 3
         if not n:
             return none
-        at = Places(self, tokens, codes)
+        at = Places(len(self.search.tests), held, codes)
         found = [x for kinds, patterns, items in self.shapes if (x := at.matches(kinds, patterns, items)) is not None]
         if not found:
             return none
@@ -333,21 +382,18 @@ class Arrays:
 class Places:
     """The places of one document where items hold."""
 
-    def __init__(self, plan: Arrays, tokens: Sequence[TokenView | str], codes: np.ndarray) -> None:
-        tests, item, code = plan.search.tests, [], []
-        for k, t in enumerate(tokens):
-            if held := plan.items_of(t):
-                item += held
-                code += [k] * len(held)
-        self.n, self.codes, self.wide = len(codes), codes, len(tokens)
-        key = np.unique(np.array(item, dtype=np.int64) * self.wide + np.array(code, dtype=np.int64))
+    def __init__(self, items: int, held: Sequence[list[int]], codes: np.ndarray) -> None:
+        item = [m for ms in held for m in ms]
+        code = np.repeat(np.arange(len(held)), list(map(len, held)))
+        self.n, self.codes, self.wide = len(codes), codes, len(held)
+        key = np.unique(np.array(item, dtype=np.int64) * self.wide + code)
         self.held = key
         # Small tables of items and distinct tokens are looked up, others searched.
         self.table = None
-        if len(tests) * self.wide <= 1 << 24:
-            self.table = np.zeros(len(tests) * self.wide, dtype=bool)
+        if items * self.wide <= 1 << 24:
+            self.table = np.zeros(items * self.wide, dtype=bool)
             self.table[key] = True
-        self.first = np.searchsorted(key, np.arange(len(tests) + 1) * self.wide)
+        self.first = np.searchsorted(key, np.arange(items + 1) * self.wide)
         self.by_code = np.argsort(codes, kind="stable")
         self.count = np.bincount(codes, minlength=self.wide)
         self.begin = np.cumsum(self.count) - self.count
@@ -426,9 +472,10 @@ def keep_greedy(start: np.ndarray, end: np.ndarray, how: str) -> np.ndarray:
     """Of overlapping matches the first (longer before shorter at one start) or the longest (earlier before later): the numbers
     of the matches that stay, in that order."""
     order = np.lexsort((-end, start) if how == "first" else (start, start - end))
-    taken = bytearray(int(end.max(initial=0)))
+    base = int(start.min()) if len(start) else 0
+    taken = bytearray(int(end.max(initial=base)) - base)
     out = []
-    for k, a, b in zip(order.tolist(), start[order].tolist(), end[order].tolist()):
+    for k, a, b in zip(order.tolist(), (start[order] - base).tolist(), (end[order] - base).tolist()):
         if taken.find(1, a, b) < 0:
             taken[a:b] = b"\x01" * (b - a)
             out.append(k)

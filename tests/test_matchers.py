@@ -214,6 +214,15 @@ def test_find_words_equals_find(spark, make_doc):
     one = sorted(map(tuple, m.find(spark.createDataFrame(docs, DOC_DDL)).collect()))
     two = sorted(map(tuple, m.find_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, words array<string>")).collect()))
     assert one == two == [(0, 0, "r", 0, 2), (0, 1, "r", 3, 4)]
+    # Documents of a batch don't run into each other.
+    r = random.Random(19)
+    rows = [(k, None if k % 17 == 3 else [r.choice("abAc") for _ in range(r.randint(0, 6))]) for k in range(200)]
+    spec = lambda kind, **more: {"constraints": [{"attribute": "lower", "predicate": {"kind": "in", "values": ["a", "b"]}}], "repetition": {"kind": kind, **more}}
+    m = TokenMatcher(Lexicon()).add("s", [[spec("one_or_more")]]).add("n", [[spec("negated")], [spec("zero_or_more"), spec("negated"), spec("optional")]]).add("g", [[spec("once"), spec("optional")]], "first").add("l", [[spec("one_or_more")]], "longest")
+    search = m.compiled()
+    want = [(k, i, n, a, b) for k, w in rows for i, (n, a, b) in enumerate(search.words(w or []))]
+    got = m.find_words(spark.createDataFrame(rows, "doc_id long, words array<string>").coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 300
 
 
 def test_removed_keys_leave_their_cells():
