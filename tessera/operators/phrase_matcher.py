@@ -13,7 +13,7 @@ from ..errors import MissingAnnotationError, PatternError
 from ..functions.hashing import string_id
 from ..functions.lexical import FLAGS, Lexicon
 from ..plans.predicates import ANNOTATIONS, check_document_morph
-from .kernels import per_document, views
+from .kernels import per_document, texts_of, views
 
 ATTRIBUTES = ("orth", "text", "lower", "norm", "lemma", "pos", "tag", "dep", "morphology", *FLAGS, "length")
 
@@ -162,11 +162,15 @@ class PhraseMatcher:
 
     def matches(self, doc: Mapping, trie: dict | None = None) -> list[tuple[str, int, int]]:
         root = self.trie() if trie is None else trie
-        tokens = views(doc, self.lexicon)
-        if self.attribute == "morphology":
-            for t in tokens:
-                check_document_morph(t["morphology"])
-        keys = [key_of(self.attribute, t) for t in tokens]
+        if self.attribute in ("orth", "text", "lower"):
+            keys = texts_of(doc["text"] or "", doc["tokens"] or [])
+            keys = [k.lower() for k in keys] if self.attribute == "lower" else keys
+        else:
+            tokens = views(doc, self.lexicon)
+            if self.attribute == "morphology":
+                for t in tokens:
+                    check_document_morph(t["morphology"])
+            keys = [key_of(self.attribute, t) for t in tokens]
         out = []
         for start in range(len(keys)):
             node = root

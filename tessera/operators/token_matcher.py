@@ -19,7 +19,7 @@ from ..errors import PatternError
 from ..functions.lexical import FLAGS, Lexicon
 from ..plans.patterns import ONE, STAR, Pattern
 from ..plans.predicates import ANNOTATIONS, TokenView, all_of, check_document, columns_of
-from .kernels import per_document, views
+from .kernels import per_document, texts_of, views
 
 GREEDY = (None, "first", "longest")
 #: Bare words whose items a worker keeps.
@@ -90,7 +90,7 @@ class TokenMatcher:
         """doc_id, ord, rule, start, end; with errors, also error and message, one row for each failing document."""
         search = self.compiled()
         if not errors:
-            return find_columns(docs.select("doc_id", F.struct("text", "tokens").alias("doc")), search, lambda d: search.columns(views(d, search.lexicon)))
+            return find_columns(docs.select("doc_id", F.struct("text", "tokens").alias("doc")), search, search.doc_columns)
         run = lambda d: [{"doc_id": d["doc_id"], "ord": i, "rule": r, "start": a, "end": b} for i, (r, a, b) in enumerate(search(d))]
         return per_document(docs.select("doc_id", "text", "tokens"), run, "doc_id bigint, ord int, rule string, start int, end int, error string, message string", errors)
 
@@ -176,15 +176,18 @@ class Search:
         return sorted(out) if len(out) > len(self.anywhere) else out
 
     def __call__(self, doc: Mapping) -> list[tuple[str, int, int]]:
-        return self.over(views(doc, self.lexicon))
+        return self.named(*self.doc_columns(doc))
+
+    def doc_columns(self, doc: Mapping) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """columns() of a document."""
+        if self.plan is not None and self.plan.lexical:
+            return self.word_columns(texts_of(doc["text"] or "", doc["tokens"] or []))
+        return self.columns(views(doc, self.lexicon))
 
     def words(self, words: Sequence[str]) -> list[tuple[str, int, int]]:
         """Matches over bare words, without annotations."""
         return self.named(*self.word_columns(words))
 
-    def over(self, tokens: Sequence[TokenView]) -> list[tuple[str, int, int]]:
-        return self.named(*self.columns(tokens))
-
     def named(self, rule: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[str, int, int]]:
         return list(zip(map(self.names.__getitem__, rule.tolist()), start.tolist(), end.tolist()))
 
@@ -336,6 +339,8 @@ class Arrays:
         #: Whether texts alone say what holds: every item is decided by one value of a text or its lower case.
         self.plain = not self.others and len(self.decided) == len(table)
         self.known: dict[str, list[int]] = {}
+        #: Whether the texts of tokens decide all items, whatever their annotations.
+        self.lexical = all(c.attribute in ("text", "lower", "length", *FLAGS) for c in search.constraints)
         number = {name: k for k, name in enumerate(search.names)}
         self.rule_of = np.array([number[name] for name, _ in search.patterns], dtype=np.int64)
 

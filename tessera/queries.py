@@ -527,6 +527,12 @@ query("ent_repair_window", SQL["ent_repair"])(
 
 @query("ent_derive", with_tok("SELECT doc_id, min(i)::INTEGER AS start, (max(i) + 1)::INTEGER AS \"end\", arg_min(kind, i) AS label FROM (SELECT *, sum(CASE WHEN coalesce(iob, '') = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM rp) GROUP BY doc_id, g HAVING arg_min(coalesce(iob, ''), i) = 'B' AND arg_min(coalesce(kind, ''), i) <> ''", f"{_TAGS}, {_LAG}"))
 def ent_derive(spark, d):
+    return entities.entities_in_rows(tag_docs(spark, d)).select("doc_id", "start", "end", "label")
+
+
+@query("ent_derive_array", SQL["ent_derive"])
+def ent_derive_array(spark, d):
+    """The same by expressions over the document's array."""
     spans = repaired_docs(spark, d).select("doc_id", F.explode(entities.entity_array(F.col("tags"))).alias("s"))
     return spans.select("doc_id", "s.start", "s.end", "s.label")
 

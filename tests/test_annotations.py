@@ -106,12 +106,15 @@ def test_repair_needs_one_look_back():
 def test_arrays_repair_and_derive_alike(spark):
     from pyspark.sql import functions as F
 
-    from tessera.operators.entities import entity_array, repair_array
+    from tessera.operators.entities import entities_in_rows, entity_array, repair_array
 
     r = random.Random(4)
     rows = [(k, [(r.choice(["B", "I", "O", None]), r.choice(["X", "Y", "", None]), r.choice(["q", None])) for _ in range(r.randint(0, 7))]) for k in range(300)]
     df = spark.createDataFrame(rows, "k int, tags array<struct<iob:string,kind:string,id:string>>")
     got = df.select("k", repair_array(F.col("tags")).alias("tags")).select("k", "tags", entity_array(F.col("tags")).alias("spans")).collect()
+    in_rows: dict = {}
+    for y in entities_in_rows(df.withColumnRenamed("k", "doc_id")).collect():
+        in_rows.setdefault(y.doc_id, []).append((y.start, y.end, y.label))
     for x in got:
         want = repaired([tuple(t) for t in rows[x.k][1]])
         assert [tuple(t) for t in x.tags] == want
@@ -121,6 +124,8 @@ def test_arrays_repair_and_derive_alike(spark):
             spans = None
         if spans is not None:
             assert [(s.start, s.end, s.label) for s in x.spans] == spans
+            in_rows.setdefault(x.k, [])
+            assert sorted(in_rows[x.k]) == spans
 
 
 def test_groups():
