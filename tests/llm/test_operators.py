@@ -324,6 +324,25 @@ def test_lm_parts_and_hot_words_dont_matter(spark, monkeypatch):
             assert sorted(map(tuple, lm.score(docs, order).collect())) == want[order]
 
 
+def test_lm_words_and_their_packing():
+    import pyarrow as pa
+
+    r = np.random.default_rng(21)
+    parts = ["a", "B", "é", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\x00", "日", "zz", "abcdefghijklmnop"]
+    for _ in range(300):
+        texts = ["".join(r.choice(parts, r.integers(0, 12))) for _ in range(r.integers(0, 6))]
+        words = [re.findall(rb"[^\x20\x09-\x0D]+", ascii_lower(t).encode()) for t in texts]
+        array = pa.array([b"skipped"] + [t.encode() for t in texts], pa.binary()).slice(1)
+        distinct, codes, sizes = lm.tokens(array)
+        assert sizes.tolist() == list(map(len, words)) and [distinct[k].as_py() for k in codes.tolist()] == [w for ws in words for w in ws]
+        in_order = sorted({w for ws in words for w in ws})
+        packed = lm.Words.of(pa.array(in_order, pa.large_binary())).packed()
+        assert lm.Words.unpacked(*packed).arrow().to_pylist() == in_order
+        numbers = [r.integers(0, 2 ** int(r.integers(1, 62)), r.integers(0, 9)) for _ in range(3)]
+        assert all((a == b).all() for a, b in zip(numbers, lm._loosened(lm._squeezed(*numbers, steps=2)), strict=True))
+        assert (lm._from_gaps(lm._gaps(numbers[0])) == numbers[0]).all()
+
+
 def test_lm_scores_repeated_documents_apart(spark):
     r, rows = np.random.default_rng(9), []
     for k in range(60):
