@@ -133,6 +133,8 @@ def lexemes(texts: DataFrame, column: str = "text", lexicon: Lexicon = Lexicon()
 
 # ---- expressions ---------------------------------------------------------------------------------------------------
 
+#: Words of a capital and small letters, apart from each other by characters without case. The ordinal signs count as small.
+TITLE = r"[^\p{Lu}\p{Lt}\p{Ll}ªº]*(?:[\p{Lu}\p{Lt}][\p{Ll}ªº]*(?:[^\p{Lu}\p{Lt}\p{Ll}ªº]+|\z))+"
 SPACE_CLASS = r"[\s\x1c-\x1f\x85\xa0]"
 
 
@@ -148,10 +150,9 @@ def like_num_col(t: F.Column, words: Iterable[str] = NUMBER_WORDS) -> F.Column:
 
 def flag_col(name: str, t: F.Column, lexicon: Lexicon = Lexicon()) -> F.Column:  # noqa: B008
     """One of FLAGS as an expression over a text column."""
-    letters = t.rlike(r"\p{L}")
     forms: dict[str, Callable[[], F.Column]] = {
         "is_alpha": lambda: t.rlike(r"^\p{L}+$"), "is_ascii": lambda: t.rlike(r"^[\x00-\x7F]+$"), "is_digit": lambda: t.rlike(r"^\p{Nd}+$"),
-        "is_lower": lambda: letters & (t == F.lower(t)), "is_upper": lambda: letters & (t == F.upper(t)), "is_title": lambda: t.rlike(r"^\P{L}*(?:\p{Lu}\p{Ll}*\P{L}*)+$"),
+        "is_lower": lambda: t.rlike(r"[\p{Ll}ªº]") & ~t.rlike(r"[\p{Lu}\p{Lt}]"), "is_upper": lambda: t.rlike(r"\p{Lu}") & ~t.rlike(r"[\p{Ll}\p{Lt}ªº]"), "is_title": lambda: t.rlike(rf"^(?:{TITLE})\z"),
         "is_punct": lambda: t.rlike(r"^\p{P}+$"), "is_space": lambda: t.rlike(f"^{SPACE_CLASS}+$"), "is_bracket": lambda: t.isin(*BRACKETS), "is_quote": lambda: t.isin(*QUOTES),
         "is_left_punct": lambda: t.isin(*LEFT_PUNCT), "is_right_punct": lambda: t.isin(*RIGHT_PUNCT), "is_currency": lambda: t.rlike(r"^\p{Sc}+$"),
         "is_stop": lambda: F.lower(t).isin(*sorted(lexicon.stop_words)), "like_num": lambda: like_num_col(t, lexicon.number_words), "like_email": lambda: t.rlike(EMAIL_START),

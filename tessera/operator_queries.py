@@ -154,6 +154,26 @@ def neural_features(spark, d):
     return _numbered(_words(spark, d), lambda t: ",".join(map(str, neural.feature_ids([t], [t.lower()])[0].tolist())))
 
 
+_LEXEME = ("text", "orth", "lower", "norm", "prefix", "suffix", "shape", "length", "has_vector", "is_alpha", "is_ascii", "is_digit", "is_lower", "is_upper", "is_title", "is_punct", "is_space", "is_currency", "is_bracket", "is_quote", "is_left_punct", "is_right_punct", "is_stop", "like_num")
+
+
+def _lexeme_sql() -> str:
+    from .queries import _BARE, _FLAGS_SQL, _SHAPE_SQL
+
+    signed = "CASE WHEN id >= 9223372036854775808 THEN (id::HUGEINT - 18446744073709551616)::BIGINT ELSE id::BIGINT END"
+    sets = {"is_bracket": lexical.BRACKETS, "is_quote": lexical.QUOTES, "is_left_punct": lexical.LEFT_PUNCT, "is_right_punct": lexical.RIGHT_PUNCT}
+    inside = ", ".join(f"text IN ({_IN(v)}) AS {k}" for k, v in sets.items())
+    number = f"regexp_full_match({_BARE}, '[0-9]+') OR regexp_full_match({_BARE}, '[0-9]+/[0-9]+') OR lower({_BARE}) IN ({_IN(lexical.NUMBER_WORDS)}) OR regexp_full_match(lower({_BARE}), '[0-9]+(st|nd|rd|th)')"
+    shape = f"CASE WHEN length(text) >= 100 THEN 'LONG' ELSE {_SHAPE_SQL} END AS shape"
+    return f"SELECT text, {signed} AS orth, lower(text) AS lower, lower(text) AS norm, left(text, 1) AS prefix, right(text, 3) AS suffix, {shape}, length(text)::INTEGER AS length, false AS has_vector, {_FLAGS_SQL}, {inside}, lower(text) IN ({_IN(sorted(lexical.STOP_WORDS))}) AS is_stop, {number} AS like_num FROM ids"
+
+
+@query("lexeme_dim", with_tok(_lexeme_sql(), hash_sql("tok")))
+def lexeme_dim(spark, d):
+    """The lexical record of every word, by the exact functions and not by expressions."""
+    return lexical.lexemes(tok(spark, d)).select(*_LEXEME)
+
+
 _ROWS = 7
 _TABLE = np.array([[r, r * r % 5] for r in range(_ROWS)], dtype=np.float32)
 _TAG_W = np.array([[1, 0, -1, 0, 0, 1, 0, 0], [0, 1, 0, -1, 1, 0, 0, 0], [0, 0, 1, 0, 0, 0, -1, 1]], dtype=np.float32)

@@ -91,19 +91,26 @@ def _lexical(name: str, columns: Callable[[F.Column], dict[str, F.Column]], sql_
     query(name, with_tok(f"SELECT text, n, {sql_columns} FROM (SELECT text, count(*) AS n FROM tok GROUP BY text)"))(run)
 
 
+#: A word is title-cased when no capital follows a letter of any case and no small letter anything else: no two cased
+#: letters meet but as a capital or small letter before a small one, and there is a capital.
+_TITLE_SQL = "(regexp_matches({0}, '[\\p{{Lu}}\\p{{Lt}}]') AND NOT regexp_matches({0}, '[\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}ªº][\\p{{Lu}}\\p{{Lt}}]|(^|[^\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}ªº])[\\p{{Ll}}ªº]'))"
 _SHAPE_SQL = "regexp_replace(regexp_replace(regexp_replace(text, '\\p{Lu}', 'X', 'g'), '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]', 'x', 'g'), '\\p{Nd}', 'd', 'g')"
 for _c in "Xxd":
     _SHAPE_SQL = f"regexp_replace({_SHAPE_SQL}, '{_c}{{5,}}', '{_c * 4}', 'g')"
 _lexical("lex_shape", lambda t: {"shape": lexical.shape_col(t)}, f"CASE WHEN length(text) >= 100 THEN 'LONG' ELSE {_SHAPE_SQL} END AS shape")
 _lexical("lex_prefix_suffix", lambda t: {"prefix": F.left(t, F.lit(1)), "suffix": F.right(t, F.lit(3))}, "left(text, 1) AS prefix, right(text, 3) AS suffix")
 _lexical("lex_lower", lambda t: {"lower": F.lower(t)}, "lower(text) AS lower")
+_FLAGS_SQL = (
+    "regexp_full_match(text, '\\p{L}+') AS is_alpha, regexp_full_match(text, '[\\x00-\\x7F]+') AS is_ascii, regexp_full_match(text, '\\p{Nd}+') AS is_digit,"
+    " regexp_matches(text, '[\\p{Ll}ªº]') AND NOT regexp_matches(text, '[\\p{Lu}\\p{Lt}]') AS is_lower, regexp_matches(text, '\\p{Lu}') AND NOT regexp_matches(text, '[\\p{Ll}\\p{Lt}ªº]') AS is_upper,"
+    f" {_TITLE_SQL.format('text')} AS is_title,"
+    " regexp_full_match(text, '\\p{P}+') AS is_punct, regexp_full_match(text, '\\s+') AS is_space,"
+    " regexp_full_match(text, '\\p{Sc}+') AS is_currency"
+)
 _lexical(
     "lex_flags",
     lambda t: {k: lexical.flag_col(k, t) for k in ("is_alpha", "is_ascii", "is_digit", "is_lower", "is_upper", "is_title", "is_punct", "is_space", "is_currency")},
-    "regexp_full_match(text, '\\p{L}+') AS is_alpha, regexp_full_match(text, '[\\x00-\\x7F]+') AS is_ascii, regexp_full_match(text, '\\p{Nd}+') AS is_digit,"
-    " regexp_matches(text, '\\p{L}') AND text = lower(text) AS is_lower, regexp_matches(text, '\\p{L}') AND text = upper(text) AS is_upper,"
-    " regexp_full_match(text, '\\P{L}*(\\p{Lu}\\p{Ll}*\\P{L}*)+') AS is_title, regexp_full_match(text, '\\p{P}+') AS is_punct, regexp_full_match(text, '\\s+') AS is_space,"
-    " regexp_full_match(text, '\\p{Sc}+') AS is_currency",
+    _FLAGS_SQL,
 )
 _lexical(
     "lex_brackets_quotes",
@@ -136,11 +143,6 @@ def lex_like_url(spark, d):
     return _chunks(spark, d).where(lexical.flag_col("like_url", F.col("text")))
 
 
-@query("lexeme_dim", with_tok("SELECT text, lower(text) AS lower, left(text, 1) AS prefix, right(text, 3) AS suffix, length(text)::INTEGER AS length, regexp_full_match(text, '\\p{L}+') AS is_alpha FROM (SELECT DISTINCT text FROM tok)"))
-def lexeme_dim(spark, d):
-    return lexical.lexemes(tok(spark, d)).select("text", "lower", "prefix", "suffix", "length", "is_alpha")
-
-
 # ---- predicates ----------------------------------------------------------------------------------------------------
 
 _MORPHS = (None, "", "Number=Plur", "Case=Acc,Nom|Number=Sing")
@@ -169,7 +171,7 @@ _predicate("pred_not_in", Constraint("lemma", "not_in", ("the", "")), "coalesce(
 _predicate("pred_subset", Constraint("lemma", "is_subset", ("the", "")), "coalesce(lemma, '') IN ('the', '')")
 _predicate("pred_superset", Constraint("lemma", "is_superset", ("the",)), "coalesce(lemma, '') = 'the'")
 _predicate("pred_intersects", Constraint("lemma", "intersects", ("of", "a")), "coalesce(lemma, '') IN ('of', 'a')")
-_predicate("pred_flag", Constraint("is_title", "flag", True), "regexp_full_match(text, '\\P{L}*(\\p{Lu}\\p{Ll}*\\P{L}*)+')")
+_predicate("pred_flag", Constraint("is_title", "flag", True), _TITLE_SQL.format("text"))
 _predicate("pred_length_cmp", Constraint("length", "compare", 7.5, ">"), "length(text) > 7.5")
 _predicate("pred_length_set", Constraint("length", "in_integers", (2, 3, 5)), "length(text) IN (2, 3, 5)")
 _predicate("pred_negated", Constraint("lower", "equals", "the"), "lower(text) = 'the'", negated=True)
@@ -189,7 +191,6 @@ def _item(attribute: str, kind: str, value, repetition: str = "once", **more) ->
 
 
 FUNCTION = ["the", "of", "and", "to", "a", "in"]
-_TITLE_SQL = "regexp_full_match({}, '\\P{{L}}*(\\p{{Lu}}\\p{{Ll}}*\\P{{L}}*)+')"
 
 
 def _fixed(name: str, items: list, sql: str) -> None:

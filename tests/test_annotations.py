@@ -306,3 +306,17 @@ def test_pipeline_and_store(spark, tmp_path):
     for bad in ("No", "missing"):
         with pytest.raises(ModelError):
             store.load(bad)
+
+
+def test_flag_expressions_equal_the_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.lexical import Lexicon, flag_col, flags
+
+    r = random.Random(23)
+    words = sorted({"".join(r.choice("aBé1É.ßXxª日(%-$") for _ in range(r.randint(1, 6))) for _ in range(3000)})
+    names = ("is_alpha", "is_ascii", "is_digit", "is_lower", "is_upper", "is_title", "is_punct", "is_space", "is_currency", "is_bracket", "is_stop", "like_num")
+    rows = spark.createDataFrame([(w,) for w in words], "text string").select("text", *[flag_col(n, F.col("text")).alias(n) for n in names]).collect()
+    for x in rows:
+        want = flags(x.text, Lexicon())
+        assert {n: x[n] for n in names} == {n: want[n] for n in names}, x
