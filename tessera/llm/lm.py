@@ -36,10 +36,10 @@ ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: A word that fills this much of a partition is hot.
-HOT = 0.75
+HOT = 1.0
 BLOCK_BYTES = 12 << 20
 BLOCK_DOCS = 1 << 16
-PART_WORDS = 2_000_000
+PART_WORDS = 1_500_000
 MICRO = 1_000_000
 CODEC = "zstd"
 #: Most bytes of a word that are taken from the word before.
@@ -207,6 +207,8 @@ _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.in
 
 
 def _table(rows: list[dict]) -> pa.Table:
+    """Rows as a kernel's result; what Arrow holds of earlier groups goes back to the system."""
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_pylist(rows, _SCHEMA)
 
 
@@ -378,13 +380,14 @@ def _scored(parts: int, order: int, min_count: int, backoff: float, total_words:
         size = [len(b[0]) for b in bodies]
         kind = np.repeat(np.array([r["kind"] for r in rows], dtype=np.int8), size)
         # Each row lists its distinct words' counts in the order of their numbers.
-        single = np.concatenate([_from_gaps(b[order])[np.unique(b[1], return_inverse=True)[1]] for b in bodies])
+        single = np.concatenate([_from_gaps(b[order])[np.unique(b[1], return_inverse=True)[1]].astype(np.int32 if total_words < 1 << 31 else np.int64) for b in bodies])
+        after = np.concatenate([b[order + 3] if r["kind"] == 3 else np.zeros(len(b[0]), np.int32) for r, b in zip(rows, bodies, strict=True)])
+        where = [(r["block"], len(b[0]), b[order + 1], b[order + 2]) for r, b in zip(rows, bodies, strict=True)]
+        del bodies, rows
         # n-grams by the word before, the word, and the words before these; contexts without the word.
         grams = _levels(_order(kind, c, w, *more), [kind, c, w, *more], n, 3)
         contexts = _levels(_order(kind, c, *more), [kind, c, *more], n, 2)
-        if (kind == 3).any():
-            contexts[0] = contexts[0].astype(np.int64)
-            contexts[0][kind == 3] = np.concatenate([b[order + 3] if r["kind"] == 3 else np.zeros(0, np.int64) for r, b in zip(rows, bodies, strict=True)])
+        contexts[0] = np.where(kind == 3, after, contexts[0])
         one = micro(backoff)
         value = micro(single) - micro(max(1, total_words))
         mine = kind != 2
@@ -397,12 +400,13 @@ def _scored(parts: int, order: int, min_count: int, backoff: float, total_words:
                 # A hot word's n-grams are scored by their contexts where the trigram is frequent, else by their last words.
                 mine = np.where(kind == 2, seen, (kind == 1) | ~seen)
         at = 0
-        for r, b in zip(rows, bodies, strict=True):
-            own = slice(at, at + len(b[0]))
-            at += len(b[0])
-            use = np.repeat(mine[own], b[order + 1])
+        sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for block, count, runs, doc in where:
+            use = np.repeat(mine[at : at + count], runs)
             if use.any():
-                out.append(_sums(r["block"], b[order + 2][use], np.repeat(value[own], b[order + 1])[use], parts))
+                sums.setdefault(block, []).append((doc[use], np.repeat(value[at : at + count], runs)[use]))
+            at += count
+        out += [_sums(block, *map(np.concatenate, zip(*found)), parts) for block, found in sums.items()]
         return _table(out)
 
     return kernel
@@ -433,7 +437,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
         raise ValueError("the model has at least bigrams")
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # vocabularies are a small part of the texts
     blocks = stored(slim.mapInArrow(_blocks(spread, BLOCK_BYTES), _ROW + ", n bigint"), "blocks")
     words = blocks.agg(F.sum("n")).first()[0] or 0
     blocks = blocks.drop("n")
