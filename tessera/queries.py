@@ -716,10 +716,10 @@ def tokenize_rules(spark, d):
 @query("snapshot_roundtrip", "SELECT doc_id, strlen(text)::BIGINT AS bytes, true AS same FROM documents")
 def snapshot_roundtrip(spark, d):
     """Documents to snapshots and back: the text's bytes, and whether text and tokens came back unchanged."""
-    docs = tokenize_regex_docs(docs_of(spark, d))
-    back = snapshot.from_snapshot(snapshot.to_snapshot(docs)).select("doc_id", F.col("text").alias("t2"), F.to_json("tokens").alias("k2"))
-    both = docs.select("doc_id", "text", F.to_json("tokens").alias("k1")).join(back, "doc_id")
-    return both.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), ((F.col("text") == F.col("t2")) & (F.col("k1") == F.col("k2"))).alias("same"))
+    rows = snapshot.to_snapshot(tokenize_regex_docs(docs_of(spark, d)), keep=("text", "tokens"))
+    back = snapshot.from_snapshot(rows, keep={"text": "text_before", "tokens": "tokens_before"})
+    same = F.col("text_before").eqNullSafe(F.col("text")) & F.to_json("tokens_before").eqNullSafe(F.to_json("tokens"))
+    return back.select("doc_id", F.octet_length("text_before").cast("long").alias("bytes"), same.alias("same"))
 
 
 @query("snapshot_validate", "SELECT doc_id, 'json' AS error_code FROM documents WHERE doc_id % 10 = 0 AND length(text) > 0")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +24,18 @@ def version_column() -> F.Column:
     return F.when(F.size(F.coalesce("span_groups", F.array().cast(f"array<{GROUP}>"))) > 0, 4).when(ids, 3).when(F.size(F.coalesce("tensor", F.array().cast(DOC["tensor"]))) > 0, 2).otherwise(1)
 
 
-def to_snapshot(docs: DataFrame) -> DataFrame:
-    """doc_id, snapshot: nulls inside are left out, as unavailable annotations are."""
+def to_snapshot(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, snapshot: nulls inside are left out, as unavailable annotations are. Columns of the model in keep follow."""
     body = F.struct(*[F.col(c) for c in DOC if c != "doc_id"])
-    return with_doc_columns(docs).select("doc_id", F.to_json(F.struct(version_column().alias("format_version"), body.alias("document"))).alias("snapshot"))
+    made = F.to_json(F.struct(version_column().alias("format_version"), body.alias("document"))).alias("snapshot")
+    return with_doc_columns(docs).select("doc_id", made, *keep)
 
 
-def from_snapshot(rows: DataFrame, column: str = "snapshot") -> DataFrame:
-    """Documents of a JSON column; a malformed one has a null text."""
+def from_snapshot(rows: DataFrame, column: str = "snapshot", keep: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+    """Documents of a JSON column; a malformed one has a null text. Columns of rows follow under their names in keep."""
     parsed = F.from_json(F.col(column), SNAPSHOT_DDL)
-    return with_doc_columns(rows.select("doc_id", parsed.alias("s")).select("doc_id", "s.document.*"))
+    held = rows.select("doc_id", parsed.alias("s"), *[F.col(c).alias(n) for c, n in keep.items()])
+    return held.select("doc_id", *[F.col(f"s.document.{c}").alias(c) for c in DOC if c != "doc_id"], *keep.values())
 
 
 def validate(doc: Mapping, version: int | None = None) -> None:

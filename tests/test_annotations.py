@@ -320,3 +320,15 @@ def test_flag_expressions_equal_the_functions(spark):
     for x in rows:
         want = flags(x.text, Lexicon())
         assert {n: x[n] for n in names} == {n: want[n] for n in names}, x
+
+
+def test_round_trip_within_rows(spark, tmp_path):
+    """Each row of the documents meets its own snapshot: repeated ids give no pairs, and nothing is exchanged or broadcast."""
+    from tessera.queries import QUERIES
+
+    rows = [(7, "one two"), (7, "one two"), (7, "Zürich, 3"), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    back = QUERIES["snapshot_roundtrip"](spark, str(tmp_path))
+    assert sorted(map(tuple, back.collect())) == sorted((k, len(t.encode()), True) for k, t in rows)
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "from_json" in plan
