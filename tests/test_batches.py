@@ -102,7 +102,7 @@ def test_rulers_of_batches(make_doc):
         assert [g["entities"] for g in step(batches.from_rows([d for d, _ in good])).rows()] == [w["entities"] for _, w in good]
 
 
-@pytest.mark.parametrize("name", ["er_overwrites", "er_keeps_entities"])
+@pytest.mark.parametrize("name", ["er_overwrites", "er_keeps_entities", "sr_entities"])
 def test_rulers_in_one_kernel(spark, name):
     from tessera.queries import QUERIES
 
