@@ -7,13 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..errors import ModelError
-from ..functions.hashing import string_id, table_keys
+from ..functions.hashing import string_id, string_ids, table_keys
 from ..functions.lexical import shape
 from ..schema import DOC, DOC_DDL
 from .annotators import sentences_of
+from .batches import Batch, Coded, list_sizes, lists_of, stepped
 from .entities import with_tags
 from .kernels import per_document, texts_of
 
@@ -22,8 +24,12 @@ Array = np.ndarray
 
 def feature_ids(texts: Sequence[str], norms: Sequence[str], symbols: Mapping[str, int] | None = None) -> Array:
     """Unsigned ids of norm, first character, last three characters and shape, one row a token."""
-    cols = [(n, t[:1], t[-3:], shape(t)) for t, n in zip(texts, norms, strict=True)]
-    return np.array([[string_id(x, symbols) for x in c] for c in cols], dtype=np.uint64).reshape(-1, 4)
+    columns = (norms, [t[:1] for t in texts], [t[-3:] for t in texts], list(map(shape, texts)))
+    out = np.zeros((len(texts), 4), dtype=np.uint64)
+    for k, column in enumerate(columns):
+        number = {x: i for i, x in enumerate(dict.fromkeys(column))}
+        out[:, k] = string_ids(list(number), symbols)[np.fromiter(map(number.__getitem__, column), dtype=np.int64, count=len(texts))]
+    return out
 
 
 FEATURES: dict[str, Callable[[str, str, bool], str | int]] = {
@@ -75,12 +81,16 @@ def encode(x: Array, layers: Sequence[EncoderLayer]) -> Array:
     return x[pad : len(x) - pad]
 
 
-def tag(x: Array, w: Array, b: Array, labels: Sequence[str]) -> list[str]:
-    """The best label of each row; the first of equals."""
+def best_labels(x: Array, w: Array, b: Array) -> Array:
+    """The number of the best label of each row; the first of equals."""
     scores = x @ w.T + b
     if not np.isfinite(scores).all():
         raise ModelError("a score is not finite")
-    return [labels[i] for i in scores.argmax(axis=1)]
+    return scores.argmax(axis=1)
+
+
+def tag(x: Array, w: Array, b: Array, labels: Sequence[str]) -> list[str]:
+    return [labels[i] for i in best_labels(x, w, b)]
 
 
 @dataclass(frozen=True)
@@ -253,16 +263,53 @@ def _staged(docs: DataFrame, f: Callable[[dict, Array, list[str]], dict]) -> Dat
     return per_document(docs.select(*DOC), run, DOC_DDL)
 
 
+def _distinct(*columns: Coded) -> tuple[Array, Array]:
+    """Where each distinct combination of columns first is, and the number of the one at each place."""
+    key = np.zeros(len(columns[0].codes), dtype=np.int64)
+    for c in columns:
+        key = key * (len(c.values) + 1) + c.codes + 1
+    _, at, number = np.unique(key, return_index=True, return_inverse=True)
+    return at, number
+
+
+def _norms(batch: Batch) -> tuple[Coded, Coded]:
+    """Texts and norms of all tokens; a missing norm is the lower-case text."""
+    texts, norms = Coded.of(batch.words), Coded.of(batch.fields["norm"])
+    lacks = np.flatnonzero((norms.codes < 0) | (norms.codes == norms.code("")))
+    if len(lacks):
+        lower = np.array([norms.code(t.lower()) for t in texts.values], dtype=np.int64)
+        norms.codes[lacks] = lower[texts.codes[lacks]]
+    return texts, norms
+
+
+def _with_tensor(batch: Batch, x: Array) -> Batch:
+    flat = lists_of(np.full(len(x), x.shape[1]), pa.array(np.ascontiguousarray(x, dtype=np.float32).reshape(-1)))
+    return batch.changed({"tensor": lists_of(batch.sizes, flat)})
+
+
+def _tensor(batch: Batch) -> Array | None:
+    """The tensor's rows of all tokens; None where they aren't one row of one width for each."""
+    lists = batch.columns["tensor"]
+    rows = lists.flatten()
+    width = list_sizes(rows)
+    if not np.array_equal(list_sizes(lists), batch.sizes) or len(set(width.tolist())) != 1 or rows.null_count or rows.flatten().null_count:
+        return None
+    return np.asarray(rows.flatten(), dtype=np.float32).reshape(len(rows), -1)
+
+
 def tok2vec_stage(tables: Sequence[Array], seeds: Sequence[int], layers: Sequence[EncoderLayer] = (), symbols: Mapping[str, int] | None = None) -> Callable[[DataFrame], DataFrame]:
-    """Fills the tensor: embedded features of every token, encoded in their windows."""
+    """Fills the tensor: embedded features of every token, encoded in their windows. A distinct token is embedded once."""
 
-    def one(d: dict, _: Array, texts: list[str]) -> dict:
-        if not texts:
-            return dict(d, tensor=[])
-        x = hash_embed(feature_ids(texts, [t["norm"] or s.lower() for t, s in zip(d["tokens"], texts, strict=True)], symbols), tables, seeds).astype(np.float32)
-        return dict(d, tensor=encode(x, layers).tolist())
+    def step(batch: Batch) -> Batch:
+        texts, norms = _norms(batch)
+        at, number = _distinct(texts, norms)
+        ids = feature_ids([texts.values[k] for k in texts.codes[at].tolist()], [norms.values[k] for k in norms.codes[at].tolist()], symbols)
+        x = hash_embed(ids, tables, seeds).astype(np.float32)[number]
+        if layers and len(x):
+            x = np.vstack([encode(x[a : a + n], layers) for a, n in zip(batch.first.tolist(), batch.sizes.tolist()) if n])
+        return _with_tensor(batch, x)
 
-    return lambda docs: _staged(docs, one)
+    return lambda docs: stepped(docs, step)
 
 
 #: Token texts, norms and whether a blank follows, to a row for each token.
@@ -280,7 +327,18 @@ def encoder_stage(encoded: Encoded) -> Callable[[DataFrame], DataFrame]:
 
 def tagger_stage(w: Array, b: Array, labels: Sequence[str], field: str = "tag") -> Callable[[DataFrame], DataFrame]:
     """Sets the field of every token to its best label."""
-    return lambda docs: _staged(docs, lambda d, x, _: dict(d, tokens=[dict(t, **{field: v}) for t, v in zip(d["tokens"] or [], tag(x, w, b, labels) if len(x) else [], strict=True)]))
+    names = pa.array(list(labels), pa.string())
+
+    def step(batch: Batch) -> Batch:
+        x = _tensor(batch)
+        if x is None:  # of each document by itself
+            parts = [np.array(t or [], dtype=np.float32).reshape(n, -1) for t, n in zip(batch.columns["tensor"].to_pylist(), batch.sizes.tolist()) if n]
+            best = [best_labels(p, w, b) for p in parts]
+        else:
+            best = [best_labels(x, w, b)]
+        return batch.changed(fields={field: names.take(pa.array(np.concatenate([np.zeros(0, np.int64), *best])))})
+
+    return lambda docs: stepped(docs, step)
 
 
 def parser_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:

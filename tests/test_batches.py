@@ -108,3 +108,35 @@ def test_rulers_in_one_kernel(spark, name):
 
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "tensor" not in plan
+
+
+def test_embedding_and_tags_of_batches(make_doc, monkeypatch):
+    """Ids, tensors and tags of a batch against those of one document, token by token."""
+    import numpy as np
+
+    from tessera.functions.hashing import string_id, string_ids
+    from tessera.functions.lexical import shape
+    from tessera.operators import neural
+
+    r, g = random.Random(4), np.random.default_rng(4)
+    texts = ["", *("".join(r.choice("aZ9é߀-") for _ in range(r.randint(1, 40))) for _ in range(300)), "x" * 120]
+    assert string_ids(texts, {"x": 3}).tolist() == [string_id(t, {"x": 3}) for t in texts]
+    one = lambda t, n: [string_id(x) for x in (n, t[:1], t[-3:], shape(t))]
+    assert neural.feature_ids(texts, [t.lower() for t in texts]).tolist() == [one(t, t.lower()) for t in texts]
+
+    table, seeds = g.integers(-3, 4, (7, 2)).astype(np.float32), [3, 4, 5, 6]
+    layer = neural.EncoderLayer(g.integers(-2, 3, (8, 2, 24)).astype(np.float32), np.zeros((8, 2), np.float32), np.ones(8, np.float32), np.zeros(8, np.float32))
+    w, b = g.integers(-2, 3, (3, 8)).astype(np.float32), np.array([0, 1, -1], np.float32)
+    docs = [make_doc([r.choice(texts[1:]) for _ in range(n)]) | {"doc_id": n} for n in (3, 0, 5, 1)]
+    docs[0]["tokens"][0]["norm"], docs[0]["tokens"][1]["norm"] = None, "other"
+    for layers in ((), (layer,)):
+        steps = []
+        monkeypatch.setattr(neural, "stepped", lambda _, step: steps.append(step))
+        neural.tok2vec_stage([table] * 4, seeds, layers)(None)
+        neural.tagger_stage(w, b, ["A", "B", "C"])(None)
+        got = steps[1](steps[0](batches.from_rows(docs))).rows()
+        for d, out in zip(docs, got):
+            words = [d["text"].encode()[t["start"] : t["end"]].decode() for t in d["tokens"]]
+            norms = [t["norm"] or x.lower() for t, x in zip(d["tokens"], words)]
+            x = neural.encode(neural.hash_embed(neural.feature_ids(words, norms), [table] * 4, seeds).astype(np.float32), layers) if words else np.zeros((0, 8), np.float32)
+            assert out["tensor"] == x.tolist() and [t["tag"] for t in out["tokens"]] == neural.tag(x, w, b, ["A", "B", "C"])
