@@ -26,7 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked at a five-word Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash fingerprints within two bits bring candidates by the grid of operator 9,
+    min-hashes those that differ in more bits, and a five-word Jaccard similarity of 0.8 or more links them."""
     ship(spark)
     return simhash.keep_one(docs)
 

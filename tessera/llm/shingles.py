@@ -10,7 +10,7 @@ returns a spanning forest of its links, so the output is linear in the sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,17 +76,21 @@ def _long(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
 
 
-def identities(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (names the set of shingles), its size n and bands of every row; a null text is empty."""
+def identities(docs: DataFrame, fingerprint: Callable[[bytes], int] | None = None) -> DataFrame:
+    """doc_id, fp (names the set of shingles), its size n and bands of every row, and its fingerprint as `print` if there is a
+    function for it; a null text is empty."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, PIECE):
-            sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(x) for x in texts]
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.zeros(0, np.uint64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _long([set_id(s) for s in sets]), pa.array(map(len, sets), pa.int64()), bands], ["doc_id", "fp", "n", "bands"])
+            more = {"print": _long([fingerprint(x) for x in texts])} if fingerprint else {}
+            yield pa.RecordBatch.from_arrays([batch.column(0), _long([set_id(s) for s in sets]), pa.array(map(len, sets), pa.int64()), bands, *more.values()], ["doc_id", "fp", "n", "bands", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(kernel, "doc_id bigint, fp bigint, n bigint, bands array<bigint>")
+    ddl = "doc_id bigint, fp bigint, n bigint, bands array<bigint>" + (", print bigint" if fingerprint else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(kernel, ddl)
 
 
 def named_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ gets a whole hot cell. A block pair returns a spanning forest of its links and n
 the nodes. Components come from rounds of alternating star contractions over that forest, each round stored. Joins on a
 hot fingerprint or a star's centre have a side of distinct keys, so adaptive execution can split them.
 
-near_duplicates and keep_one, which the pipeline uses, link by five-word shingle sets (shingles.py) and not by fingerprints.
+near_duplicates and keep_one, which the pipeline uses, take the links of fingerprints over five-word shingles as candidates,
+with those of the sets' min-hashes (shingles.py) beside them, since near copies at a similarity of 0.8 differ in more bits than
+a grid can bridge. The similarity of the sets, checked exactly, decides.
 """
 
 from __future__ import annotations
@@ -249,6 +251,18 @@ def fingerprint_components(docs: DataFrame, shingle: int = SHINGLE, distance: in
     return _classes(fps, links(fps.select("fp").distinct(), distance))
 
 
+def fingerprint_candidates(ids: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """a, b: links that join every two sets (fp) of ids (fp, print) whose fingerprints are within `distance` bits, directly or
+    through others: the grid's links of the distinct fingerprints, and of each fingerprint's sets the least with every other."""
+    pairs = stored(ids.select("print", "fp").distinct(), "prints")
+    least = stored(pairs.groupBy("print").agg(F.min("fp").alias("least")), "least-sets")
+    same = pairs.join(least, "print").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    found = links(least.select(F.col("print").alias("fp")), distance)
+    side = lambda c: least.select(F.col("print").alias(c), F.col("least").alias(f"{c}_set"))
+    near = found.join(side("a"), "a").join(side("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    return same.unionByName(near.where("a <> b")).distinct()
+
+
 @tidy
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (names the set of shingles), group (an fp that names the component) and component_id for every row of docs.
@@ -256,9 +270,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts link where the Jaccard similarity of their sets of five-word shingles is 0.8 or more, checked exactly; component_id
     and odd rows are as in fingerprint_components.
     """
-    ids = stored(shingles.identities(docs), "shingles")
+    ids = stored(shingles.identities(docs, lambda x: fingerprint(x, shingles.WORDS)), "shingles")
     nodes = ids.select("fp", "n", "bands").dropDuplicates(["fp"])
-    coarse = stored(components(shingles.candidates(nodes)), "candidates")
+    coarse = stored(components(fingerprint_candidates(ids).unionByName(shingles.candidates(nodes))), "candidates")
     return _classes(ids.select("doc_id", "fp"), shingles.exact_links(docs, nodes, coarse))
 
 

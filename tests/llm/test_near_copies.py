@@ -72,3 +72,25 @@ def test_blocks_dont_matter(spark):
     coarse = simhash.components(shingles.candidates(nodes))
     group = lambda *block: {x.node: x.root for x in simhash.components(shingles.exact_links(docs, nodes, coarse, *block)).collect()}
     assert group(16) == group(256) == group(256, 3000) != {}
+
+
+def test_fingerprints_bring_candidates(spark, monkeypatch):
+    """Fingerprints within two bits by the grid are candidates by themselves, and the stage takes them."""
+    r, rows = np.random.default_rng(6), []
+    for k in range(30):
+        words = [f"w{x}" for x in r.integers(0, 5000, 600)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(words, {300} if k % 2 else {}) + (" again" if not k % 3 else ""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {i: (simhash.fingerprint(t.encode(), 5), shingles.set_id(shingles.shingle_set(t.encode()))) for i, t in rows}
+    near = [(a, b) for a in of for b in of if a < b and (of[a][0] ^ of[b][0]).bit_count() <= 2 and of[a][1] != of[b][1]]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ids = shingles.identities(docs, lambda x: simhash.fingerprint(x, 5))
+    root = {x.node: x.root for x in simhash.components(simhash.fingerprint_candidates(ids)).collect()}
+    for a, b in near:
+        x, y = (signed(of[i][1]) for i in (a, b))
+        assert root.get(x, x) == root.get(y, y)
+    assert len(near) > 3
+    none = shingles.candidates
+    monkeypatch.setattr(shingles, "candidates", lambda nodes: none(nodes).where("false"))
+    group = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()}
+    assert all(group[a] == group[b] for a, b in near)
