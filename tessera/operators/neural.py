@@ -15,7 +15,7 @@ from ..functions.hashing import string_id, string_ids, table_keys
 from ..functions.lexical import shape
 from ..schema import DOC, DOC_DDL
 from .annotators import sentences_of
-from .batches import Batch, Coded, list_sizes, lists_of, stepped
+from .batches import Batch, Coded, list_sizes, lists_of, ranges, stepped
 from .entities import with_tags
 from .kernels import per_document, texts_of
 
@@ -203,6 +203,134 @@ def parse(x: Array, scorer: Scorer, actions: Sequence[str]) -> tuple[list[int],
     return [state.head.get(i, i) for i in range(state.n)], state.label, sorted(state.starts)
 
 
+class ArcsOfBatch:
+    """Parses under way of many documents in step, by the rules of Arcs. Tokens are numbered over all documents; one more, the last
+    number, stands for none. Stacks and waiting tokens are stretches of arrays, children are linked lists by head and side."""
+
+    def __init__(self, sizes: Array) -> None:
+        n = self.none = int(sizes.sum())
+        self.first = np.cumsum(sizes) - sizes
+        self.end = self.first + sizes
+        full = lambda v, shape, t=np.int64: np.full(shape, v, dtype=t)
+        self.stack, self.depth = full(n, n + 1), self.first.copy()  # the end of each document's stretch
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.waiting = np.append((self.first + self.end - 1)[doc] - np.arange(n), n)
+        self.left = self.end.copy()
+        self.back, self.starts = full(False, n + 1, bool), full(False, n + 1, bool)
+        self.starts[self.first[sizes > 0]] = True
+        self.starts[n] = True
+        self.head, self.label = full(-1, n + 1), full(-1, n + 1)
+        self.newest = full(n, (2, n + 1))  # by side (1 to the left of the head) and head
+        self.older, self.younger = full(n, n + 1), full(n, n + 1)
+
+    def at(self, array: Array, top: Array, low: Array, k: int) -> Array:
+        """The k-th from the end of a stretch, or none."""
+        i = top - 1 - k
+        return np.where(i >= low, array[i], self.none)
+
+    def attach(self, child: Array, head: Array, label: Array) -> None:
+        none = self.none
+        again = self.head[child] >= 0
+        if again.any():
+            c = child[again]
+            old, older, younger = self.head[c], self.older[c], self.younger[c]
+            side = (c < old).astype(np.int64)
+            last = younger == none
+            self.newest[side[last], old[last]] = older[last]
+            self.older[younger[~last]] = older[~last]
+            has = older != none
+            self.younger[older[has]] = younger[has]
+        side = (child < head).astype(np.int64)
+        before = self.newest[side, head]
+        self.older[child], self.younger[child] = before, none
+        has = before != none
+        self.younger[before[has]] = child[has]
+        self.newest[side, head] = child
+        self.head[child], self.label[child] = head, label
+
+
+def parse_batch(xs: Sequence[Array], scorer: Scorer, actions: Sequence[str]) -> tuple[Array, Array, Array]:
+    """parse() of many documents in step: heads (places in their documents), numbers of the actions that gave the labels (-1 for
+    ROOT) and whether a sentence starts, for all tokens of all documents."""
+    order = sorted(range(len(xs)), key=lambda k: -len(xs[k]))
+    sizes = np.array([len(xs[k]) for k in order], dtype=np.int64)
+    state, slots = ArcsOfBatch(sizes), scorer.lower.shape[0]
+    none, first, end = state.none, state.first, state.end
+    held = [scorer.prepared(xs[k]) for k in order]
+    rows = np.concatenate([h[:-1] for h in held] + [scorer.pad[None]]) if held else None
+    kinds = [a.partition("-")[0] for a in actions]
+    kind_of = np.array(["SDBLR".find(k) if len(k) == 1 else -1 for k in kinds], dtype=np.int64)
+    steps = 4 * sizes * (sizes + 10)
+    live = np.flatnonzero(sizes > 0)
+    done = 0
+    while len(live):
+        if (steps[live] <= done).any():
+            raise ModelError("too many transitions")
+        done += 1
+        low, depth, left = first[live], state.depth[live], state.left[live]
+        b, after, s = state.at(state.waiting, left, low, 0), state.at(state.waiting, left, low, 1), state.at(state.stack, depth, low, 0)
+        getters = (lambda: b, lambda: after, lambda: s, lambda: state.at(state.stack, depth, low, 1), lambda: state.at(state.stack, depth, low, 2),
+                   lambda: state.newest[1, b], lambda: state.newest[1, s], lambda: state.newest[0, s])  # fmt: skip  # noqa: B023
+        hidden = 0
+        for k in range(min(slots, len(getters))):
+            hidden = hidden + rows[getters[k](), k]
+        hidden = (scorer.bias + hidden).max(axis=2)
+        scores = np.matmul(scorer.upper, hidden[:, :, None])[:, :, 0] + scorer.upper_bias
+        if not np.isfinite(scores).all():
+            raise ModelError("a score is not finite")
+        no_s, no_b, more = s == none, b == none, after != none
+        free = ~state.starts[b]  # none counts as a start
+        allowed = np.zeros((6, len(live)), dtype=bool)  # the last one for unknown kinds
+        allowed[0] = no_s & ~no_b | ~no_s & more & free & ~state.back[b]
+        allowed[1] = ~no_s
+        allowed[2] = more & (after == b + 1) & ~state.starts[after]
+        allowed[3] = allowed[4] = ~no_s & free
+        valid = allowed[kind_of].T
+        if not valid.any(axis=1).all():
+            raise ModelError("no action is valid")
+        best = np.where(valid, scores, -np.inf).argmax(axis=1)
+        kind = kind_of[best]
+
+        x = kind == 2
+        if x.any():
+            state.starts[after[x]] = True
+        x = kind == 1
+        if x.any():
+            d, v = live[x], s[x]
+            state.depth[d] -= 1
+            again = (state.head[v] < 0) & (state.depth[d] > first[d])  # without a head it waits again
+            if again.any():
+                d, v = d[again], v[again]
+                state.waiting[state.left[d]] = v
+                state.left[d] += 1
+                state.back[v] = True
+        x = kind == 3
+        if x.any():
+            state.depth[live[x]] -= 1
+            state.attach(s[x], b[x], best[x])
+            state.back[b[x]] = False
+        x = kind == 4
+        if x.any():
+            state.attach(b[x], s[x], best[x])
+        x = (kind == 0) | (kind == 4)
+        if x.any():
+            d = live[x]
+            state.left[d] -= 1
+            state.stack[state.depth[d]] = b[x]
+            state.depth[d] += 1
+        over = (state.depth[live] == first[live]) & (state.left[live] == first[live])
+        if over.any():
+            live = live[~over]
+    # Back to the order and the places of the documents.
+    place = np.empty(len(xs), dtype=np.int64)
+    place[order] = np.arange(len(xs))
+    own = np.array([len(x) for x in xs], dtype=np.int64)
+    _, at = ranges(first[place], own) if len(xs) else (None, np.zeros(0, np.int64))
+    base = np.repeat(first[place], own) if len(xs) else at
+    heads = np.where(state.head[at] >= 0, state.head[at], at) - base
+    return heads, state.label[at], state.starts[at]
+
+
 def deprojectivize(heads: Sequence[int], labels: Sequence[str], spaces: Sequence[bool]) -> tuple[list[int], list[str]]:
     """A label `dep||head label` moves its token to the first token below its head, breadth first, with that label; white space is
     passed over, and so is the token itself."""
@@ -355,6 +483,28 @@ def parser_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame]
     return lambda docs: _staged(docs, one)
 
 
+#: Bytes of a batch's context rows and states in parse_batch, and of a token's state alone.
+PARSED, STATE = 1 << 27, 100
+
+
+def most_parsed(scorer: Scorer) -> int:
+    """How many tokens parse_batch gets at once: many, since its steps are as many as those of the longest document."""
+    return PARSED // (STATE + 4 * int(np.prod(scorer.lower.shape[:3])))
+
+
+def arcs_stage(scorer: Scorer, actions: Sequence[str], rows: Callable[[Batch], Array]) -> Callable[[DataFrame], DataFrame]:
+    """Sets heads and labels alone, from the rows of all tokens."""
+    names = pa.array([*(a.partition("-")[2] for a in actions), "ROOT"], pa.string())
+
+    def step(batch: Batch) -> Batch:
+        x = rows(batch)
+        heads, labels, _ = parse_batch([x[a : a + n] for a, n in zip(batch.first.tolist(), batch.sizes.tolist())], scorer, actions)
+        return batch.changed(fields={"head": pa.array(heads.astype(np.int32)), "dep": names.take(pa.array(np.where(labels < 0, len(actions), labels)))})
+
+    step.most = most_parsed(scorer)
+    return lambda docs: stepped(docs, step)
+
+
 def ner_stage(scorer: Scorer, actions: Sequence[str], encoded: Encoded | None = None) -> Callable[[DataFrame], DataFrame]:
     """Sets the entity tags and the entities, from the tensor or an encoding of its own; entities end with their sentence."""
 

@@ -140,3 +140,38 @@ def test_embedding_and_tags_of_batches(make_doc, monkeypatch):
             norms = [t["norm"] or x.lower() for t, x in zip(d["tokens"], words)]
             x = neural.encode(neural.hash_embed(neural.feature_ids(words, norms), [table] * 4, seeds).astype(np.float32), layers) if words else np.zeros((0, 8), np.float32)
             assert out["tensor"] == x.tolist() and [t["tag"] for t in out["tokens"]] == neural.tag(x, w, b, ["A", "B", "C"])
+
+
+def test_parses_of_batches():
+    """Many documents in step against one at a time, with all kinds of actions, re-attached and put back tokens."""
+    import numpy as np
+
+    from tessera.operators import neural
+
+    g = np.random.default_rng(12)
+    ended = 0
+    for trial in range(40):
+        slots, hidden, width = int(g.integers(1, 9)), 3, 4
+        whole = lambda *shape: g.integers(-4, 5, shape).astype(np.float32)
+        actions = ["S", "D", "L-a", "R-a", "L-b", "R-b", "B"]
+        scorer = neural.Scorer(whole(slots, hidden, 2, width), whole(slots, hidden, 2), whole(hidden, 2), whole(7, hidden), whole(7))
+        xs = [whole(int(n), width) for n in g.integers(0, 14, 12)]
+        want = [outcome(lambda x=x: neural.parse(x, scorer, actions)) for x in xs]
+        good = [k for k, w in enumerate(want) if len(w) == 3]
+        heads, labels, starts = neural.parse_batch([xs[k] for k in good], scorer, actions)
+        at = 0
+        for k in good:
+            n = len(xs[k])
+            names = [actions[i].partition("-")[2] if i >= 0 else "ROOT" for i in labels[at : at + n].tolist()]
+            assert (heads[at : at + n].tolist(), names, np.flatnonzero(starts[at : at + n]).tolist()) == want[k]
+            at, ended = at + n, ended + 1
+        for w in (w for w in want if len(w) == 2):
+            assert outcome(lambda: neural.parse_batch(xs, scorer, actions))[0] == w[0]  # noqa: B023
+    assert ended > 200
+
+
+def test_parser_query_in_one_kernel(spark):
+    from tessera.queries import QUERIES
+
+    plan = QUERIES["neural_parser"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "tensor" not in plan
