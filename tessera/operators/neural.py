@@ -15,7 +15,7 @@ from ..functions.hashing import string_id, string_ids, table_keys
 from ..functions.lexical import shape
 from ..schema import DOC, DOC_DDL
 from .annotators import sentences_of
-from .batches import Batch, Coded, list_sizes, lists_of, ranges, stepped
+from .batches import SCHEMA, Batch, Coded, distinct, list_sizes, lists_of, ranges, spans_of, stepped
 from .entities import with_tags
 from .kernels import per_document, texts_of
 
@@ -256,8 +256,7 @@ def parse_batch(xs: Sequence[Array], scorer: Scorer, actions: Sequence[str]) ->
     sizes = np.array([len(xs[k]) for k in order], dtype=np.int64)
     state, slots = ArcsOfBatch(sizes), scorer.lower.shape[0]
     none, first, end = state.none, state.first, state.end
-    held = [scorer.prepared(xs[k]) for k in order]
-    rows = np.concatenate([h[:-1] for h in held] + [scorer.pad[None]]) if held else None
+    rows = np.concatenate([*(scorer.prepared(xs[k])[:-1] for k in order if len(xs[k])), scorer.pad[None]])
     kinds = [a.partition("-")[0] for a in actions]
     kind_of = np.array(["SDBLR".find(k) if len(k) == 1 else -1 for k in kinds], dtype=np.int64)
     steps = 4 * sizes * (sizes + 10)
@@ -391,15 +390,6 @@ def _staged(docs: DataFrame, f: Callable[[dict, Array, list[str]], dict]) -> Dat
     return per_document(docs.select(*DOC), run, DOC_DDL)
 
 
-def _distinct(*columns: Coded) -> tuple[Array, Array]:
-    """Where each distinct combination of columns first is, and the number of the one at each place."""
-    key = np.zeros(len(columns[0].codes), dtype=np.int64)
-    for c in columns:
-        key = key * (len(c.values) + 1) + c.codes + 1
-    _, at, number = np.unique(key, return_index=True, return_inverse=True)
-    return at, number
-
-
 def _norms(batch: Batch) -> tuple[Coded, Coded]:
     """Texts and norms of all tokens; a missing norm is the lower-case text."""
     texts, norms = Coded.of(batch.words), Coded.of(batch.fields["norm"])
@@ -430,7 +420,7 @@ def tok2vec_stage(tables: Sequence[Array], seeds: Sequence[int], layers: Sequenc
 
     def step(batch: Batch) -> Batch:
         texts, norms = _norms(batch)
-        at, number = _distinct(texts, norms)
+        at, number = distinct(texts, norms)
         ids = feature_ids([texts.values[k] for k in texts.codes[at].tolist()], [norms.values[k] for k in norms.codes[at].tolist()], symbols)
         x = hash_embed(ids, tables, seeds).astype(np.float32)[number]
         if layers and len(x):
@@ -469,22 +459,69 @@ def tagger_stage(w: Array, b: Array, labels: Sequence[str], field: str = "tag")
     return lambda docs: stepped(docs, step)
 
 
+def sentences_of_batch(heads: Array, sizes: Array) -> tuple[Array, pa.Array]:
+    """sentences_of for heads (places in their documents) of many documents: whether a sentence starts at each token, and the
+    spans. A token's root is found by doubling the way to it."""
+    first, n = np.cumsum(sizes) - sizes, len(heads)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    root = head = heads + first[of]
+    for _ in range(int(sizes.max(initial=1)).bit_length()):
+        root = root[root]
+    if not np.array_equal(head[root], root):  # a cycle, which is an error of its document
+        for a, size in zip(first.tolist(), sizes.tolist()):
+            sentences_of(heads[a : a + size].tolist())
+    # The first token of each tree, the trees in the order of their roots.
+    _, starts = np.unique(root, return_index=True)
+    begins = np.zeros(n, dtype=bool)
+    begins[starts] = True
+    starts = np.flatnonzero(begins)
+    doc = of[starts]
+    ends = np.append(starts[1:], n)
+    blank = pa.repeat(pa.scalar("", pa.string()), len(starts))
+    return begins, spans_of(doc, len(sizes), starts - first[doc], ends - first[doc], blank, pa.nulls(len(starts), pa.string()))
+
+
+def _rows_by_document(batch: Batch) -> list[Array]:
+    x, sizes = _tensor(batch), batch.sizes.tolist()
+    if x is None:
+        return [np.array(t or [], dtype=np.float32).reshape(n, -1) if n else np.zeros((0, 1), np.float32) for t, n in zip(batch.columns["tensor"].to_pylist(), sizes)]
+    return [x[a : a + n] for a, n in zip(batch.first.tolist(), sizes)]
+
+
 def parser_stage(scorer: Scorer, actions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     """Sets heads, labels and sentences."""
+    names = [*(a.partition("-")[2] for a in actions), "ROOT"]
 
-    def one(d: dict, x: Array, texts: list[str]) -> dict:
-        heads, labels, _ = parse(x, scorer, actions) if texts else ([], [], [])
-        heads, labels = deprojectivize(heads, labels, [s.isspace() for s in texts]) if any("||" in v for v in labels) else (heads, labels)
-        spans = sentences_of(heads)
-        begins = {s["start"] for s in spans}
-        tokens = [dict(t, head=h, dep=v, sentence_start=i in begins) for i, (t, h, v) in enumerate(zip(d["tokens"] or [], heads, labels, strict=True))]
-        return dict(d, tokens=tokens, sentences=spans)
+    def step(batch: Batch) -> Batch:
+        heads, numbers, _ = parse_batch(_rows_by_document(batch), scorer, actions)
+        numbers = np.where(numbers < 0, len(actions), numbers)
+        if any("||" in names[k] for k in np.unique(numbers).tolist()):
+            return _projected(batch, heads, [names[k] for k in numbers.tolist()])
+        begins, spans = sentences_of_batch(heads, batch.sizes)
+        return batch.changed({"sentences": spans}, {"head": pa.array(heads.astype(np.int32)), "dep": pa.array(names, pa.string()).take(pa.array(numbers)), "sentence_start": pa.array(begins)})
 
-    return lambda docs: _staged(docs, one)
+    step.most = most_parsed(scorer)
+    return lambda docs: stepped(docs, step)
+
+
+def _projected(batch: Batch, heads: Array, labels: list[str]) -> Batch:
+    """The batch with heads and labels after deprojectivize(), document by document."""
+    words, spans, all_heads, all_labels, begins = batch.words.to_pylist(), [], [], [], []
+    for a, n in zip(batch.first.tolist(), batch.sizes.tolist()):
+        own, named = heads[a : a + n].tolist(), labels[a : a + n]
+        if any("||" in v for v in named):
+            own, named = deprojectivize(own, named, [s.isspace() for s in words[a : a + n]])
+        spans.append(sentences_of(own))
+        at = {s["start"] for s in spans[-1]}
+        all_heads += own
+        all_labels += named
+        begins += [i in at for i in range(n)]
+    fields = {"head": pa.array(all_heads, pa.int32()), "dep": pa.array(all_labels, pa.string()), "sentence_start": pa.array(begins, pa.bool_())}
+    return batch.changed({"sentences": pa.array(spans, SCHEMA.field("sentences").type)}, fields)
 
 
 #: Bytes of a batch's context rows and states in parse_batch, and of a token's state alone.
-PARSED, STATE = 1 << 27, 100
+PARSED, STATE = 1 << 27, 250
 
 
 def most_parsed(scorer: Scorer) -> int:

@@ -175,3 +175,60 @@ def test_parser_query_in_one_kernel(spark):
 
     plan = QUERIES["neural_parser"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "tensor" not in plan
+
+
+def test_stages_of_batches(make_doc, monkeypatch):
+    """Sentences, attribute rules and lemmas of a batch against those of one document."""
+    import numpy as np
+
+    from tessera.errors import DependencyError
+    from tessera.operators import annotators, neural, token_matcher
+
+    r = random.Random(3)
+    for _ in range(100):
+        trees = [[r.choice([i, r.randint(0, i)]) for i in range(r.randint(0, 12))] for _ in range(6)]
+        # Turned round, heads stand to the right as well.
+        trees = [[len(t) - 1 - h for h in reversed(t)] if r.random() < 0.5 else t for t in trees]
+        begins, spans = neural.sentences_of_batch(np.array(sum(trees, []), dtype=np.int64), np.array(list(map(len, trees))))
+        want = [annotators.sentences_of(t) for t in trees]
+        assert spans.to_pylist() == want and begins.sum() == sum(map(len, want))
+    with pytest.raises(DependencyError):
+        neural.sentences_of_batch(np.array([0, 1, 0]), np.array([1, 2]))
+
+    steps = []
+    monkeypatch.setattr(annotators, "stepped", lambda _, step: steps.append(step))
+    item = lambda a, kind, v: {"constraints": [{"attribute": a, "predicate": {"kind": kind, "value": v}}]}
+    rules = [
+        annotators.AttributeRule(([item("tag", "equals", "BB")], [item("lower", "in", ["of"]), item("tag", "in", ["AA"])]), {"pos": "NOUN", "morphology": "_"}),
+        annotators.AttributeRule(([item("lower", "in", ["the"]), item("lower", "in", ["of", "the"])],), {"pos": "DET", "lemma": "d"}, -1),
+        annotators.AttributeRule(([item("text", "equals", "x")],), {"pos": "X", "morph": "Number=Sing"}),
+    ]
+    outside = annotators.AttributeRule(([item("lower", "in", ["x"])],), {"pos": "X"}, 2)
+    tables = annotators.LemmaTables(index={"noun": frozenset(["x"])}, rules={"noun": (("e", ""), ("f", "v"))}, exceptions={"x": {"x": ("y",)}})
+    for some in (rules, [*rules, outside]):
+        annotators.attribute_ruler(None, some)
+    annotators.lemmatize(None, tables)
+    m = [token_matcher.TokenMatcher() for _ in range(2)]
+    for k, some in enumerate((rules, [*rules, outside])):
+        for i, rule in enumerate(some):
+            m[k] = m[k].add(str(i), rule.patterns)
+    for tagged in (True, False):
+        docs = [d | {"tokens": [t | {"tag": r.choice(["AA", "BB", None]) if tagged else "AA", "morphology": r.choice([None, "Number=Plur"])} for t in d["tokens"]]} for d in random_docs(r, make_doc, 40)]
+        for k, some in enumerate((rules, [*rules, outside])):
+            search = m[k].compiled()
+            want = [outcome(lambda d=d: annotators.apply_attribute_rules(d, some, search)) for d in docs]
+            for d, w in zip(docs, want):
+                got = outcome(lambda d=d: steps[k](batches.from_rows([d])).rows()[0])
+                assert got == w or got["tokens"] == w["tokens"]
+            good = [(d, w) for d, w in zip(docs, want) if not isinstance(w, tuple)]
+            out = steps[2](steps[k](batches.from_rows([d for d, _ in good]))).rows()
+            for (d, w), g in zip(good, out):
+                words = [d["text"].encode()[t["start"] : t["end"]].decode() for t in d["tokens"]]
+                assert g["tokens"] == [t | {"lemma": annotators.lemma(s, t["pos"], t["morphology"], tables)} for s, t in zip(words, w["tokens"])]
+
+
+def test_whole_pipeline_in_one_kernel(spark):
+    from tessera.queries import QUERIES
+
+    plan = QUERIES["pipeline_whole"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "tensor" not in plan
